@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontam, lm_score, mixing, simhash, token_output, url_filter
+from quillspark.llm import decontam, lm_score, mixing, quality, simhash, token_output, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_simhash, op4_token_output, op6_decontam, op7_url_filter, op8_mixing)}
+    return {f.__name__: f for f in (op1_lm_score, op2_simhash, op4_token_output, op6_decontam, op7_url_filter, op8_mixing, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
