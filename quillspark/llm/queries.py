@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontam, lm_score, mixing, quality, simhash, token_output, url_filter
+from quillspark.llm import decontam, lm_score, mixing, quality, simhash, token_output, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_simhash, op4_token_output, op6_decontam, op7_url_filter, op8_mixing, op9_quality)}
+    return {f.__name__: f for f in (op1_lm_score, op2_simhash, op4_token_output, op6_decontam, op7_url_filter, op8_mixing, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
