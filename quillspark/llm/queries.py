@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontam, lm_score, mixing, pii, quality, simhash, token_output, toxicity, url_filter
+from quillspark.llm import decontam, lm_score, mixing, pii, quality, simhash, token_output, toxicity, url_filter, webp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media(table(spark, sf_dir, "documents"))
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_pii, op4_token_output, op6_decontam, op7_url_filter, op8_mixing, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_pii, op4_token_output, op5_webp, op6_decontam, op7_url_filter, op8_mixing, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
