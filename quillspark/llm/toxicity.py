@@ -283,8 +283,13 @@ def train(texts: DataFrame, labels: DataFrame) -> Model:
     counts = written(counts, "pieces")
     clean = len(chosen) - n_toxic
     ratio = ((F.col("t") + 0.5) / n_toxic) / ((F.col("c") + 0.5) / clean)
-    enough = max(4, round(0.02 * n_toxic))
-    found = [r[0] for r in counts.where((F.col("t") >= enough) & (ratio >= 20)).orderBy(F.desc("t"), "piece").limit(WITNESSES).collect()]
+    # So many neighbourhoods, all toxic, that chance gives it to one piece in a hundred samples at most.
+    tested = counts.where("t + c >= 3").count()
+    chance = int(np.ceil(np.log(0.01 / max(1, tested)) / np.log(n_toxic / len(chosen))))
+    for enough in (max(chance, round(0.03 * n_toxic)), 3):  # the latter for samples too small to tell
+        found = [r[0] for r in counts.where((F.col("t") >= enough) & (ratio >= 20)).orderBy(F.desc("t"), "piece").limit(WITNESSES).collect()]
+        if found:
+            break
     usual = counts.where((F.col("c") > 0) & (F.length("piece") >= ORDER))
     others = [r[0] for r in usual.orderBy(F.desc("c"), "piece").limit(OTHERS // 3).collect()]
     others += [r[0] for r in usual.orderBy(F.xxhash64("piece"), "piece").limit(OTHERS).collect()]
