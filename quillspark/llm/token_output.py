@@ -15,7 +15,9 @@ import os
 import re
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 from pathlib import Path
 
 import numpy as np
@@ -26,9 +28,10 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import doc_text, durable_dir, pieces
 
 END_ID = 2
-#: A space between these characters always begins a new pre-token, so the text may be cut before it.
-CUT = re.compile("(?<=[!-~¡-ɏ])(?= [!-~¡-ɏ])")
-CACHED_UNITS, CACHED_CHARS, LONG_UNIT = 300_000, 8_000_000, 64
+#: A space between characters other than white space always begins a new pre-token: the text may be cut before it.
+CUT = re.compile(r"(?<=\S)(?= \S)")
+#: What a worker keeps: units, and their ids.
+CACHED_UNITS, CACHED_IDS = 400_000, 4_000_000
 LAYOUT = {
     "parquet.writer.version": "v2",
     "parquet.block.size": str(16 << 20),
@@ -53,8 +56,9 @@ def tokenizer_json(path: str | None = None) -> str:
 class UnitEncoder:
     """Encodes texts with the tokenizers library, each distinct stretch between cuts once.
 
-    Pre-tokens never cross a cut, so a text's ids are its units' ids in a row. Texts that hold an
-    added token's string are encoded whole.
+    Pre-tokens never cross a cut, so a text's ids are its units' ids in a row. Units without a line end
+    are learnt in one call, a line end between them: its id parts them again. Texts that hold an added
+    token's string are encoded whole, those with several spaces in a row are cut by the pattern.
     """
 
     def __init__(self, definition: str) -> None:
@@ -63,65 +67,114 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.flat, self.start, self.size, self.chars = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-
-    def learn(self, units: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        start = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.int32, int(size.sum()))])
-        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
-        self.chars += sum(map(len, units))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, the end id last."""
-        if len(self.ids) > CACHED_UNITS or self.chars > CACHED_CHARS:
-            self.clear()
-        known, fresh, rows, direct = self.ids, [], [], {}
-        for k, text in enumerate(texts):
-            if any(t in text for t in self.whole):
-                direct[k] = self.tokenizer.encode(text, add_special_tokens=False).ids
-                rows.append([])
-                continue
-            row = []
-            for unit in CUT.split(text) if text else ():
-                at = known.get(unit)
-                if at is None:
-                    at = known[unit] = len(known)
-                    fresh.append(unit)
-                row.append(at)
-            rows.append(row)
-        if fresh:
-            self.learn(fresh)
-        out = []
-        for k, row in enumerate(rows):
-            if k in direct:
-                out.append(np.array([*direct[k], END_ID], np.int32))
-                continue
-            units = np.array(row, np.int64)
-            size = self.size[units]
-            ends = np.cumsum(size)
-            take = np.repeat(self.start[units] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-            out.append(np.append(self.flat[take], np.int32(END_ID)))
+        number = count(1).__next__  # 0 is the end of a document
+        self.first, self.later = defaultdict(number), defaultdict(number)
+        self.learnt, self.seen = 1, (0, 0)
+        self.bad: set[int] = set()
+        self.flat = np.array([END_ID], np.int32)
+        self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def learn(self) -> None:
+        """Ids of all units that were numbered since the last call."""
+        new = len(self.first) + len(self.later) + 1 - self.learnt
+        if not new:
+            return
+        units = [""] * new
+        for known, seen, before in ((self.first, self.seen[0], ""), (self.later, self.seen[1], " ")):
+            for unit, at in islice(known.items(), seen, None):
+                units[at - self.learnt] = before + unit
+                if not unit or unit[0].isspace() or unit[-1].isspace():
+                    self.bad.add(at)
+        alone = [i for i, u in enumerate(units) if "\n" in u or u[:1] != " " or i + self.learnt in self.bad]
+        apart = set(alone)
+        joined = [i for i in range(new) if i not in apart]
+        found: list = [None] * new
+        for i, x in zip(alone, self.tokenizer.encode_batch_fast([units[i] for i in alone], add_special_tokens=False), strict=True):
+            found[i] = np.array(x.ids, np.int32)
+        for at in range(0, len(joined), 4096):
+            some = joined[at : at + 4096]
+            (x,) = self.tokenizer.encode_batch_fast(["\n".join([units[i] for i in some])], add_special_tokens=False)
+            ids = np.array(x.ids, np.int32)
+            ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
+            begin = 0
+            for i, end in zip(some, ends, strict=True):
+                found[i] = ids[begin:end]
+                begin = end + 1
+        size = np.fromiter(map(len, found), np.int64, new)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, *found])
+        self.learnt, self.seen = self.learnt + new, (len(self.first), len(self.later))
+
+    def rows(self, texts: list[str], cut) -> list[np.ndarray]:
+        """Unit numbers of each text and its end; ``cut`` splits a text into a first unit and later ones."""
+        first, later, out = self.first, self.later, []
+        for text in texts:
+            units = cut(text)
+            row = np.zeros(len(units) + 1, np.int64)
+            row[0] = first[units[0]]
+            row[1:-1] = np.fromiter(map(later.__getitem__, units[1:]), np.int64, len(units) - 1)
+            out.append(row)
+        self.learn()
         return out
 
-
-def encode_batches(definition: str):
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each with its end id, and how many each has."""
+        if self.learnt > CACHED_UNITS or len(self.flat) > CACHED_IDS:
+            self.clear()
+        rows = self.rows(texts, lambda t: t.split(" "))
+        if self.bad:
+            bad = np.fromiter(self.bad, np.int64)
+            spaced = [k for k, row in enumerate(rows) if np.isin(row, bad).any()]
+            # The pattern's units keep their space; the later ones are numbered without it.
+            for k, row in zip(spaced, self.rows([texts[k] for k in spaced], lambda t: [u[u[:1] == " " and i > 0 :] for i, u in enumerate(CUT.split(t))]), strict=True):
+                rows[k] = row
+        if any(w in t for w in self.whole for t in texts):
+            for k, text in enumerate(texts):
+                if any(w in text for w in self.whole):
+                    rows[k] = self.own(text)
+        units = np.concatenate(rows)
+        size = self.size[units]
+        ends = np.cumsum(size)
+        take = np.repeat(self.start[units] - ends + size, size) + np.arange(ends[-1])
+        row_ends = np.cumsum([len(r) for r in rows]) - 1
+        return self.flat[take], np.diff(ends[row_ends], prepend=0)
+
+    def own(self, text: str) -> np.ndarray:
+        """A text as one unit, kept for this once."""
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        self.start, self.size = np.append(self.start, len(self.flat)), np.append(self.size, len(ids))
+        self.flat = np.concatenate([self.flat, ids])
+        self.first[f"\0whole {self.learnt}"]
+        self.learnt, self.seen = self.learnt + 1, (self.seen[0] + 1, self.seen[1])
+        return np.array([self.learnt - 1, 0])
+
+
+_encoders: dict[int, UnitEncoder] = {}
+
+
+def encoder_for(definition) -> UnitEncoder:
+    """The worker's encoder for a broadcast definition; units learnt in one task serve the next."""
+    key = hash(definition.value)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = UnitEncoder(definition.value)
+    return _encoders[key]
+
+
+def encode_batches(definition):
     """An Arrow function from (doc_id, text) to (doc_id, ids, n_tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
         for batch in batches:
             for part in pieces(batch):
-                encoder = encoder or UnitEncoder(definition.value)
-                ids = encoder.encode(part.column("text").to_pylist())
-                size = np.fromiter(map(len, ids), np.int32, len(ids))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(size)], ["doc_id", "ids", "n_tokens"])
+                ids, size = encoder_for(definition).encode(part.column("text").to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(size.astype(np.int32))], ["doc_id", "ids", "n_tokens"])
 
     return run
 
