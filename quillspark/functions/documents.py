@@ -82,7 +82,7 @@ def validate_doc(content: Column, fmt: str | Column, options: Options = Options(
 
     @F.arrow_udf(ERROR)
     def validate(text: pa.Array, name: pa.Array) -> pa.Array:
-        return _each(text, [name], lambda t, n: kernel.parse(t, n, options) and None, "json").field("error")
+        return _each(text, [name], lambda t, n: (kernel.parse(t, n, options), None)[1], "json").field("error")
 
     return validate(content, _format_column(fmt))
 
@@ -242,7 +242,7 @@ def register(spark: SparkSession) -> None:
 
     @F.arrow_udf(ERROR)
     def validate(text: pa.Array, name: pa.Array) -> pa.Array:
-        return _each(text, [name], lambda t, n: kernel.parse(t, n) and None, "json").field("error")
+        return _each(text, [name], lambda t, n: (kernel.parse(t, n), None)[1], "json").field("error")
 
     spark.udf.register("parse_doc", parse)
     spark.udf.register("convert_doc", convert)
