@@ -40,7 +40,7 @@ def format_number(x: Column) -> Column:
     """
     from quillspark.functions.documents import format_number_exact
 
-    whole = F.when((x == 0) & (F.atan2(x, F.lit(-1.0)) < 0), F.lit("-0")).otherwise(x.cast("bigint").cast("string"))
+    whole = F.when(x.cast("string") == "-0.0", F.lit("-0")).otherwise(x.cast("bigint").cast("string"))
     digits = x.cast("string").cast("decimal(38,22)").cast("string")
     fraction = F.rtrim(F.rtrim(digits, F.lit("0")), F.lit("."))
     common = (F.abs(x) < 1e15) & ((x == F.floor(x)) | (F.abs(x) >= 1e-3))
