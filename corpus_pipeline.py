@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes what a stage returns to
 the shared folder and reads it back as the next one's docs. doc_id identifies a document: a decision
-about it holds for all its rows. Rows with a null doc_id are kept by the filters. Null texts count as
+about it holds for all its rows. Rows with a null doc_id are kept by the filters, and left out by the mix. Null texts count as
 empty, extra columns pass through, an empty table gives an empty result.
 """
 
@@ -55,7 +55,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     taken = written(taken.select(F.col("doc_id").alias("mixed_id"), F.col("times").cast("int")), "taken").where("times > 0")
     taken = F.broadcast(taken) if taken.count() <= SMALL else taken
     rows = docs.join(taken, docs["doc_id"] == taken["mixed_id"])
-    return rows.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("mixed_copy")).drop("mixed_copy")
+    copy = "_" + "_".join(docs.columns)  # no column has this name
+    return rows.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), taken["times"])).alias(copy)).drop(copy)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
