@@ -1,5 +1,7 @@
 """Toxicity by a subsequence string-kernel SVM with Nystroem landmarks.
 
+Strings far from every witness are given no similarity at all, which spares their full comparison.
+
 The kernel of two strings sums over their common subsequences of ``ORDER`` letters, each weighted by
 DECAY to the letters it spans, normalised; so ``i.d.i.o.t`` and ``idioot`` stay close to ``idiot``. A
 sentence is a bag of pieces: words, words spelled out letter by letter, and windows of long words.
@@ -35,14 +37,19 @@ from quillspark.llm.common import crc_bucket, doc_text, pieces, written
 FOLDS = 5
 TOXIC, CLEAN = 4000, 8000
 ORDER, DECAY, WIDTH = 3, 0.6, 24
-WITNESSES, LANDMARKS, OTHERS = 40, 32, 3000
+NEAR = 0.15
+WITNESSES, LANDMARKS, OTHERS = 16, 24, 3000
 CACHED = 600_000
 SPELLED = re.compile(r"(?<!\S)(?:\w[\W_]? ){2,}\w(?!\w)")
 SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 
 
+#: What is stripped from a word's ends.
+EDGES = ".,;:!?\"'()[]{}<>|&%$#*-_=/\\"
+
+
 def clean_piece(word: str) -> str:
-    return word.strip(".,;:!?\"'()[]{}<>|&%$#*-_=/\\").lower()
+    return word.strip(EDGES).lower()
 
 
 def windows(piece: str) -> list[str]:
@@ -52,6 +59,14 @@ def windows(piece: str) -> list[str]:
     return [piece[i : i + WIDTH] for i in range(0, len(piece) - WIDTH // 2, WIDTH // 2)]
 
 
+def forms(piece: str) -> list[str]:
+    """What of a piece is compared: its windows, and those of its letters and digits if others part them."""
+    if piece.isalnum():
+        return windows(piece)
+    bare = "".join(filter(str.isalnum, piece))
+    return windows(piece) + windows(bare) if len(bare) >= ORDER else windows(piece)
+
+
 def spelled(text: str) -> list[str]:
     """Words written letter by letter, joined."""
     return [m[0].replace(" ", "") for m in SPELLED.finditer(text)]
@@ -113,24 +128,37 @@ def self_kernel(strings: np.ndarray) -> np.ndarray:
     return (square * same * prime[:, :-1, :-1]).sum(axis=(1, 2))
 
 
-def kernel(strings: list[str], landmarks: list[str], chunk: int = 4096) -> np.ndarray:
-    """Normalised kernel, rows by landmarks."""
+def kernel(strings: list[str], landmarks: list[str], first: int | None = None, chunk: int = 4096) -> np.ndarray:
+    """Normalised kernel, rows by landmarks.
+
+    With ``first``, strings far from all of the first landmarks have zeros: those whose kernel, normalised
+    by the string's unbroken subsequences alone (which can only overrate it), stays below NEAR.
+    """
     marks = codes(landmarks)
     norm = np.sqrt(np.maximum(self_kernel(marks), 1e-12))
     out = np.zeros((len(strings), len(landmarks)), np.float32)
+    lens = np.minimum(np.fromiter(map(len, strings), np.int64, len(strings)), WIDTH)
+    order = np.argsort(lens, kind="stable")  # short strings end their comparison early
     for at in range(0, len(strings), chunk):
-        rows = codes(strings[at : at + chunk])
-        both = np.stack([raw_kernel(rows, mark) for mark in marks], axis=1)
-        near = np.flatnonzero(both.any(axis=1))
-        own = np.ones(len(rows), np.float32)
-        for a in range(0, len(near), 512):
-            own[near[a : a + 512]] = np.sqrt(np.maximum(self_kernel(rows[near[a : a + 512]]), 1e-12))
-        out[at : at + chunk] = both / own[:, None] / norm
+        places = order[at : at + chunk]
+        rows = codes([strings[i] for i in places])[:, : max(1, int(lens[places].max()))]
+        some = np.stack([raw_kernel(rows, mark) for mark in marks[:first]], axis=1)
+        if first is None:
+            near = np.flatnonzero(some.any(axis=1))
+        else:
+            most = (some / norm[:first]).max(axis=1) / (DECAY**ORDER * np.sqrt(np.maximum(lens[places] - ORDER + 1, 1)))
+            near = np.flatnonzero(most >= NEAR)
+        some, rows = some[near], rows[near]
+        if len(near):
+            rest = [raw_kernel(rows, mark)[:, None] for mark in marks[first:]] if first is not None else []
+            own = np.concatenate([self_kernel(rows[a : a + 512]) for a in range(0, len(rows), 512)])
+            out[places[near]] = np.hstack([some, *rest]) / np.sqrt(np.maximum(own, 1e-12))[:, None] / norm
     return out
 
 
 class Model(NamedTuple):
-    landmarks: list[str]
+    landmarks: list[str]  # witnesses first
+    witnesses: int
     alpha: np.ndarray  # margin = kernel with the landmarks @ alpha + bias
     bias: float
     slope: float
@@ -145,9 +173,8 @@ class Model(NamedTuple):
 
 
 def variants(word: str) -> list[str]:
-    """The word as people disguise it: separators between letters, an inserted or a doubled one."""
-    out = [sep.join(word) for sep in (".", "-", "*")]
-    out += [word[:i] + c + word[i:] for i in range(1, len(word)) for c in (".", "*", word[i])]
+    """The word as people disguise it: with a letter inserted or doubled, or a sign between two."""
+    out = [word[:i] + c + word[i:] for i in range(1, len(word)) for c in (".", "x", word[i])]
     return [x for x in out if len(x) <= WIDTH]
 
 
@@ -166,18 +193,17 @@ def svm(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: in
 
 
 def fit(witnesses: list[str], others: list[str]) -> tuple[list[str], np.ndarray, float]:
-    """Landmarks, their weights and the bias."""
+    """Landmarks (the witnesses, then the clean pieces closest to them), their weights and the bias."""
     toxic = list(dict.fromkeys(witnesses + [v for w in witnesses for v in variants(w)]))
     seen = set(toxic)
     clean = [o for o in dict.fromkeys(others) if o not in seen]
-    marks = witnesses[: LANDMARKS // 2]
-    close = kernel(clean, marks).max(axis=1)
-    hard = [clean[i] for i in np.argsort(-close, kind="stable")[: LANDMARKS - len(marks)]]
-    marks = marks + hard
+    n = len(witnesses)
+    close = kernel(clean, witnesses, n).max(axis=1)
+    marks = witnesses + [clean[i] for i in np.argsort(-close, kind="stable")[: LANDMARKS - n]]
     inner = kernel(marks, marks).astype(float)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-3))
-    x = kernel(toxic + clean, marks) @ root
+    x = kernel(toxic + clean, marks, n) @ root
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
     weights = np.where(y > 0, len(clean) / max(1, len(toxic)), 1.0)
     w, bias = svm(x, y, weights)
@@ -201,23 +227,25 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         if len(self.known) > CACHED:
             self.known = {}
-        fresh = [w for w in words if w not in self.known]
+        fresh = list(words.difference(self.known))
         if not fresh:
             return
-        stripped = {w: clean_piece(w) for w in fresh}
-        parts = list(dict.fromkeys(p for s in stripped.values() for p in windows(s) if len(p) >= ORDER))
-        margins = kernel(parts, self.model.landmarks) @ self.model.alpha + self.model.bias if parts else []
-        margin = dict(zip(parts, np.asarray(margins, float).tolist(), strict=True))
-        low = self.model.lowest
-        for w, s in stripped.items():
-            self.known[w] = max((margin.get(p, low) for p in windows(s)), default=low)
+        model, low = self.model, self.model.lowest
+        stripped = [w.strip(EDGES).lower() for w in fresh]
+        plain = {s for s in stripped if ORDER <= len(s) <= WIDTH and s.isalnum()}
+        mixed = {s: forms(s) for s in stripped if len(s) >= ORDER and s not in plain}
+        parts = sorted(plain.union(*mixed.values()))
+        margins = kernel(parts, model.landmarks, model.witnesses) @ model.alpha + model.bias if parts else np.zeros(0)
+        margin = dict(zip(parts, margins.tolist(), strict=True))
+        margin |= {s: max(map(margin.__getitem__, ps)) for s, ps in mixed.items()}
+        self.known.update(zip(fresh, [margin.get(s, low) for s in stripped], strict=True))
 
     def margins(self, texts: list[str]) -> list[float]:
         bags = [set(t.split()).union(spelled(t)) for t in texts]
-        self.learn(list(set().union(*bags)))
+        self.learn(set().union(*bags))
         known, low = self.known, self.model.lowest
         return [max(map(known.__getitem__, bag)) if bag else low for bag in bags]
 
@@ -275,7 +303,7 @@ def train(texts: DataFrame, labels: DataFrame) -> Model:
     n_toxic = sum(chosen.values())
     if not n_toxic or n_toxic == len(chosen):
         share = 0.0 if not chosen else n_toxic / len(chosen)
-        return Model([], np.zeros(0), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+        return Model([], 0, np.zeros(0), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     ids = texts.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")  # at most TOXIC + CLEAN rows
     texts = written(texts.join(F.broadcast(ids), "doc_id").select("doc_id", "held_out", "text"), "labelled")
     one = lambda v: F.sum(F.when(F.col("toxic") == v, 1).otherwise(0))
@@ -294,9 +322,9 @@ def train(texts: DataFrame, labels: DataFrame) -> Model:
     others = [r[0] for r in usual.orderBy(F.desc("c"), "piece").limit(OTHERS // 3).collect()]
     others += [r[0] for r in usual.orderBy(F.xxhash64("piece"), "piece").limit(OTHERS).collect()]
     if not found or not others:
-        return Model([], np.zeros(0), 0.0, 0.0, float(np.log(n_toxic / clean)))
+        return Model([], 0, np.zeros(0), 0.0, 0.0, float(np.log(n_toxic / clean)))
     marks, alpha, bias = fit(found, others)
-    model = Model(marks, alpha, bias, 1.0, 0.0)
+    model = Model(marks, len(found), alpha, bias, 1.0, 0.0)
     seen = texts.mapInArrow(_margins(sc.broadcast(model)), "doc_id long, held_out boolean, margin double").toArrow()  # the sample
     labels_seen = np.array([chosen[i] for i in seen.column("doc_id").to_pylist()], float)
     slope, shift = logistic(seen.column("margin").to_numpy(), labels_seen)
