@@ -8,7 +8,7 @@ empty, extra columns pass through, an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontam, mixing, quality, simhash, token_output
@@ -35,12 +35,15 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The first document of each class of near-duplicates."""
     classes = written(simhash.near_duplicates(docs).select("doc_id", "component_id"), "classes")
     kept = without(docs, classes.where(F.col("doc_id") != F.col("component_id")))
-    again = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    again = written(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"), "again")
     if again.isEmpty():
         return kept
-    # Rows that share a doc_id are one document: keep the one with the least text.
-    named, unnamed = kept.where("doc_id is not null"), kept.where("doc_id is null")
-    return named.orderBy("text").dropDuplicates(["doc_id"]).unionByName(unnamed)
+    # Rows that share a doc_id are one document: its first text stays.
+    once = without(kept, again)
+    place = "_" + "_".join(docs.columns)  # no column has this name
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    some = kept.join(again.select(F.col("doc_id").alias("again_id")), kept["doc_id"] == F.col("again_id"), "left_semi")
+    return once.unionByName(some.withColumn(place, first).where(F.col(place) == 1).drop(place))
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ from quillspark.llm.components import components
 BITS, SEED, RADIUS, SHINGLE = 64, 42, 3, 3
 #: Fingerprints in a chunk of a cell; (query, block) pairs compared in one go; planes between abandonments.
 CHUNK, PAIRS, STEP = 2048, 1 << 15, 8
+#: Fingerprints whose bit planes are held together.
+AT_ONCE = 1 << 17
 HASHES_AT_ONCE = 1 << 15
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -157,12 +159,14 @@ def cell_links(groups: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarr
 def _links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                lists = batch.column(0).slice(at, 512)
-                cut = lists.offsets.to_numpy()
-                flat = lists.values.to_numpy(zero_copy_only=False)
-                a, b = cell_links([flat[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], radius)
+            cut = batch.column(0).offsets.to_numpy()
+            flat = batch.column(0).values.to_numpy(zero_copy_only=False)
+            first = 0
+            while first < batch.num_rows:  # cells together, up to so many fingerprints
+                last = max(first + 1, int(np.searchsorted(cut, cut[first] + AT_ONCE, side="right")) - 1)
+                a, b = cell_links([flat[x:y] for x, y in zip(cut[first:last], cut[first + 1 : last + 1], strict=True)], radius)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                first = last
 
     return run
 
