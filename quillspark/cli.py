@@ -23,7 +23,7 @@ def resolve_format(given: str | None, path: str | None) -> str:
     """The format asked for, else the one of the file's extension."""
     found = given or EXTENSIONS.get(Path(path).suffix.lower().removeprefix(".") if path else "")
     if not found:
-        raise UsageError("could not infer input format; pass --from or provide an input file with extension")
+        raise UsageError("no input format: give --from or a file with a known extension")
     return found
 
 
@@ -32,7 +32,7 @@ def read_input(path: str | None) -> str:
         return Path(path).read_text(encoding="utf-8")
     text = sys.stdin.read()
     if not text.strip():
-        raise UsageError("no input provided on stdin")
+        raise UsageError("standard input is empty")
     return text
 
 

@@ -11,11 +11,11 @@ from quillspark.kernels.json_doc import emit as emit_json
 def check_delimiter(delimiter: str) -> str:
     """One ASCII character that is neither a line end nor the quote."""
     if len(delimiter) != 1:
-        raise DocError("InvalidToken", message="CSV delimiter must be a single ASCII character" if not delimiter else "CSV delimiter must be a single character")
+        raise DocError("InvalidToken", message="a CSV delimiter is one character")
     if not delimiter.isascii():
-        raise DocError("InvalidToken", message="CSV delimiter must be an ASCII character")
+        raise DocError("InvalidToken", message="a CSV delimiter is an ASCII character")
     if delimiter in '\n\r"':
-        raise DocError("InvalidToken", message=f"CSV delimiter {delimiter!r} conflicts with record separators or quoting rules")
+        raise DocError("InvalidToken", message=f"{delimiter!r} has another meaning in CSV and can't be the delimiter")
     return delimiter
 
 
@@ -100,9 +100,9 @@ def _rows_of(value) -> list[dict]:
     if isinstance(value, dict):
         value = value["rows"] if isinstance(value.get("rows"), list) else [value]
     if not isinstance(value, list):
-        raise DocError("InvalidToken", message="csv output requires array or object root")
+        raise DocError("InvalidToken", message="CSV needs an object or an array of objects")
     if not all(isinstance(row, dict) for row in value):
-        raise DocError("InvalidToken", message="csv output requires array of objects")
+        raise DocError("InvalidToken", message="CSV needs objects as rows")
     return value
 
 

@@ -370,7 +370,7 @@ def emit_value(value) -> str:
 def emit(value) -> str:
     """A line for each key of the root, everything below it inline."""
     if not isinstance(value, dict):
-        raise DocError("InvalidToken", message="toml root must be object")
+        raise DocError("InvalidToken", message="TOML needs an object at its root")
     return "\n".join(f"{bare_or_quoted(k)} = {emit_value(v)}" for k, v in value.items())
 
 

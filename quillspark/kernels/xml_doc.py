@@ -211,7 +211,7 @@ def _leaf(element: Element):
         text = element.children[0]
         value = infer_scalar(text.strip())
         return text if isinstance(value, str) else value
-    raise DocError("InvalidToken", message="xml row fields must be simple leaf elements")
+    raise DocError("InvalidToken", message="a row's fields hold text alone")
 
 
 def scalar_text(value) -> str:
@@ -259,11 +259,11 @@ def from_value(value) -> Element:
 def from_rows(rows) -> Element:
     """``<root><row>...</row></root>`` of an array of flat objects."""
     if not isinstance(rows, list):
-        raise DocError("InvalidToken", message="csv value must be an array of objects for xml conversion")
+        raise DocError("InvalidToken", message="rows for XML are an array of objects")
     out = Element("root")
     for row in rows:
         if not isinstance(row, dict):
-            raise DocError("InvalidToken", message="csv row must be an object")
+            raise DocError("InvalidToken", message="a row for XML is an object")
         if bad := next((k for k in row if not NAME.fullmatch(k)), None):
             raise DocError("InvalidKey", message=f"not an XML name: {bad}")
         out.children.append(Element("row", {}, [Element(k, {}, _content(v)) for k, v in row.items()]))

@@ -470,7 +470,7 @@ def service_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.respond_parse(df).select("content", "format", "csv_delimiter", "response.*")
 
 
-CONVERSIONS = [("a: 1", "yaml", "toml", "ok", "a = 1"), ("{oops", "json", "json", "ok", "{oops"), ("[1]", "json", "toml", "error", "toml root must be object"), ("a,b\n1,x", "csv", "xml", "ok", "<root><row><a>1</a><b>x</b></row></root>")]
+CONVERSIONS = [("a: 1", "yaml", "toml", "ok", "a = 1"), ("{oops", "json", "json", "ok", "{oops"), ("[1]", "json", "toml", "error", "TOML needs an object at its root"), ("a,b\n1,x", "csv", "xml", "ok", "<root><row><a>1</a><b>x</b></row></root>")]
 
 
 @query(literal(CONVERSIONS, ["content", "source", "target", "status", "answer"]))

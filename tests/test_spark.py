@@ -160,6 +160,6 @@ def test_command_line(tmp_path):
     out = tmp_path / "out.toml"
     assert run_cli("--convert", "-", "--from", "yaml", "--to", "toml", "-o", str(out), stdin="a: 1")[:2] == (0, "ok\n") and out.read_text() == "a = 1"
     assert run_cli("parse", "--from", "json", stdin="[1,]")[0] == 1 and run_cli("parse", "--from", "json", "--json-trailing-commas", stdin="[1,]")[0] == 0
-    assert "no input" in run_cli("parse", "--from", "json", stdin=" ")[2] and "infer" in run_cli("parse", stdin="1")[2]
+    assert "empty" in run_cli("parse", "--from", "json", stdin=" ")[2] and "--from" in run_cli("parse", stdin="1")[2]
     assert run_cli("parse", "--from", "csv", "--csv-delimiter", "é", stdin="a")[0] == 1
     assert cli.resolve_format(None, "x/Y.YML") == "yaml"
