@@ -231,7 +231,7 @@ def test_quality(spark, sf_dir, duck):
     keep = {r.doc_id: r.keep for r in collected(spark, sf_dir, "op9_quality")}
     labels = duck.sql("SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)").fetchall()
     assert sum(keep[i] == bool(q) for i, q in labels) / len(labels) > 0.95
-    assert len(keep) == duck.sql("SELECT count(*) FROM documents").fetchone()[0]
+    assert len(keep) == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
 
 
 def test_toxicity(spark, duck):
