@@ -42,6 +42,18 @@ STARTS = (0, WORDS, WORDS + PAIRS)
 TOTAL = sum(SIZES)
 
 
+def shape(word: str) -> str:
+    """The word with A, a and 0 for its letters and digits, runs of one sign taken together."""
+    if word.isalpha():  # the same as below, without patterns
+        if word.islower():
+            return "a"
+        if word.isupper():
+            return "A"
+        if word[0].isupper() and word[1:].islower():
+            return "Aa"
+    return re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "0", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", word[:64])))
+
+
 class Hasher:
     """Feature numbers of texts; each distinct word is hashed once."""
 
@@ -49,29 +61,31 @@ class Hasher:
         self.known: dict[str, int] = {}
         self.words: list[int] = []
         self.forms: list[int] = []
+        self._hash = self._form = np.zeros(0, np.int64)
 
     def look_up(self, word: str) -> int:
         at = self.known[word] = len(self.words)
-        form = re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "0", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", word[:64])))
+        form = shape(word)
         self.words.append(zlib.crc32(word.lower().encode("utf-8", "surrogatepass")))
         self.forms.append(zlib.crc32(form.encode("utf-8", "surrogatepass")) % (SHAPES - 1) + 1)
         return at
 
-    def features(self, text: str) -> np.ndarray:
-        words = text.split()
-        if not words:
-            return np.zeros(0, np.int64)
-        known = self.known
-        at = np.fromiter([known[w] if w in known else self.look_up(w) for w in words], np.int64, len(words))
-        if self._arrays_for != len(self.words):
-            self._hash, self._form = np.array(self.words, np.int64), np.array(self.forms, np.int64)
-            self._arrays_for = len(self.words)
-        word, form = self._hash[at], self._form[at].copy()
-        form[1:][at[1:] == at[:-1]] = 0
-        pair = (word[:-1] * 1_000_003 + word[1:]) >> 7
-        return np.concatenate([word % WORDS, STARTS[1] + pair % PAIRS, STARTS[2] + form])
-
-    _arrays_for = -1
+    def features(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text; new words of all texts enter the arrays together."""
+        known, rows = self.known, []
+        for text in texts:
+            words = text.split()
+            rows.append(np.fromiter([known[w] if w in known else self.look_up(w) for w in words], np.int64, len(words)))
+        old = len(self._hash)
+        self._hash = np.concatenate([self._hash, np.array(self.words[old:], np.int64)])
+        self._form = np.concatenate([self._form, np.array(self.forms[old:], np.int64)])
+        out = []
+        for at in rows:
+            word, form = self._hash[at], self._form[at]
+            form[1:][at[1:] == at[:-1]] = 0
+            pair = (word[:-1] * 1_000_003 + word[1:]) >> 7
+            out.append(np.concatenate([word % WORDS, STARTS[1] + pair % PAIRS, STARTS[2] + form]))
+        return out
 
     def trim(self) -> None:
         if len(self.words) > CACHED:
@@ -84,11 +98,11 @@ def _count(target_ids):
         everything, target = np.zeros(TOTAL, np.int64), np.zeros(TOTAL, np.int64)
         for batch in batches:
             for part in pieces(batch):
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    found = hasher.features(text)
-                    everything += np.bincount(found, minlength=TOTAL)
-                    if doc_id in wanted:
-                        target += np.bincount(found, minlength=TOTAL)
+                found = hasher.features(part.column("text").to_pylist())
+                good = [f for f, doc_id in zip(found, part.column("doc_id").to_pylist(), strict=True) if doc_id in wanted]
+                everything += np.bincount(np.concatenate(found), minlength=TOTAL)
+                if good:
+                    target += np.bincount(np.concatenate(good), minlength=TOTAL)
                 hasher.trim()
         seen = np.flatnonzero(everything)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(everything[seen]), pa.array(target[seen])], ["feature", "n", "t"])
@@ -111,10 +125,8 @@ def _weigh(ratios):
         hasher, ratio = Hasher(), ratios.value
         for batch in batches:
             for part in pieces(batch):
-                weights = []
-                for text in part.column("text").to_pylist():
-                    found = ratio[hasher.features(text)]
-                    weights.append(float(found.sum()) * TEMPER / (TEMPER + len(found)))
+                rows = hasher.features(part.column("text").to_pylist())
+                weights = [float(ratio[found].sum()) * TEMPER / (TEMPER + len(found)) for found in rows]
                 hasher.trim()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(weights, pa.float64())], ["doc_id", "log_weight"])
 
