@@ -17,7 +17,7 @@ import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, islice
+from itertools import compress, count, islice
 from pathlib import Path
 
 import numpy as np
@@ -30,8 +30,10 @@ from quillspark.llm.common import doc_text, durable_dir, pieces
 END_ID = 2
 #: A space between characters other than white space always begins a new pre-token: the text may be cut before it.
 CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Between units that are joined by zero characters: one that is empty or has white space at an end.
+BLANK_EDGE = re.compile(r"(?:^|\0)\n?+(?:\0|\s|$)|\s(?:\0|$)")
 #: What a worker keeps: units, and their ids.
-CACHED_UNITS, CACHED_IDS = 400_000, 4_000_000
+CACHED_UNITS, CACHED_IDS, KEPT_UNITS = 1_100_000, 10_000_000, 400_000
 LAYOUT = {
     "parquet.writer.version": "v2",
     "parquet.block.size": str(16 << 20),
@@ -56,9 +58,10 @@ def tokenizer_json(path: str | None = None) -> str:
 class UnitEncoder:
     """Encodes texts with the tokenizers library, each distinct stretch between cuts once.
 
-    Pre-tokens never cross a cut, so a text's ids are its units' ids in a row. Units without a line end
-    are learnt in one call, a line end between them: its id parts them again. Texts that hold an added
-    token's string are encoded whole, those with several spaces in a row are cut by the pattern.
+    Texts are cut before single spaces and single line ends, which pre-tokens never cross, so a text's
+    ids are its units' ids in a row. Many units are learnt in one call, a line end between them: its id
+    parts them again. Texts with other white space are cut by the pattern, those that hold an added
+    token's string are encoded whole. A full worker forgets all but the units it learnt first.
     """
 
     def __init__(self, definition: str) -> None:
@@ -68,49 +71,65 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.clear()
-
-    def clear(self) -> None:
-        number = count(1).__next__  # 0 is the end of a document
-        self.first, self.later = defaultdict(number), defaultdict(number)
-        self.learnt, self.seen = 1, (0, 0)
-        self.bad: set[int] = set()
         self.flat = np.array([END_ID], np.int32)
-        self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)  # unit 0 is the end of a document
+        self.bad: set[int] = set()
+        self.keep(1, {}, {})
+
+    def keep(self, n: int, first: dict[str, int], later: dict[str, int]) -> None:
+        """Only the first n units, which the two dictionaries hold."""
+        number = count(n).__next__
+        self.first, self.later = defaultdict(number, first), defaultdict(number, later)
+        self.learnt, self.seen = n, (len(first), len(later))
+        self.start, self.size = self.start[:n].copy(), self.size[:n].copy()
+        self.flat = self.flat[: int((self.start + self.size).max())].copy()
+        self.bad = {b for b in self.bad if b < n}
+
+    def trim(self) -> None:
+        if self.learnt > CACHED_UNITS or len(self.flat) > CACHED_IDS:
+            n = min(KEPT_UNITS, self.learnt)
+            self.keep(n, *({u: i for u, i in known.items() if i < n} for known in (self.first, self.later)))
 
-    def learn(self) -> None:
-        """Ids of all units that were numbered since the last call."""
-        new = len(self.first) + len(self.later) + 1 - self.learnt
-        if not new:
+    def add(self, numbers: np.ndarray, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Units of these numbers have the ids between their begin and end."""
+        self.start[numbers], self.size[numbers] = begin + len(self.flat), end - begin
+        self.flat = np.concatenate([self.flat, ids])
+
+    def learn(self, apart: bool = False) -> None:
+        """Ids of all units that were numbered since the last call; with ``apart`` each is encoded by itself."""
+        total = len(self.first) + len(self.later) + 1
+        if total == self.learnt:
             return
-        units = [""] * new
-        for known, seen, before in ((self.first, self.seen[0], ""), (self.later, self.seen[1], " ")):
-            for unit, at in islice(known.items(), seen, None):
-                units[at - self.learnt] = before + unit
-                if not unit or unit[0].isspace() or unit[-1].isspace():
-                    self.bad.add(at)
-        alone = [i for i, u in enumerate(units) if "\n" in u or u[:1] != " " or i + self.learnt in self.bad]
-        apart = set(alone)
-        joined = [i for i in range(new) if i not in apart]
-        found: list = [None] * new
-        for i, x in zip(alone, self.tokenizer.encode_batch_fast([units[i] for i in alone], add_special_tokens=False), strict=True):
-            found[i] = np.array(x.ids, np.int32)
-        for at in range(0, len(joined), 4096):
-            some = joined[at : at + 4096]
-            (x,) = self.tokenizer.encode_batch_fast(["\n".join([units[i] for i in some])], add_special_tokens=False)
-            ids = np.array(x.ids, np.int32)
-            ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
-            begin = 0
-            for i, end in zip(some, ends, strict=True):
-                found[i] = ids[begin:end]
-                begin = end + 1
-        size = np.fromiter(map(len, found), np.int64, new)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, *found])
-        self.learnt, self.seen = self.learnt + new, (len(self.first), len(self.later))
-
-    def rows(self, texts: list[str], cut) -> list[np.ndarray]:
+        self.start, self.size = (np.concatenate([x, np.zeros(total - self.learnt, np.int64)]) for x in (self.start, self.size))
+        heads = list(islice(self.first.items(), self.seen[0], None))
+        units = list(islice(self.later, self.seen[1], None))
+        numbers = np.fromiter(islice(self.later.values(), self.seen[1], None), np.int64, len(units))
+        self.bad.update(at for unit, at in heads if not unit or len(unit.strip()) != len(unit))
+        alone = np.array([at for _, at in heads], np.int64), [unit for unit, _ in heads]
+        line = np.fromiter((u[:1] == "\n" for u in units), bool, len(units))
+        joined = "\0".join(units)
+        single = np.zeros(len(units), bool)
+        if apart or BLANK_EDGE.search(joined) or joined.count("\0") != max(0, len(units) - 1):
+            blank = np.fromiter((not (b := u.removeprefix("\n")) or len(b.strip()) != len(b) for u in units), bool, len(units))
+            self.bad.update(numbers[blank].tolist())
+            single = blank | apart
+            alone = np.concatenate([alone[0], numbers[single]]), alone[1] + [u if u[:1] == "\n" else " " + u for u in compress(units, single)]
+        for at in range(0, len(alone[1]), 4096):
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(alone[1][at : at + 4096], add_special_tokens=False)]
+            end = np.cumsum([len(x) for x in ids])
+            self.add(alone[0][at : at + 4096], np.array([i for x in ids for i in x], np.int32), np.concatenate([[0], end[:-1]]), end)
+        for which, before, glue in ((~line & ~single, " ", "\n "), (line & ~single, "", "")):
+            some, own = list(compress(units, which)), numbers[which]
+            for at in range(0, len(some), 4096):
+                (x,) = self.tokenizer.encode_batch_fast([before + glue.join(some[at : at + 4096])], add_special_tokens=False)
+                ids = np.array(x.ids, np.int32)
+                marks = np.flatnonzero(ids == self.line_end)
+                begin = np.concatenate([[0], marks + 1]) if glue else marks
+                end = np.concatenate([marks, [len(ids)]]) if glue else np.concatenate([marks[1:], [len(ids)]])
+                self.add(own[at : at + 4096], ids, begin, end)
+        self.learnt, self.seen = total, (len(self.first), len(self.later))
+
+    def rows(self, texts: list[str], cut, apart: bool = False) -> list[np.ndarray]:
         """Unit numbers of each text and its end; ``cut`` splits a text into a first unit and later ones."""
         first, later, out = self.first, self.later, []
         for text in texts:
@@ -119,19 +138,18 @@ class UnitEncoder:
             row[0] = first[units[0]]
             row[1:-1] = np.fromiter(map(later.__getitem__, units[1:]), np.int64, len(units) - 1)
             out.append(row)
-        self.learn()
+        self.learn(apart)
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with its end id, and how many each has."""
-        if self.learnt > CACHED_UNITS or len(self.flat) > CACHED_IDS:
-            self.clear()
-        rows = self.rows(texts, lambda t: t.split(" "))
+        self.trim()
+        rows = self.rows(texts, lambda t: t.replace("\n", " \n").split(" "))
         if self.bad:
             bad = np.fromiter(self.bad, np.int64)
-            spaced = [k for k, row in enumerate(rows) if np.isin(row, bad).any()]
+            odd = [k for k, row in enumerate(rows) if np.isin(row, bad).any()]
             # The pattern's units keep their space; the later ones are numbered without it.
-            for k, row in zip(spaced, self.rows([texts[k] for k in spaced], lambda t: [u[u[:1] == " " and i > 0 :] for i, u in enumerate(CUT.split(t))]), strict=True):
+            for k, row in zip(odd, self.rows([texts[k] for k in odd], lambda t: [u[u[:1] == " " and i > 0 :] for i, u in enumerate(CUT.split(t))], apart=True), strict=True):
                 rows[k] = row
         if any(w in t for w in self.whole for t in texts):
             for k, text in enumerate(texts):
