@@ -1,21 +1,19 @@
 """Toxicity by a subsequence string-kernel SVM with Nystroem landmarks.
 
-Strings far from every witness are given no similarity at all, which spares their full comparison.
-
 The kernel of two strings sums over their common subsequences of ``ORDER`` letters, each weighted by
-DECAY to the letters it spans, normalised; so ``i.d.i.o.t`` and ``idioot`` stay close to ``idiot``. A
-sentence is a bag of pieces: words, words spelled out letter by letter, and windows of long words.
-It is as toxic as its most toxic piece, and so is a document.
+DECAY to the letters it spans, normalised; so ``i.d.i.o.t`` and ``idioot`` stay close to ``idiot``. A text
+is a bag of distinct words, joined if spelled out letter by letter; signs inside a word are left out and
+long words are cut into windows. The kernel of two texts sums the kernels of their words, over the root of
+the number of words.
 
 Training takes at most TOXIC toxic and CLEAN clean labelled documents of the training folds (those with
-the least hash of doc_id). Their sentences' pieces are counted by distinct neighbourhoods, so copies of
-a text count once. Pieces found in toxic sentences far more than in clean ones are the witnesses, joined
-by spelled-out and letter-inserted variants; common and randomly drawn pieces of clean sentences are the
-other class. A linear SVM on the landmarks' features separates them, and a logistic curve fitted on the
-sample's documents turns a document's highest margin into a probability. A piece is scored once per
-worker.
-
-Only the text enters a score. Null text: empty; a text without pieces has the lowest margin. No labelled
+the least hash of doc_id). Their words are counted by distinct neighbourhoods, so copies of a text count
+once. All words found in toxic texts far more than in clean ones are the witnesses. The landmarks are all
+witnesses and as many clean words close to them. A linear SVM on the labelled texts' Nystroem features
+separates the classes, and a logistic curve turns a margin into a probability. A word is scored once per
+task.
+
+Only the text enters a score. Null text: empty; a text without words has the bias for its margin. No labelled
 documents of either kind: the share of toxic ones, or 0. Null doc_id hashes as the empty text. Repeated
 rows: each is scored. Empty table: no rows.
 """
@@ -25,6 +23,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb, fsum
 from typing import NamedTuple
 
 import numpy as np
@@ -37,8 +37,8 @@ from quillspark.llm.common import crc_bucket, doc_text, pieces, written
 FOLDS = 5
 TOXIC, CLEAN = 4000, 8000
 ORDER, DECAY, WIDTH = 3, 0.6, 24
-NEAR = 0.15
-WITNESSES, LANDMARKS, OTHERS = 16, 24, 3000
+OTHERS = 3000
+OCCURRENCES = 1 << 18
 CACHED = 600_000
 SPELLED = re.compile(r"(?<!\S)(?:\w[\W_]? ){2,}\w(?!\w)")
 SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
@@ -60,11 +60,9 @@ def windows(piece: str) -> list[str]:
 
 
 def forms(piece: str) -> list[str]:
-    """What of a piece is compared: its windows, and those of its letters and digits if others part them."""
-    if piece.isalnum():
-        return windows(piece)
-    bare = "".join(filter(str.isalnum, piece))
-    return windows(piece) + windows(bare) if len(bare) >= ORDER else windows(piece)
+    """What of a word is compared: the windows of its letters and digits."""
+    bare = piece if piece.isalnum() else "".join(filter(str.isalnum, piece))
+    return windows(bare) if len(bare) >= ORDER else []
 
 
 def spelled(text: str) -> list[str]:
@@ -74,39 +72,78 @@ def spelled(text: str) -> list[str]:
 
 def codes(strings: list[str]) -> np.ndarray:
     """Code points in columns; zero beyond a string's end matches nothing."""
-    out = np.zeros((len(strings), WIDTH), np.int32)
-    for i, s in enumerate(strings):
-        points = np.frombuffer(s[:WIDTH].encode("utf-32-le", "surrogatepass"), np.int32)
-        out[i, : len(points)] = points
-    return out
+    joined = "".join([s[:WIDTH].ljust(WIDTH, "\0") for s in strings])
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.int32).reshape(-1, WIDTH)
+
+
+class Subsequences:
+    """The landmarks' subsequences as a tree, and how much of each one every landmark has.
+
+    A kernel is a sum over the subsequences that two strings share, so a string's walk through this tree
+    gives its kernel with all landmarks at once, or with any weighted sum of them.
+    """
+
+    def __init__(self, landmarks: np.ndarray) -> None:
+        self.letters = np.unique(landmarks[landmarks != 0])
+        rows: list[dict[int, int]] = [{}, {}]  # node 0: no such subsequence; 1: the root
+        leaves: dict[tuple[int, int], float] = {}
+        n_leaves = 0
+        for t, mark in enumerate(landmarks):
+            ids = (np.searchsorted(self.letters, mark[mark != 0]) + 1).tolist()
+            for places in combinations(range(len(ids)), ORDER):
+                node = 1
+                for i in places[:-1]:
+                    after = rows[node].get(ids[i])
+                    if after is None:
+                        after = rows[node][ids[i]] = len(rows)
+                        rows.append({})
+                    node = after
+                leaf = rows[node].get(ids[places[-1]])
+                if leaf is None:
+                    n_leaves += 1
+                    leaf = rows[node][ids[places[-1]]] = n_leaves
+                leaves[leaf, t] = leaves.get((leaf, t), 0.0) + DECAY ** (places[-1] - places[0] + 1)
+        self.size = len(self.letters) + 1
+        self.table = np.zeros(len(rows) * self.size, np.int32)
+        for node, row in enumerate(rows):
+            for letter, after in row.items():
+                self.table[node * self.size + letter] = after
+        self.values = np.zeros((n_leaves + 1, len(landmarks)))
+        for (leaf, t), value in leaves.items():
+            self.values[leaf, t] = value
+
+    def found(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, subsequence and weight of every occurrence in the rows of one of the subsequences."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if not len(self.letters):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
+        ids = np.minimum(np.searchsorted(self.letters, strings.T), len(self.letters) - 1)
+        ids = np.where(self.letters[ids] == strings.T, ids + 1, 0)
+
+        def walk(rows: np.ndarray, base: np.ndarray | int, at: int, first: int, depth: int) -> None:
+            for j in range(at, len(ids)):
+                after = self.table.take(ids[j].take(rows) + base)
+                hit = np.flatnonzero(after)
+                if not len(hit):
+                    continue
+                start = first if depth else j
+                if depth + 1 == ORDER:
+                    out.append((rows[hit], after[hit], np.full(len(hit), DECAY ** (j - start + 1))))
+                else:
+                    walk(rows[hit], after[hit].astype(np.int64) * self.size, j + 1, start, depth + 1)
+
+        walk(np.arange(len(strings)), self.size, 0, 0, 0)
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
+        rows, leaf, weight = (np.concatenate(x) for x in zip(*out, strict=True))
+        return rows, leaf, weight
 
 
 def raw_kernel(strings: np.ndarray, landmark: np.ndarray) -> np.ndarray:
     """Gap-weighted subsequence kernel of every row with one landmark, all rows at once."""
-    t = landmark[landmark != 0]
-    n, m = len(strings), len(t)
-    total = np.zeros(n, np.float32)
-    prime = [np.ones((m + 1, n), np.float32), *(np.zeros((m + 1, n), np.float32) for _ in range(ORDER - 1))]
-    square = np.float32(DECAY * DECAY)
-    for j in range(strings.shape[1]):
-        column = strings[:, j]
-        if not column.any():
-            break
-        same = [column == c for c in t]
-        inside = (column != 0).astype(np.float32)
-        for k in range(m):  # subsequences that end here in both
-            total += square * same[k] * prime[ORDER - 1][k]
-        after = []
-        for i in range(1, ORDER):
-            run = np.zeros(n, np.float32)
-            new = np.empty_like(prime[i])
-            new[0] = 0
-            for k in range(m):
-                run = DECAY * run + square * same[k] * prime[i - 1][k]
-                new[k + 1] = np.float32(DECAY) * prime[i][k + 1] + run
-            after.append(prime[i] + (new - prime[i]) * inside)
-        prime[1:] = after
-    return total
+    tree = Subsequences(landmark[None])
+    rows, leaf, weight = tree.found(strings)
+    return np.bincount(rows, weight * tree.values[leaf, 0], len(strings))
 
 
 def self_kernel(strings: np.ndarray) -> np.ndarray:
@@ -128,34 +165,62 @@ def self_kernel(strings: np.ndarray) -> np.ndarray:
     return (square * same * prime[:, :-1, :-1]).sum(axis=(1, 2))
 
 
-def kernel(strings: list[str], landmarks: list[str], first: int | None = None, chunk: int = 4096) -> np.ndarray:
-    """Normalised kernel, rows by landmarks.
-
-    With ``first``, strings far from all of the first landmarks have zeros: those whose kernel, normalised
-    by the string's unbroken subsequences alone (which can only overrate it), stays below NEAR.
-    """
-    marks = codes(landmarks)
-    norm = np.sqrt(np.maximum(self_kernel(marks), 1e-12))
-    out = np.zeros((len(strings), len(landmarks)), np.float32)
+def chunks(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and code points of strings of like length, short ones first, about OCCURRENCES subsequences in a chunk."""
     lens = np.minimum(np.fromiter(map(len, strings), np.int64, len(strings)), WIDTH)
-    order = np.argsort(lens, kind="stable")  # short strings end their comparison early
-    for at in range(0, len(strings), chunk):
-        places = order[at : at + chunk]
-        rows = codes([strings[i] for i in places])[:, : max(1, int(lens[places].max()))]
-        some = np.stack([raw_kernel(rows, mark) for mark in marks[:first]], axis=1)
-        if first is None:
-            near = np.flatnonzero(some.any(axis=1))
-        else:
-            most = (some / norm[:first]).max(axis=1) / (DECAY**ORDER * np.sqrt(np.maximum(lens[places] - ORDER + 1, 1)))
-            near = np.flatnonzero(most >= NEAR)
-        some, rows = some[near], rows[near]
-        if len(near):
-            rest = [raw_kernel(rows, mark)[:, None] for mark in marks[first:]] if first is not None else []
-            own = np.concatenate([self_kernel(rows[a : a + 512]) for a in range(0, len(rows), 512)])
-            out[places[near]] = np.hstack([some, *rest]) / np.sqrt(np.maximum(own, 1e-12))[:, None] / norm
+    order = np.argsort(lens, kind="stable")
+    ends = np.searchsorted(lens[order], np.arange(WIDTH + 1), side="right").tolist()
+    at = ends[ORDER - 1]  # shorter strings have no subsequence
+    for width in range(ORDER, WIDTH + 1):
+        step = max(64, OCCURRENCES // comb(width, ORDER))
+        for a in range(at, ends[width], step):
+            places = order[a : min(a + step, ends[width])]
+            yield places, codes([strings[i] for i in places.tolist()])[:, :width]
+        at = ends[width]
+
+
+def own_norm(rows: np.ndarray) -> np.ndarray:
+    own = np.concatenate([self_kernel(rows[a : a + 512]) for a in range(0, len(rows), 512)])
+    return np.sqrt(np.maximum(own, 1e-12))
+
+
+def kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
+    """Normalised kernel, rows by landmarks."""
+    tree = Subsequences(codes(landmarks))
+    values = tree.values / np.sqrt(np.maximum((tree.values**2).sum(axis=0), 1e-12))
+    out = np.zeros((len(strings), len(landmarks)), np.float32)
+    for places, rows in chunks(strings):
+        row, leaf, weight = tree.found(rows)
+        if not len(row):
+            continue
+        order = np.argsort(row, kind="stable")
+        row, leaf, weight = row[order], leaf[order], weight[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        near = row[first]
+        own = own_norm(rows[near])
+        for a in range(0, len(landmarks), 32):
+            out[places[near], a : a + 32] = np.add.reduceat(values[leaf, a : a + 32] * weight[:, None], first) / own[:, None]
     return out
 
 
+class Projection:
+    """The normalised kernel times one weight a landmark; its cost doesn't grow with the landmarks."""
+
+    def __init__(self, landmarks: list[str], weights: np.ndarray) -> None:
+        self.tree = Subsequences(codes(landmarks))
+        values = self.tree.values
+        self.leaf = values @ (weights / np.sqrt(np.maximum((values**2).sum(axis=0), 1e-12)))
+
+    def __call__(self, strings: list[str]) -> np.ndarray:
+        out = np.zeros(len(strings))
+        for places, rows in chunks(strings):
+            row, leaf, weight = self.tree.found(rows)
+            near = np.unique(row)
+            if len(near):
+                out[places[near]] = np.bincount(row, weight * self.leaf[leaf], len(rows))[near] / own_norm(rows[near])
+        return out
+
+
 class Model(NamedTuple):
     landmarks: list[str]  # witnesses first
     witnesses: int
@@ -178,7 +243,7 @@ def variants(word: str) -> list[str]:
     return [x for x in out if len(x) <= WIDTH]
 
 
-def svm(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int = 800, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+def svm(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int = 800, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
     """Linear SVM, squared hinge loss, by accelerated gradient steps."""
     x = np.hstack([features, np.ones((len(features), 1))])
     y, c = np.where(labels > 0, 1.0, -1.0), weights / weights.sum()
@@ -192,22 +257,33 @@ def svm(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: in
     return w[:-1], float(w[-1])
 
 
-def fit(witnesses: list[str], others: list[str]) -> tuple[list[str], np.ndarray, float]:
-    """Landmarks (the witnesses, then the clean pieces closest to them), their weights and the bias."""
-    toxic = list(dict.fromkeys(witnesses + [v for w in witnesses for v in variants(w)]))
-    seen = set(toxic)
+def landmarks(witnesses: list[str], others: list[str]) -> list[str]:
+    """The witnesses, then as many clean words closest to them."""
+    seen = set(witnesses)
     clean = [o for o in dict.fromkeys(others) if o not in seen]
-    n = len(witnesses)
-    close = kernel(clean, witnesses, n).max(axis=1)
-    marks = witnesses + [clean[i] for i in np.argsort(-close, kind="stable")[: LANDMARKS - n]]
+    close = kernel(clean, witnesses).max(axis=1)
+    return witnesses + [clean[i] for i in np.argsort(-close, kind="stable")[: len(witnesses)]]
+
+
+def separate(marks: list[str], x: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the landmarks and bias, for texts given by their kernel with the landmarks."""
     inner = kernel(marks, marks).astype(float)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-3))
-    x = kernel(toxic + clean, marks, n) @ root
+    x = x @ root
+    scale = np.sqrt(np.maximum((x**2).sum(axis=1).mean(), 1e-12))
+    w, bias = svm(x / scale, labels, weights)
+    return root @ w / scale, bias
+
+
+def fit(witnesses: list[str], others: list[str]) -> tuple[list[str], np.ndarray, float]:
+    """Landmarks, their weights and the bias, from single words as texts."""
+    toxic = list(dict.fromkeys(witnesses + [v for w in witnesses for v in variants(w)]))
+    marks, seen = landmarks(witnesses, others), set(toxic)
+    clean = [o for o in dict.fromkeys(others) if o not in seen]
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
     weights = np.where(y > 0, len(clean) / max(1, len(toxic)), 1.0)
-    w, bias = svm(x, y, weights)
-    return marks, root @ w, bias
+    return marks, *separate(marks, kernel(toxic + clean, marks), y, weights)
 
 
 def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -221,33 +297,73 @@ def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def bag(text: str, word_of: dict[str, str]) -> set[str]:
+    """A text's distinct words, stripped and in lower case; ``word_of`` remembers what is stripped."""
+    tokens = set(text.split())
+    for t in tokens.difference(word_of):
+        word = clean_piece(t)
+        word_of[t] = word if forms(word) else ""
+    words = set(map(word_of.__getitem__, tokens))
+    words.update(w for w in map(str.lower, spelled(text)) if forms(w))
+    words.discard("")
+    return words
+
+
 class Scorer:
-    """Highest margin of a text's pieces; each distinct word is compared with the landmarks once."""
+    """Margins of texts; each distinct word is compared with the landmarks once."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
+        self.model, self.known, self.word_of = model, {}, {}
+        self.project = Projection(model.landmarks, model.alpha)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHED:
-            self.known = {}
         fresh = list(words.difference(self.known))
-        if not fresh:
-            return
-        model, low = self.model, self.model.lowest
-        stripped = [w.strip(EDGES).lower() for w in fresh]
-        plain = {s for s in stripped if ORDER <= len(s) <= WIDTH and s.isalnum()}
-        mixed = {s: forms(s) for s in stripped if len(s) >= ORDER and s not in plain}
-        parts = sorted(plain.union(*mixed.values()))
-        margins = kernel(parts, model.landmarks, model.witnesses) @ model.alpha + model.bias if parts else np.zeros(0)
-        margin = dict(zip(parts, margins.tolist(), strict=True))
-        margin |= {s: max(map(margin.__getitem__, ps)) for s, ps in mixed.items()}
-        self.known.update(zip(fresh, [margin.get(s, low) for s in stripped], strict=True))
+        cut = list(map(forms, fresh))
+        parts = list(set().union(*cut))
+        value = dict(zip(parts, self.project(parts).tolist(), strict=True))
+        self.known.update((w, sum(map(value.__getitem__, ps))) for w, ps in zip(fresh, cut, strict=True))
 
     def margins(self, texts: list[str]) -> list[float]:
-        bags = [set(t.split()).union(spelled(t)) for t in texts]
+        if len(self.known) > CACHED or len(self.word_of) > CACHED:
+            self.known, self.word_of = {}, {}
+        bags = [bag(t, self.word_of) for t in texts]
         self.learn(set().union(*bags))
-        known, low = self.known, self.model.lowest
-        return [max(map(known.__getitem__, bag)) if bag else low for bag in bags]
+        known, bias = self.known, self.model.bias
+        return [bias + (fsum(map(known.__getitem__, words)) / len(words) ** 0.5 if words else 0.0) for words in bags]
+
+
+def _pooled(marks):
+    """Kernels of texts with the landmarks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Subsequences(codes(marks.value))
+        values = tree.values / np.sqrt(np.maximum((tree.values**2).sum(axis=0), 1e-12))
+        for batch in batches:
+            for part in pieces(batch):
+                word_of: dict[str, str] = {}
+                bags = [bag(t, word_of) for t in part.column("text").to_pylist()]
+                parts = list(set().union(*(p for words in bags for p in map(forms, words))))
+                place = {p: i for i, p in enumerate(parts)}
+                has: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(parts)
+                for places, rows in chunks(parts):
+                    row, leaf, weight = tree.found(rows)
+                    near, order = np.unique(row), np.argsort(row, kind="stable")
+                    own = np.ones(len(rows))
+                    own[near] = own_norm(rows[near]) if len(near) else 1.0
+                    row, leaf, weight = row[order], leaf[order], (weight / own[row])[order]
+                    edge = np.searchsorted(row, np.append(near, len(rows))).tolist()
+                    for i, a, b in zip(places[near].tolist(), edge, edge[1:], strict=False):
+                        has[i] = leaf[a:b], weight[a:b]
+                out = np.zeros((len(bags), values.shape[1]), np.float32)
+                for i, words in enumerate(bags):
+                    both = [has[place[p]] for w in words for p in forms(w)]
+                    if both:
+                        summed = np.bincount(np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both]), len(values))
+                        out[i] = summed @ values / len(words) ** 0.5
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), values.shape[1]).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), flat], ["doc_id", "x"])
+
+    return run
 
 
 def _witness_counts(toxic_ids):
@@ -314,8 +430,8 @@ def train(texts: DataFrame, labels: DataFrame) -> Model:
     # So many neighbourhoods, all toxic, that chance gives it to one piece in a hundred samples at most.
     tested = counts.where("t + c >= 3").count()
     chance = int(np.ceil(np.log(0.01 / max(1, tested)) / np.log(n_toxic / len(chosen))))
-    for enough in (max(chance, round(0.03 * n_toxic)), 3):  # the latter for samples too small to tell
-        found = [r[0] for r in counts.where((F.col("t") >= enough) & (ratio >= 20)).orderBy(F.desc("t"), "piece").limit(WITNESSES).collect()]
+    for enough in (chance, 3):  # the latter for samples too small to tell
+        found = [r[0] for r in counts.where((F.col("t") >= enough) & (ratio >= 20)).orderBy(F.desc("t"), "piece").collect()]
         if found:
             break
     usual = counts.where((F.col("c") > 0) & (F.length("piece") >= ORDER))
@@ -323,11 +439,13 @@ def train(texts: DataFrame, labels: DataFrame) -> Model:
     others += [r[0] for r in usual.orderBy(F.xxhash64("piece"), "piece").limit(OTHERS).collect()]
     if not found or not others:
         return Model([], 0, np.zeros(0), 0.0, 0.0, float(np.log(n_toxic / clean)))
-    marks, alpha, bias = fit(found, others)
+    marks = landmarks(found, others)
+    seen = texts.mapInArrow(_pooled(sc.broadcast(marks)), "doc_id long, x array<float>").toArrow()  # the sample
+    x = seen.column("x").combine_chunks().flatten().to_numpy().reshape(seen.num_rows, len(marks)).astype(float)
+    y = np.array([chosen[i] for i in seen.column("doc_id").to_pylist()], float)
+    alpha, bias = separate(marks, x, y, np.ones(len(y)))
     model = Model(marks, len(found), alpha, bias, 1.0, 0.0)
-    seen = texts.mapInArrow(_margins(sc.broadcast(model)), "doc_id long, held_out boolean, margin double").toArrow()  # the sample
-    labels_seen = np.array([chosen[i] for i in seen.column("doc_id").to_pylist()], float)
-    slope, shift = logistic(seen.column("margin").to_numpy(), labels_seen)
+    slope, shift = logistic(x @ alpha + bias, y)
     return model._replace(slope=slope, shift=shift)
 
 
