@@ -377,8 +377,8 @@ def _witness_counts(toxic_ids):
                     for sentence in SENTENCE.split(text):
                         bag = [clean_piece(w) for w in sentence.split()]
                         around = ["", *bag, ""]
-                        found.update((w[:WIDTH], hash_of(around[i], around[i + 2]), label) for i, w in enumerate(bag) if len(w) >= ORDER)
-                        found.update((w[:WIDTH], 0, label) for w in spelled(sentence.lower()))
+                        found.update((p, hash_of(around[i], around[i + 2]), label) for i, w in enumerate(bag) for p in forms(w))
+                        found.update((p, 0, label) for w in spelled(sentence.lower()) for p in forms(w))
                 counted = Counter(found)
                 keys = list(counted)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int32())], ["piece", "around", "toxic"])

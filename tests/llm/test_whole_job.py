@@ -31,3 +31,17 @@ def test_toxicity_recall_by_language(spark):
         assert sum(caught) / len(caught) > 0.8, lang
     clean = [found[i] for i, _, _, toxic in held if not toxic]
     assert sum(clean) / len(clean) < 0.05
+
+
+def test_witnesses_come_from_whole_words():
+    """A long unspaced run is counted to its end, not by its first letters alone."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from quillspark.llm.toxicity import WIDTH, _witness_counts
+
+    late = "zyxwvutsrqponmlkjihgfedc"
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["ab" * (WIDTH // 2) + late]})
+    counted = list(_witness_counts(SimpleNamespace(value={1: 1}))(iter([batch])))
+    assert late in {p for b in counted for p in b.column("piece").to_pylist()}
