@@ -20,14 +20,24 @@ CHUNK_BYTES = 4_000_000
 _roots: dict[str, str] = {}
 
 
-def durable_dir(spark: SparkSession) -> str:
-    """This process's folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir`` or the context's; a temporary one only where all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = given.get() if given.isDefined() else _roots.setdefault("", tempfile.mkdtemp(prefix="quillspark-"))
+        base = given.get() if given.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = _roots.setdefault("", tempfile.mkdtemp(prefix="quillspark-"))
+    return base.rstrip("/")
+
+
+def durable_dir(spark: SparkSession) -> str:
+    """This process's folder below the shared one, removed when the process ends."""
+    base = shared_dir(spark)
     if base not in _roots:
-        _roots[base] = f"{base.rstrip('/')}/quillspark-{uuid.uuid4().hex}"
+        _roots[base] = f"{base}/quillspark-{uuid.uuid4().hex}"
         atexit.register(_forget, spark, _roots[base])
     return _roots[base]
 

@@ -141,21 +141,41 @@ def test_token_files_allow_selective_reads(spark, sf_dir, tmp_path):
     assert order == sorted(order)
 
 
-def test_unit_encoder_is_exact():
+@pytest.mark.parametrize("most", [800_000, 200])
+def test_unit_encoder_is_exact(monkeypatch, most):
     import random
 
-    from quillspark.llm.token_output import END_ID, UnitEncoder, tokenizer_json
+    import pyarrow as pa
 
-    encoder, r = UnitEncoder(tokenizer_json()), random.Random(3)
-    parts = ["a", "b ", "  ", " ", "\n", "\t", "é", "1", "!", " x", "'s", " ", "日", "\x85", "\x1c", "\0", "<|endoftext|>", "\r\n"]
-    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(2000)]
-    for half in (texts[:1000], texts[1000:]):
-        ids, size = encoder.encode(half)
+    from quillspark.llm import token_output
+
+    monkeypatch.setattr(token_output, "CACHED_UNITS", most)  # the small cache forgets again and again
+    encoder, r = token_output.UnitEncoder(token_output.tokenizer_json()), random.Random(3)
+    parts = ["a", "b ", "  ", " ", "\n", "\t", "é", "1", "!", " x", "'s", "\u3000", "日", "\x85", "\x1c", "\0", "<|endoftext|>", "\r\n", ", ", "Foo"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    for k in range(0, 4000, 500):
+        ids, size = encoder.encode(pa.array(texts[k : k + 500]))
         at = 0
-        for t, n in zip(half, size, strict=True):
-            assert ids[at : at + n].tolist() == [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, END_ID], t
+        for t, n in zip(texts[k : k + 500], size, strict=True):
+            assert ids[at : at + n].tolist() == [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, token_output.END_ID], t
             at += n
-        encoder.keep(min(50, encoder.learnt), *({u: i for u, i in d.items() if i < 50} for d in (encoder.first, encoder.later)))
+        assert at == len(ids)
+
+
+def test_token_files_are_ordered_by_number(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillspark.llm import token_output
+
+    names = spark.createDataFrame([("part-100000-x.parquet",), ("part-99999-x.parquet",), ("part-00003-x.parquet",)], "name string")
+    assert [r[0][5:11] for r in names.orderBy(token_output.file_number(F.col("name"))).collect()] == ["00003-", "99999-", "100000"]
+    # The same with files: those above 99,999 have a name that sorts first.
+    token_output.write_tokens(spark.createDataFrame([(i, "a b " * (i % 5)) for i in range(40)], "doc_id long, text string"), str(tmp_path / "t"))
+    want = sorted(map(tuple, token_output.token_index(spark, str(tmp_path / "t")).collect()))
+    for at, f in enumerate(sorted((tmp_path / "t").glob("part-*"))):
+        f.rename(f.with_name(f.name.replace(f.name[:10], f"part-{99_998 + at}", 1)))
+        (tmp_path / "t" / f".{f.name}.crc").unlink(missing_ok=True)
+    assert sorted(map(tuple, token_output.token_index(spark, str(tmp_path / "t")).collect())) == want
 
 
 def test_webp_reads_every_feature():
