@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,3 +89,34 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         size += n or 0
     if start < len(lens):
         yield batch.slice(start)
+
+
+class StringTable:
+    """Numbers of strings, looked up by column operations; a full table keeps the strings used most."""
+
+    def __init__(self, most: int, most_bytes: int) -> None:
+        self.most, self.most_bytes = most, most_bytes
+        self.strings, self.uses = pa.array([], pa.string()), np.zeros(0, np.int32)
+
+    def look_up(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The number of each distinct string, the place of each string among these, and the new ones in the order of their numbers."""
+        coded = strings.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.strings)
+        fresh = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        number, new = at.fill_null(0).to_numpy().astype(np.int64), coded.dictionary.take(pa.array(fresh, pa.int64()))
+        number[fresh] = len(self.strings) + np.arange(len(fresh))
+        self.strings = pa.concat_arrays([self.strings, new])
+        self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int32)])
+        codes = coded.indices.to_numpy()
+        self.uses[number] += np.bincount(codes, minlength=len(number)).astype(np.int32)
+        return number, codes, new.to_pylist()
+
+    def shrink(self) -> np.ndarray | None:
+        """Halves a full table; returns the old numbers of the strings that stay, in their new order, or nothing if all do."""
+        if len(self.strings) <= self.most and self.strings.nbytes <= self.most_bytes:
+            return None
+        order = np.argsort(-self.uses, kind="stable")
+        fits = np.cumsum(pc.binary_length(self.strings).to_numpy()[order], dtype=np.int64) <= self.most_bytes // 2
+        kept = np.sort(order[fits][: self.most // 2])
+        self.strings, self.uses = self.strings.take(pa.array(kept, pa.int64())), self.uses[kept] // 2
+        return kept

@@ -1,47 +1,58 @@
-"""Toxicity by a subsequence string-kernel SVM with Nystroem landmarks.
+"""Toxicity by a subsequence string-kernel SVM with Nystroem landmarks, trained on labelled sentences.
 
 The kernel of two strings sums over their common subsequences of ``ORDER`` letters, each weighted by
-DECAY to the letters it spans, normalised; so ``i.d.i.o.t`` and ``idioot`` stay close to ``idiot``. A text
-is a bag of distinct words, joined if spelled out letter by letter; signs inside a word are left out and
-long words are cut into windows. The kernel of two texts sums the kernels of their words, over the root of
-the number of words.
+DECAY to the letters it spans, normalised; so ``i.d.i.o.t`` and ``idioot`` stay close to ``idiot``. A
+sentence is a bag of distinct words; signs inside a word are left out, long words are cut into overlapping
+windows, words spelled letter by letter are joined and are a sentence of their own. The kernel of two
+sentences sums the kernels of their words, over the roots of the numbers of words. Sentences end at a full
+stop, a question or an exclamation mark, or after ``SPAN`` words.
+
+Labels are those of documents, so the SVM learns from several instances: a document stands for its sentence
+with the highest margin, toxic if the document is labelled so; the choice and the fit alternate ``ROUNDS``
+times. A document's margin is that of its worst sentence, and a logistic curve turns it into a probability.
 
 Training takes at most TOXIC toxic and CLEAN clean labelled documents of the training folds (those with
 the least hash of doc_id). Their words are counted by distinct neighbourhoods, so copies of a text count
-once. All words found in toxic texts far more than in clean ones are the witnesses. The landmarks are all
-witnesses and as many clean words close to them. A linear SVM on the labelled texts' Nystroem features
-separates the classes, and a logistic curve turns a margin into a probability. A word is scored once per
-task.
+once. All words found in toxic texts far more than in clean ones are the witnesses; the landmarks are all
+witnesses and as many clean words close to them.
 
 Only the text enters a score. Null text: empty; a text without words has the bias for its margin. No labelled
 documents of either kind: the share of toxic ones, or 0. Null doc_id hashes as the empty text. Repeated
-rows: each is scored. Empty table: no rows.
+rows: each is scored; a repeated doc_id trains once, by its least text. Ties: of sentences with equal margins
+the first stands for its document. Very long texts: memory is a few times a text's size. Empty table: no
+rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import comb, fsum
+from math import comb
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import crc_bucket, doc_text, pieces, written
+from quillspark.llm.common import StringTable, crc_bucket, doc_text, pieces, written
 
 FOLDS = 5
 TOXIC, CLEAN = 4000, 8000
 ORDER, DECAY, WIDTH = 3, 0.6, 24
+SPAN, ROUNDS = 32, 3
 OTHERS = 3000
 OCCURRENCES = 1 << 18
-CACHED = 600_000
+#: Tokens that a task remembers, and bytes of their strings.
+CACHED, CACHED_BYTES = 600_000, 12_000_000
+#: Letters of the landmarks up to which a weighted sum of landmarks is a table of all triples of letters.
+TABLED = 128
 SPELLED = re.compile(r"(?<!\S)(?:\w[\W_]? ){2,}\w(?!\w)")
 SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
+LETTER = re.compile(r"\w[\W_]?")
 
 
 #: What is stripped from a word's ends.
@@ -148,21 +159,24 @@ def raw_kernel(strings: np.ndarray, landmark: np.ndarray) -> np.ndarray:
 
 def self_kernel(strings: np.ndarray) -> np.ndarray:
     """Kernel of each row with itself."""
-    n, width = strings.shape
-    same = (strings[:, :, None] == strings[:, None, :]) & (strings != 0)[:, :, None]
-    prime, square = np.ones((n, width + 1, width + 1), np.float32), np.float32(DECAY * DECAY)
+    letters = strings.T.copy()
+    width, n = letters.shape
+    square, decay = np.float32(DECAY * DECAY), np.float32(DECAY)
+    same = np.where((letters[:, None] == letters[None]) & (letters != 0)[:, None], square, np.float32(0))
+    prime = np.ones((width + 1, width + 1, n), np.float32)
+    hit, run = np.empty(n, np.float32), np.empty(n, np.float32)
     for _ in range(ORDER - 1):
-        hit = square * same * prime[:, :-1, :-1]
         new = np.zeros_like(prime)
-        row = np.zeros((n, width + 1), np.float32)
         for a in range(width):
-            run = np.zeros((n, width + 1), np.float32)
+            run[:] = 0
             for b in range(width):
-                run[:, b + 1] = DECAY * run[:, b] + hit[:, a, b]
-            row = np.float32(DECAY) * row + run
-            new[:, a + 1] = row
+                np.multiply(same[a, b], prime[a, b], out=hit)
+                run *= decay
+                run += hit
+                np.multiply(new[a, b + 1], decay, out=new[a + 1, b + 1])
+                new[a + 1, b + 1] += run
         prime = new
-    return (square * same * prime[:, :-1, :-1]).sum(axis=(1, 2))
+    return np.einsum("abn,abn->n", same, prime[:-1, :-1])
 
 
 def chunks(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -180,7 +194,8 @@ def chunks(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def own_norm(rows: np.ndarray) -> np.ndarray:
-    own = np.concatenate([self_kernel(rows[a : a + 512]) for a in range(0, len(rows), 512)])
+    step = max(64, 400_000 // rows.shape[1] ** 2)
+    own = np.concatenate([self_kernel(rows[a : a + step]) for a in range(0, len(rows), step)])
     return np.sqrt(np.maximum(own, 1e-12))
 
 
@@ -210,14 +225,43 @@ class Projection:
         self.tree = Subsequences(codes(landmarks))
         values = self.tree.values
         self.leaf = values @ (weights / np.sqrt(np.maximum((values**2).sum(axis=0), 1e-12)))
+        size, self.table = self.tree.size, None
+        if size <= TABLED:
+            # The tree's two upper levels unfolded: the leaf of every triple of letters.
+            step = self.tree.table.reshape(-1, size)
+            leaves = step[step[step[1]].reshape(-1)].reshape(-1)
+            self.table = self.leaf[leaves] * (leaves > 0)
 
     def __call__(self, strings: list[str]) -> np.ndarray:
         out = np.zeros(len(strings))
         for places, rows in chunks(strings):
-            row, leaf, weight = self.tree.found(rows)
-            near = np.unique(row)
+            if self.table is not None:
+                summed = self.tabled(rows)
+            else:
+                row, leaf, weight = self.tree.found(rows)
+                summed = np.bincount(row, weight * self.leaf[leaf], len(rows))
+            near = np.flatnonzero(summed)
             if len(near):
-                out[places[near]] = np.bincount(row, weight * self.leaf[leaf], len(rows))[near] / own_norm(rows[near])
+                out[places[near]] = summed[near] / own_norm(rows[near])
+        return out
+
+    def tabled(self, rows: np.ndarray) -> np.ndarray:
+        """Weighted sum over all triples of places; a letter that no landmark has leads nowhere."""
+        letters, size = self.tree.letters, self.tree.size
+        if not len(letters):
+            return np.zeros(len(rows))
+        at = np.minimum(np.searchsorted(letters, rows.T), len(letters) - 1)
+        ids = np.where(letters[at] == rows.T, at + 1, 0).astype(np.int32)
+        first, out = ids * np.int32(size * size), np.zeros(len(rows))
+        place, value = np.empty(len(rows), np.int32), np.empty(len(rows))
+        for j in range(1, len(ids) - 1):
+            for k in range(j + 1, len(ids)):
+                end = ids[j] * np.int32(size) + ids[k]
+                for i in range(j):
+                    np.add(first[i], end, out=place)
+                    np.take(self.table, place, out=value, mode="clip")
+                    value *= DECAY ** (k - i + 1)
+                    out += value
         return out
 
 
@@ -229,20 +273,10 @@ class Model(NamedTuple):
     slope: float
     shift: float
 
-    @property
-    def lowest(self) -> float:
-        return self.bias
-
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
-def variants(word: str) -> list[str]:
-    """The word as people disguise it: with a letter inserted or doubled, or a sign between two."""
-    out = [word[:i] + c + word[i:] for i in range(1, len(word)) for c in (".", "x", word[i])]
-    return [x for x in out if len(x) <= WIDTH]
-
-
 def svm(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int = 800, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
     """Linear SVM, squared hinge loss, by accelerated gradient steps."""
     x = np.hstack([features, np.ones((len(features), 1))])
@@ -276,16 +310,6 @@ def separate(marks: list[str], x: np.ndarray, labels: np.ndarray, weights: np.nd
     return root @ w / scale, bias
 
 
-def fit(witnesses: list[str], others: list[str]) -> tuple[list[str], np.ndarray, float]:
-    """Landmarks, their weights and the bias, from single words as texts."""
-    toxic = list(dict.fromkeys(witnesses + [v for w in witnesses for v in variants(w)]))
-    marks, seen = landmarks(witnesses, others), set(toxic)
-    clean = [o for o in dict.fromkeys(others) if o not in seen]
-    y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
-    weights = np.where(y > 0, len(clean) / max(1, len(toxic)), 1.0)
-    return marks, *separate(marks, kernel(toxic + clean, marks), y, weights)
-
-
 def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and shift of P(toxic | margin), by Newton's method with a little shrinkage."""
     x = np.stack([margins, np.ones(len(margins))], axis=1)
@@ -297,71 +321,119 @@ def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def bag(text: str, word_of: dict[str, str]) -> set[str]:
-    """A text's distinct words, stripped and in lower case; ``word_of`` remembers what is stripped."""
-    tokens = set(text.split())
-    for t in tokens.difference(word_of):
-        word = clean_piece(t)
-        word_of[t] = word if forms(word) else ""
-    words = set(map(word_of.__getitem__, tokens))
-    words.update(w for w in map(str.lower, spelled(text)) if forms(w))
-    words.discard("")
-    return words
-
+class Bags(NamedTuple):
+    """Words of texts by sentence; an entry is a distinct word of a sentence."""
 
-class Scorer:
-    """Margins of texts; each distinct word is compared with the landmarks once."""
+    row: np.ndarray  # of each sentence; ascending
+    words: np.ndarray  # how many each sentence has
+    sentence: np.ndarray  # of each entry; ascending
+    token: np.ndarray  # a token of each entry's word
 
-    def __init__(self, model: Model) -> None:
-        self.model, self.known, self.word_of = model, {}, {}
-        self.project = Projection(model.landmarks, model.alpha)
 
-    def learn(self, words: set[str]) -> None:
-        fresh = list(words.difference(self.known))
-        cut = list(map(forms, fresh))
-        parts = list(set().union(*cut))
-        value = dict(zip(parts, self.project(parts).tolist(), strict=True))
-        self.known.update((w, sum(map(value.__getitem__, ps))) for w, ps in zip(fresh, cut, strict=True))
+class Reader:
+    """Texts as bags of words. A token is cleaned, and valued by ``value_of``, when it is first seen."""
 
-    def margins(self, texts: list[str]) -> list[float]:
-        if len(self.known) > CACHED or len(self.word_of) > CACHED:
-            self.known, self.word_of = {}, {}
-        bags = [bag(t, self.word_of) for t in texts]
-        self.learn(set().union(*bags))
-        known, bias = self.known, self.model.bias
-        return [bias + (fsum(map(known.__getitem__, words)) / len(words) ** 0.5 if words else 0.0) for words in bags]
+    def __init__(self, value_of: Callable[[list[str]], np.ndarray]) -> None:
+        self.value_of = value_of
+        self.tokens = StringTable(CACHED, CACHED_BYTES)
+        self.word, self.value = np.zeros(0, np.int64), np.zeros(0)
+        self.counts, self.stops, self.letter = (np.zeros(0, bool) for _ in range(3))
 
+    def trim(self) -> None:
+        kept = self.tokens.shrink()
+        if kept is not None:
+            self.word, self.value, self.counts, self.stops, self.letter = (x[kept] for x in (self.word, self.value, self.counts, self.stops, self.letter))
 
-def _pooled(marks):
-    """Kernels of texts with the landmarks."""
+    def learn(self, fresh: list[str]) -> None:
+        words = [clean_piece(t) for t in fresh]
+        cut = list(map(forms, words))
+        parts = list(set().union(*cut))
+        value = dict(zip(parts, self.value_of(parts).tolist(), strict=True))
+        n, flag = len(fresh), lambda xs: np.fromiter(xs, bool, len(fresh))
+        self.word = np.concatenate([self.word, np.fromiter(map(hash, words), np.int64, n)])  # equality within this process
+        self.value = np.concatenate([self.value, np.fromiter((sum(map(value.__getitem__, ps)) for ps in cut), float, n)])
+        self.counts = np.concatenate([self.counts, flag(map(bool, cut))])
+        self.stops = np.concatenate([self.stops, flag(t.rstrip("\"')]}")[-1:] in tuple(".!?") for t in fresh)])
+        self.letter = np.concatenate([self.letter, flag(len(t) < 3 and LETTER.fullmatch(t) is not None for t in fresh)])
+
+    def numbered(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        number, codes, fresh = self.tokens.look_up(strings)
+        if fresh:
+            self.learn(fresh)
+        return number, codes
+
+    def bags(self, texts: pa.Array) -> Bags:
+        self.trim()
+        split = pc.ascii_split_whitespace(texts)
+        edge = split.offsets.to_numpy()
+        number, codes = self.numbered(split.values.slice(edge[0], edge[-1] - edge[0]))
+        row = np.repeat(np.arange(len(texts)), np.diff(edge))
+        at, letter, stops = np.arange(len(codes)), self.letter[number][codes], self.stops[number][codes]
+        head = np.ones(len(codes), bool)
+        head[1:] = (row[1:] != row[:-1]) | stops[:-1]
+        since = at - np.maximum.accumulate(np.where(head, at, 0))
+        sentence = np.cumsum(head | (since % SPAN == 0)) - 1
+        rows = row[head | (since % SPAN == 0)]
+        # Two single letters in a row may begin a word that is spelled out.
+        maybe = np.unique(row[1:][letter[1:] & letter[:-1] & (row[1:] == row[:-1])])
+        joined = [(i, w) for i in maybe.tolist() for w in spelled(texts[i].as_py())]
+        if joined:
+            more, own = self.numbered(pa.array([w for _, w in joined], pa.string()))
+            codes = np.concatenate([codes, own + len(number)])
+            number = np.concatenate([number, more])
+            sentence = np.concatenate([sentence, len(rows) + np.arange(len(joined))])
+            rows = np.concatenate([rows, [i for i, _ in joined]])
+            order = np.argsort(rows, kind="stable")
+            rows, place = rows[order], np.empty(len(rows), np.int64)
+            place[order] = np.arange(len(rows))
+            sentence = place[sentence]
+        _, first, word = np.unique(self.word[number], return_index=True, return_inverse=True)
+        entries = (sentence * len(first) + word[codes])[self.counts[number][codes]]
+        entries = np.unique(entries)
+        sentence, token = entries // max(1, len(first)), number[first][entries % max(1, len(first))]
+        used, sentence, words = np.unique(sentence, return_inverse=True, return_counts=True)
+        return Bags(rows[used], words, sentence, token)
+
+    def margins(self, texts: pa.Array, bias: float) -> tuple[Bags, np.ndarray]:
+        """Every sentence's margin, if ``value_of`` gives the words' part in it."""
+        bags = self.bags(texts)
+        return bags, bias + np.bincount(bags.sentence, self.value[bags.token], len(bags.row)) / np.sqrt(bags.words)
+
+
+def worst(bags: Bags, margins: np.ndarray, n: int, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of ``n`` texts: the place of its sentence with the highest margin, -1 without any; that margin, or the bias."""
+    order = np.lexsort((np.arange(len(margins)), -margins, bags.row))
+    rows, first = np.unique(bags.row[order], return_index=True)
+    place, margin = np.full(n, -1), np.full(n, bias)
+    place[rows] = order[first]
+    margin[rows] = margins[order[first]]
+    return place, margin
+
+
+def _chosen(marks, alpha: np.ndarray, bias: float):
+    """Each text's margin and, of its worst sentence, the kernel with the landmarks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Subsequences(codes(marks.value))
-        values = tree.values / np.sqrt(np.maximum((tree.values**2).sum(axis=0), 1e-12))
+        reader = Reader(Projection(marks.value, alpha))
         for batch in batches:
             for part in pieces(batch):
-                word_of: dict[str, str] = {}
-                bags = [bag(t, word_of) for t in part.column("text").to_pylist()]
-                parts = list(set().union(*(p for words in bags for p in map(forms, words))))
-                place = {p: i for i, p in enumerate(parts)}
-                has: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(parts)
-                for places, rows in chunks(parts):
-                    row, leaf, weight = tree.found(rows)
-                    near, order = np.unique(row), np.argsort(row, kind="stable")
-                    own = np.ones(len(rows))
-                    own[near] = own_norm(rows[near]) if len(near) else 1.0
-                    row, leaf, weight = row[order], leaf[order], (weight / own[row])[order]
-                    edge = np.searchsorted(row, np.append(near, len(rows))).tolist()
-                    for i, a, b in zip(places[near].tolist(), edge, edge[1:], strict=False):
-                        has[i] = leaf[a:b], weight[a:b]
-                out = np.zeros((len(bags), values.shape[1]), np.float32)
-                for i, words in enumerate(bags):
-                    both = [has[place[p]] for w in words for p in forms(w)]
-                    if both:
-                        summed = np.bincount(np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both]), len(values))
-                        out[i] = summed @ values / len(words) ** 0.5
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), values.shape[1]).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), flat], ["doc_id", "x"])
+                texts = part.column("text")
+                bags, margins = reader.margins(texts, bias)
+                place, margin = worst(bags, margins, len(texts), bias)
+                new = np.full(len(bags.row) + 1, -1)
+                new[place] = np.arange(len(texts))
+                kept = new[:-1][bags.sentence] >= 0
+                token, text = bags.token[kept], new[bags.sentence[kept]]
+                words, word = np.unique(token, return_inverse=True)
+                cut = [forms(clean_piece(t)) for t in reader.tokens.strings.take(pa.array(words)).to_pylist()]
+                own = np.repeat(np.arange(len(cut)), list(map(len, cut)))
+                near = np.zeros((len(cut), len(marks.value)))
+                np.add.at(near, own, kernel([p for ps in cut for p in ps], marks.value))
+                x = np.zeros((len(texts), len(marks.value)))
+                np.add.at(x, text, near[word])
+                x /= np.sqrt(np.maximum(np.bincount(text, minlength=len(texts)), 1))[:, None]
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.float32)), x.shape[1]).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(margin), flat], ["doc_id", "margin", "x"])
 
     return run
 
@@ -394,11 +466,13 @@ def hash_of(a: str, b: str) -> int:
 
 def _margins(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        m = model.value
+        reader = Reader(Projection(m.landmarks, m.alpha))
         for batch in batches:
             for part in pieces(batch):
-                found = scorer.margins(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(found, pa.float64())], ["doc_id", "held_out", "margin"])
+                bags, margins = reader.margins(part.column("text"), m.bias)
+                _, margin = worst(bags, margins, part.num_rows, m.bias)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(margin)], ["doc_id", "held_out", "margin"])
 
     return run
 
@@ -421,7 +495,7 @@ def train(texts: DataFrame, labels: DataFrame) -> Model:
         share = 0.0 if not chosen else n_toxic / len(chosen)
         return Model([], 0, np.zeros(0), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     ids = texts.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")  # at most TOXIC + CLEAN rows
-    texts = written(texts.join(F.broadcast(ids), "doc_id").select("doc_id", "held_out", "text"), "labelled")
+    texts = written(texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "labelled")
     one = lambda v: F.sum(F.when(F.col("toxic") == v, 1).otherwise(0))
     counts = texts.mapInArrow(_witness_counts(sc.broadcast(chosen)), "piece string, around long, toxic int").distinct().groupBy("piece").agg(one(1).alias("t"), one(0).alias("c"))
     counts = written(counts, "pieces")
@@ -440,13 +514,16 @@ def train(texts: DataFrame, labels: DataFrame) -> Model:
     if not found or not others:
         return Model([], 0, np.zeros(0), 0.0, 0.0, float(np.log(n_toxic / clean)))
     marks = landmarks(found, others)
-    seen = texts.mapInArrow(_pooled(sc.broadcast(marks)), "doc_id long, x array<float>").toArrow()  # the sample
-    x = seen.column("x").combine_chunks().flatten().to_numpy().reshape(seen.num_rows, len(marks)).astype(float)
-    y = np.array([chosen[i] for i in seen.column("doc_id").to_pylist()], float)
-    alpha, bias = separate(marks, x, y, np.ones(len(y)))
-    model = Model(marks, len(found), alpha, bias, 1.0, 0.0)
-    slope, shift = logistic(x @ alpha + bias, y)
-    return model._replace(slope=slope, shift=shift)
+    shared = sc.broadcast(marks)
+    alpha, bias = np.where(np.arange(len(marks)) < len(found), 1.0, -1.0), 0.0  # chooses the first sentences
+    for step in range(ROUNDS + 1):
+        seen = texts.mapInArrow(_chosen(shared, alpha, bias), "doc_id long, margin double, x array<float>").toArrow()  # a row for each document of the sample
+        y = np.array([chosen[i] for i in seen.column("doc_id").to_pylist()], float)
+        if step == ROUNDS:
+            break
+        x = seen.column("x").combine_chunks().flatten().to_numpy().reshape(seen.num_rows, len(marks)).astype(float)
+        alpha, bias = separate(marks, x, y, np.ones(len(y)))
+    return Model(marks, len(found), alpha, bias, *logistic(seen.column("margin").to_numpy(), y))
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:

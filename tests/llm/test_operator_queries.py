@@ -276,11 +276,68 @@ def test_kernel_tolerates_gaps():
     close = toxicity.kernel(["idioot", "id*iot", "idxiot", "edition", "table"], ["idiot"])[:, 0]
     assert min(close[:3]) > 0.3 > max(close[3:])
     assert math.isclose(toxicity.kernel(["abcdefgh"], ["abcdefgh"])[0, 0], 1, rel_tol=1e-5)
-    clean = "table edition reading often window garden letters history moment quiet".split()
-    marks, alpha, bias = toxicity.fit(["idiot", "moron"], clean)
-    scorer = toxicity.Scorer(toxicity.Model(marks, 2, alpha, bias, 1.0, 0.0))
-    toxic = scorer.margins(["an i.d.i.o.t!", "mor_on", "such idxiots", "he is an i d i o t"])
-    assert min(toxic) > 0 > max(scorer.margins(["the table and a garden", "", "edition"]))
+
+
+def test_toxicity_is_exact(spark, duck):
+    """Scores against the kernel's and the margin's definitions, word by word, with the model that was trained."""
+    import os
+    import re
+    from itertools import combinations
+
+    from quillspark.llm import toxicity
+    from quillspark.llm.common import doc_text
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(doc_text(docs), labels)
+    assert model.landmarks
+
+    def triples(s):
+        out: dict = {}
+        for at in combinations(range(len(s)), toxicity.ORDER):
+            key = "".join(s[i] for i in at)
+            out[key] = out.get(key, 0.0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
+        return out
+
+    direction: dict = {}
+    for mark, weight in zip(model.landmarks, model.alpha, strict=True):
+        own = triples(mark)
+        norm = math.sqrt(sum(x * x for x in own.values()))
+        for key, x in own.items():
+            direction[key] = direction.get(key, 0.0) + weight * x / norm
+    values: dict = {}
+
+    def value(piece):
+        if piece not in values:
+            own = triples(piece)
+            values[piece] = sum(direction.get(k, 0.0) * x for k, x in own.items()) / math.sqrt(sum(x * x for x in own.values()))
+        return values[piece]
+
+    def margin(text):
+        sentences, now = [], []
+        for token in re.findall(r"[^\x20\x09-\x0d]+", text):
+            now.append(token)
+            if token.rstrip("\"')]}")[-1:] in (".", "!", "?") or len(now) == toxicity.SPAN:
+                sentences.append(now)
+                now = []
+        sentences += [now, *([w] for w in toxicity.spelled(text))]
+        found = [model.bias]
+        for sentence in sentences:
+            bag = {w for w in map(toxicity.clean_piece, sentence) if toxicity.forms(w)}
+            if bag:
+                found.append(model.bias + sum(value(p) for w in bag for p in toxicity.forms(w)) / math.sqrt(len(bag)))
+        return max(found[1:], default=model.bias)
+
+    more = [(-1, "an i.d.i.o.t"), (-2, ""), (-3, None), (-4, "he is an i d i o t. good m o r o n"), (-5, "x" * 5000 + "scum" * 30), (-6, "a b. c d"), (None, "scum")]
+    some = docs.where("doc_id % 7 = 1 and length(text) < 3000").select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in some.collect()}
+    shared = spark.sparkContext.broadcast(model)
+    rows = doc_text(some).selectExpr("*", "false held_out").mapInArrow(toxicity._margins(shared), "doc_id long, held_out boolean, margin double").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert math.isclose(r.margin, margin(texts[r.doc_id] or ""), rel_tol=1e-4, abs_tol=1e-4), r.doc_id
 
 
 def test_kernel_matches_brute_force():
