@@ -8,13 +8,17 @@ are then drawn by Gumbel top-k: a seeded Gumbel variate from doc_id is added and
 k is the number of documents whose weight reaches the level that best parts the labelled ones, a good
 one lost counting ``LOSS`` times a bad one kept.
 
-Labelled rows are a sample of at most ``LABELLED`` good and as many bad ones, those with the least hash
-of doc_id; all other counts cover all documents. The k-th highest key is found from a histogram, and
-only the documents in its bar are ordered.
+Labelled rows are a sample of at most ``LABELLED`` good and as many bad ones of the training folds, those
+with the least hash of doc_id; all other counts cover all documents. Labels of the documents whose
+crc32(doc_id as text) is divisible by ``FOLDS`` are never looked at, so they can measure the classifier.
+The k-th highest draw is found by histograms, each inside one bar of the one before, until a bar is
+taken whole or holds one value; rows with that very draw are told apart by row in the same way. Nothing is
+ordered in one place, however many documents share a bar.
 
 Null text: empty, weight 0. Null doc_id: a row of its own with one Gumbel variate; never a labelled one.
-Repeated rows: same weight and variate; ties are broken by row. No labels: every weight is 0 and all
-stay. Empty table: no rows.
+Repeated rows: same weight and variate; ties are broken by row. Repeated doc_id: in the sample, its least
+weight counts once. No labels: every weight is 0 and all stay. Very long texts: memory is a few times a
+text's size. Empty table: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,21 +26,25 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import doc_text, pieces, written
+from quillspark.llm.common import StringTable, crc_bucket, doc_text, pieces, written
 
 WORDS, PAIRS, SHAPES = 1 << 14, 1 << 14, 1 << 10
 TEMPER, LABELLED, LOSS, SEED = 64.0, 20_000, 4.0, 7
 #: Pseudo-counts of the target model, spread as the model of all documents.
 PRIOR = float(WORDS)
-#: Bars of the histogram in one unit of the key, and the keys it covers.
-BARS, REACH = 256, 1000.0
-CACHED = 400_000
+FOLDS = 5
+#: Bars of a histogram.
+BARS = 1 << 12
+#: Tokens that a task remembers, and bytes of their strings.
+CACHED, CACHED_BYTES = 600_000, 12_000_000
 SIZES = (WORDS, PAIRS, SHAPES)
 STARTS = (0, WORDS, WORDS + PAIRS)
 TOTAL = sum(SIZES)
@@ -54,42 +62,39 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "0", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", word[:64])))
 
 
+class Features(NamedTuple):
+    """Feature numbers of several texts in a row; a pair belongs to the text of both its words."""
+
+    row: np.ndarray
+    word: np.ndarray
+    form: np.ndarray
+    pair_row: np.ndarray
+    pair: np.ndarray
+
+
 class Hasher:
     """Feature numbers of texts; each distinct word is hashed once."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-        self.words: list[int] = []
-        self.forms: list[int] = []
-        self._hash = self._form = np.zeros(0, np.int64)
-
-    def look_up(self, word: str) -> int:
-        at = self.known[word] = len(self.words)
-        form = shape(word)
-        self.words.append(zlib.crc32(word.lower().encode("utf-8", "surrogatepass")))
-        self.forms.append(zlib.crc32(form.encode("utf-8", "surrogatepass")) % (SHAPES - 1) + 1)
-        return at
-
-    def features(self, texts: list[str]) -> list[np.ndarray]:
-        """The numbers of each text; new words of all texts enter the arrays together."""
-        known, rows = self.known, []
-        for text in texts:
-            words = text.split()
-            rows.append(np.fromiter([known[w] if w in known else self.look_up(w) for w in words], np.int64, len(words)))
-        old = len(self._hash)
-        self._hash = np.concatenate([self._hash, np.array(self.words[old:], np.int64)])
-        self._form = np.concatenate([self._form, np.array(self.forms[old:], np.int64)])
-        out = []
-        for at in rows:
-            word, form = self._hash[at], self._form[at]
-            form[1:][at[1:] == at[:-1]] = 0
-            pair = (word[:-1] * 1_000_003 + word[1:]) >> 7
-            out.append(np.concatenate([word % WORDS, STARTS[1] + pair % PAIRS, STARTS[2] + form]))
-        return out
-
-    def trim(self) -> None:
-        if len(self.words) > CACHED:
-            self.__init__()
+        self.tokens = StringTable(CACHED, CACHED_BYTES)
+        self.hash = self.form = np.zeros(0, np.int64)
+
+    def features(self, texts: pa.Array) -> Features:
+        kept = self.tokens.shrink()
+        if kept is not None:
+            self.hash, self.form = self.hash[kept], self.form[kept]
+        split = pc.ascii_split_whitespace(texts)
+        edge = split.offsets.to_numpy()
+        number, codes, fresh = self.tokens.look_up(split.values.slice(edge[0], edge[-1] - edge[0]))
+        crc = lambda words: np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(fresh))
+        self.hash = np.concatenate([self.hash, crc(map(str.lower, fresh))])
+        self.form = np.concatenate([self.form, crc(map(shape, fresh)) % (SHAPES - 1) + 1])
+        row = np.repeat(np.arange(len(texts)), np.diff(edge))
+        word, form = self.hash[number][codes], self.form[number][codes]
+        inside = row[1:] == row[:-1]
+        form[1:][(codes[1:] == codes[:-1]) & inside] = 0
+        pair = (((word[:-1] * 1_000_003 + word[1:]) >> 7) % PAIRS)[inside]
+        return Features(row, word % WORDS, STARTS[2] + form, row[1:][inside], STARTS[1] + pair)
 
 
 def _count(target_ids):
@@ -98,12 +103,12 @@ def _count(target_ids):
         everything, target = np.zeros(TOTAL, np.int64), np.zeros(TOTAL, np.int64)
         for batch in batches:
             for part in pieces(batch):
-                found = hasher.features(part.column("text").to_pylist())
-                good = [f for f, doc_id in zip(found, part.column("doc_id").to_pylist(), strict=True) if doc_id in wanted]
-                everything += np.bincount(np.concatenate(found), minlength=TOTAL)
-                if good:
-                    target += np.bincount(np.concatenate(good), minlength=TOTAL)
-                hasher.trim()
+                f = hasher.features(part.column("text"))
+                good = np.fromiter((i in wanted for i in part.column("doc_id").to_pylist()), bool, part.num_rows)
+                for row, found in ((f.row, f.word), (f.row, f.form), (f.pair_row, f.pair)):
+                    everything += np.bincount(found, minlength=TOTAL)
+                    if good.any():
+                        target += np.bincount(found[good[row]], minlength=TOTAL)
         seen = np.flatnonzero(everything)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(everything[seen]), pa.array(target[seen])], ["feature", "n", "t"])
 
@@ -125,10 +130,12 @@ def _weigh(ratios):
         hasher, ratio = Hasher(), ratios.value
         for batch in batches:
             for part in pieces(batch):
-                rows = hasher.features(part.column("text").to_pylist())
-                weights = [float(ratio[found].sum()) * TEMPER / (TEMPER + len(found)) for found in rows]
-                hasher.trim()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(weights, pa.float64())], ["doc_id", "log_weight"])
+                f, n = hasher.features(part.column("text")), part.num_rows
+                total, count = np.zeros(n), np.zeros(n)
+                for row, found in ((f.row, f.word), (f.pair_row, f.pair), (f.row, f.form)):
+                    total += np.bincount(row, ratio[found], n)
+                    count += np.bincount(row, minlength=n)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total * TEMPER / (TEMPER + count))], ["doc_id", "log_weight"])
 
     return run
 
@@ -146,46 +153,72 @@ def best_level(good: np.ndarray, bad: np.ndarray) -> float:
     return float((edges[i] + edges[i + 1]) / 2) if 0 < i < len(weights) else float(edges[i + 1])
 
 
-def labelled_ids(labels: DataFrame, quality: int) -> list[int]:
-    rows = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long")).distinct()
+def labelled_ids(labels: DataFrame, quality: int, folds: int = FOLDS) -> list[int]:
+    rows = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), folds) != 0))
+    rows = rows.select(F.col("doc_id").cast("long")).distinct()
     return [r[0] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).collect()]
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
+def draws(weighed: DataFrame, seed: int = SEED) -> DataFrame:
+    """``weighed`` (doc_id, log_weight) with row and draw: the weight plus the Gumbel variate of doc_id."""
+    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    draw = F.col("log_weight") - F.log(-F.log(uniform))
+    return weighed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "log_weight", draw.alias("draw"))
+
+
+def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, folds: int = FOLDS) -> DataFrame:
     """doc_id, log_weight, draw (weight plus Gumbel variate), keep: one row per document."""
     sc = docs.sparkSession.sparkContext
-    good, bad = labelled_ids(labels, 1), labelled_ids(labels, 0)
+    good, bad = labelled_ids(labels, 1, folds), labelled_ids(labels, 0, folds)
     texts = doc_text(docs)
     counted = texts.mapInArrow(_count(sc.broadcast(frozenset(good))), "feature long, n long, t long").groupBy("feature").agg(F.sum("n"), F.sum("t")).toArrow()
     everything, target = np.zeros(TOTAL), np.zeros(TOTAL)
     at = counted.column(0).to_numpy()
     everything[at], target[at] = counted.column(1).to_numpy(), counted.column(2).to_numpy()
     ratios = log_ratios(everything, target) if good else np.zeros(TOTAL)
-    weighed = texts.mapInArrow(_weigh(sc.broadcast(ratios)), "doc_id long, log_weight double")
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    draw = F.col("log_weight") - F.log(-F.log(uniform))
-    rows = written(weighed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "log_weight", draw.alias("draw")), "weighed")
+    rows = written(draws(texts.mapInArrow(_weigh(sc.broadcast(ratios)), "doc_id long, log_weight double"), seed), "weighed")
     known = docs.sparkSession.createDataFrame([(i, q) for q, ids in ((1, good), (0, bad)) for i in ids], "doc_id long, quality int")
-    seen = rows.join(F.broadcast(known), "doc_id").select("quality", "log_weight").toArrow()  # at most twice LABELLED documents
-    quality, weight = seen.column(0).to_numpy(), seen.column(1).to_numpy()
+    seen = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("log_weight").alias("log_weight")).toArrow()  # at most twice LABELLED rows
+    quality, weight = seen.column("quality").to_numpy(), seen.column("log_weight").to_numpy()
     level = best_level(weight[quality == 1], weight[quality == 0])
     k = rows.where(F.col("log_weight") >= level).count()
     return top_k(rows, k).select("doc_id", "log_weight", "draw", "keep")
 
 
-def top_k(rows: DataFrame, k: int) -> DataFrame:
+def bar_of(column: str, kind: str, low: float, high: float, bars: int) -> Column:
+    """The bar of a value between low and high; never a lower one for a higher value."""
+    if kind == "bigint":
+        return F.expr(f"CAST(({column} - {low}L) div {(high - low) // bars + 1}L AS INT)")
+    # Halves, so that the width of the widest range of doubles is finite.
+    share = (F.col(column) / 2 - low / 2) / (high / 2 - low / 2)
+    return F.least(F.floor(share * bars), F.lit(bars - 1)).cast("int")
+
+
+def nth_highest(rows: DataFrame, column: str, n: int, bars: int = BARS) -> tuple:
+    """The n-th highest value of a column, and how many rows with exactly this value are among the n highest."""
+    kind = dict(rows.dtypes)[column]
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    while low < high:
+        inside = rows.where(F.col(column).between(low, high)).groupBy(bar_of(column, kind, low, high, bars).alias("bar"))
+        for r in sorted(inside.agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect(), reverse=True):  # at most ``bars`` rows
+            if r.n >= n:
+                low, high = r.low, r.high
+                break
+            n -= r.n
+        if r.n == n:
+            return low, n if low == high else rows.where(F.col(column) == low).count()
+    return low, n
+
+
+def top_k(rows: DataFrame, k: int, bars: int = BARS) -> DataFrame:
     """``rows`` (row, draw, ...) with ``keep``: true for the k highest draws, ties by row."""
-    bar = F.floor(F.greatest(F.least(F.col("draw"), F.lit(REACH)), F.lit(-REACH)) * BARS).cast("long")
-    rows = rows.withColumn("bar", bar)
-    bars = sorted(rows.groupBy("bar").count().collect(), reverse=True)  # at most 2 * REACH * BARS
-    left, cut = k, None
-    for b, n in bars:
-        if n > left:
-            cut = b
-            break
-        left -= n
-    if cut is None:
-        return rows.withColumn("keep", F.lit(True)).drop("bar")
-    place = F.row_number().over(Window.orderBy(F.col("draw").desc(), "row"))
-    inside = rows.where(F.col("bar") == cut).withColumn("keep", place <= left)
-    return rows.where(F.col("bar") != cut).withColumn("keep", F.col("bar") > cut).unionByName(inside).drop("bar")
+    total = rows.count()
+    if k <= 0 or k >= total:
+        return rows.withColumn("keep", F.lit(k > 0))
+    level, ties = nth_highest(rows, "draw", k, bars)
+    same = rows.where(F.col("draw") == level)
+    keep = F.col("draw") > level
+    if ties == same.count():
+        return rows.withColumn("keep", keep | (F.col("draw") == level))
+    last, _ = nth_highest(same.select((-F.col("row")).alias("back")), "back", ties, bars)
+    return rows.withColumn("keep", keep | ((F.col("draw") == level) & (F.col("row") <= -last)))
