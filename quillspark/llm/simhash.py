@@ -1,111 +1,135 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-A fingerprint's 64 bits are majority votes over the hashes of a text's word shingles. Fingerprints
-within ``radius`` bits share two of ``radius + 2`` bit ranges at least, so each distinct fingerprint
-goes to one cell per pair of ranges. In a cell, fingerprints lie vertically: word p of a block of 64
-holds their p-th bits. A query updates the distances of a whole block at once with carry-save
-counters, bit plane after bit plane, and a block is abandoned once all its distances exceed the radius.
-Cells with too many fingerprints are cut into chunks and every pair of chunks is a task of its own.
-Only a spanning forest of a cell's links leaves it, so copies never become pairs.
+A fingerprint's bits are majority votes over the hashes of a text's word shingles; a lane is 64 of them.
+Distinct fingerprints that agree on chosen bits meet in a cell. In a cell, fingerprints lie vertically:
+word p of a block of 64 holds their p-th bits. A query updates the distances of a whole block at once with
+carry-save counters, bit plane after bit plane, and a block is abandoned once all its distances exceed the
+radius, or left out if all of it is linked with the query already. Cells with too many fingerprints are cut
+into chunks and every pair of chunks is a group of its own. Only a spanning forest of a group's links leaves
+it, so copies never become pairs.
+
+``near_duplicates`` links one lane within a few bits: such fingerprints share two of ``radius + 2`` bit
+ranges at least, so a cell for each two ranges misses nothing. ``similar_documents`` links texts with a
+Jaccard similarity of about ``similarity`` or more by four lanes: its radius is a standard deviation above
+the distance expected there, and its cells are as many seeded choices of bits as find such a pair with
+a probability of RECALL; a cell's bits grow with the number of fingerprints, so cells stay small.
 
 Null or empty text, or one without words: fingerprint zero, linked like any other. Fewer words than a
 shingle: the whole sequence. Null doc_id: a document of its own, never the representative of others.
-Repeated rows: one class. Empty table: no rows. Other columns: ignored.
+Repeated rows: one class. Ties in a vote: the bit is 0. Very long texts: memory is a few times a text's
+size. Empty table: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import doc_text, pieces, word_list, written
 from quillspark.llm.components import components
 
 BITS, SEED, RADIUS, SHINGLE = 64, 42, 3, 3
-#: Fingerprints in a chunk of a cell; (query, block) pairs compared in one go; planes between abandonments.
-CHUNK, PAIRS, STEP = 2048, 1 << 15, 8
+#: Lanes of ``similar_documents``; the share of pairs of just this similarity that its cells find.
+LANES, RECALL = 4, 0.99
+#: Fingerprints in a chunk of a cell; (query, block) pairs compared in one go, at first and at most; planes between abandonments.
+CHUNK, FEW_PAIRS, PAIRS, STEP = 2048, 1 << 11, 1 << 15, 8
+#: Bits of a cell's number that say which choice of bits it belongs to.
+CHOICE_SHIFT = 48
+#: Rows up to which large cells are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Parts into which rows of one fingerprint are dealt when they get their class.
+SALTS = 8
 #: Fingerprints whose bit planes are held together.
 AT_ONCE = 1 << 17
 HASHES_AT_ONCE = 1 << 15
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def text_fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of a word list, as a signed 64-bit number."""
+def text_fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED, lanes: int = 1) -> bytes:
+    """SimHash of a word list, lowest bit first; lanes after the first have hashes mixed from the first's."""
     from xxhash import xxh64_intdigest
 
     if not words:
-        return 0
+        return bytes(8 * lanes)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     spans = list(zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True))
-    votes = np.zeros(BITS, np.int64)
-    for k in range(0, n, HASHES_AT_ONCE):
-        some = spans[k : k + HASHES_AT_ONCE]
+    votes = np.zeros((lanes, BITS), np.int64)
+    for k in range(0, n, HASHES_AT_ONCE // lanes):
+        some = spans[k : k + HASHES_AT_ONCE // lanes]
         hashes = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in some), "<u8", len(some))
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view("<i8")[0])
+        for lane in range(lanes):
+            own = mixed(hashes, lane) if lane else hashes
+            votes[lane] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32 if lanes > 1 else np.int64)
+    return np.packbits(votes.reshape(-1) * 2 > n, bitorder="little").tobytes()
+
+
+def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Another 64 bits from each hash (the finaliser of SplitMix64)."""
+    z = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
-def _fingerprints(shingle: int, seed: int):
+def _fingerprints(shingle: int, seed: int, lanes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                found = [text_fingerprint(word_list(t), shingle, seed) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+                found = [text_fingerprint(word_list(t), shingle, seed, lanes) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (long) of every text."""
-    return doc_text(docs).mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long")
-
-
-def _within(planes: np.ndarray, valid: np.ndarray, queries: np.ndarray, query: np.ndarray, block: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, place) of all fingerprints within ``radius``; query[i] is compared with block[i].
-
-    Counters of 1, 2 and 4 plus a sticky overflow hold up to seven differing bits per lane.
-    """
-    for at in range(0, len(query), PAIRS):
-        q, b = query[at : at + PAIRS], block[at : at + PAIRS]
-        one, two, four, over = (np.zeros(len(q), np.uint64) for _ in range(4))
-        for p in range(BITS):
-            bit = ((queries[q] >> np.uint64(p)) & np.uint64(1)) * ONES
-            carry = planes[p][b] ^ bit
-            one, carry = one ^ carry, one & carry
-            two, carry = two ^ carry, two & carry
-            four, carry = four ^ carry, four & carry
-            over |= carry
-            if p % STEP == STEP - 1:
-                near = ~(over | _exceeds(one, two, four, radius)) & valid[b]
-                alive = near != 0
-                if not alive.all():
-                    q, b, one, two, four, over, near = (x[alive] for x in (q, b, one, two, four, over, near))
-                if not len(q):
-                    break
-        if len(q):
-            lanes = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            i, lane = np.nonzero(lanes)
-            yield q[i], b[i] * 64 + lane
-
-
-def _exceeds(one: np.ndarray, two: np.ndarray, four: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose counter is above ``radius`` (0 to 7), by comparing bits from the highest."""
-    above, equal = np.zeros_like(one), np.full_like(one, ONES)
-    for have, want in ((four, radius >> 2 & 1), (two, radius >> 1 & 1), (one, radius & 1)):
-        if want:
-            equal = equal & have
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, lanes: int = 1) -> DataFrame:
+    """doc_id, fp (binary, lowest byte first) of every text."""
+    return doc_text(docs).mapInArrow(_fingerprints(shingle, seed, lanes), "doc_id long, fp binary")
+
+
+def _within(planes: np.ndarray, valid: np.ndarray, queries: np.ndarray, q: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place) of all fingerprints within ``radius``; query q[i] is compared with block b[i]."""
+    counters = [np.zeros(len(q), np.uint64) for _ in range(radius.bit_length())]
+    over = np.zeros(len(q), np.uint64)
+    step = STEP * queries.shape[1]
+    for p in range(len(planes)):
+        bit = ((queries[q, p // BITS] >> np.uint64(p % BITS)) & np.uint64(1)) * ONES
+        carry = planes[p][b] ^ bit
+        for i in range(min(len(counters), (p + 1).bit_length())):
+            counters[i], carry = counters[i] ^ carry, counters[i] & carry
+        over |= carry if p + 1 >= 1 << len(counters) else 0
+        if p % step == step - 1:
+            near = ~(over | _exceeds(counters, radius)) & valid[b]
+            alive = near != 0
+            if not alive.all():
+                q, b, over, near = q[alive], b[alive], over[alive], near[alive]
+                counters = [c[alive] for c in counters]
+            if not len(q):
+                break
+    if not len(q):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lanes = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    i, lane = np.nonzero(lanes)
+    return q[i], b[i] * 64 + lane
+
+
+def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counter is above ``radius``, by comparing bits from the highest."""
+    above, equal = np.zeros_like(counters[0]), np.full_like(counters[0], ONES)
+    for i in reversed(range(len(counters))):
+        if radius >> i & 1:
+            equal = equal & counters[i]
         else:
-            above |= equal & have
-            equal = equal & ~have
+            above |= equal & counters[i]
+            equal = equal & ~counters[i]
     return above
 
 
@@ -123,77 +147,153 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def cell_links(groups: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside each group of distinct fingerprints, as two arrays."""
+    """A spanning forest of the links inside each group of distinct fingerprints (a row of lanes each), as two arrays."""
     size = np.fromiter(map(len, groups), np.int64, len(groups))
     blocks = (size + 63) // 64
     first = np.cumsum(blocks) - blocks
-    place = np.concatenate([f * 64 + np.arange(n) for f, n in zip(first, size, strict=True)]) if len(groups) else np.zeros(0, np.int64)
-    flat = np.zeros(int(blocks.sum()) * 64, np.uint64)
-    flat[place] = np.concatenate(groups).view(np.uint64) if len(groups) else 0
+    lanes = groups[0].shape[1]
+    place = np.concatenate([f * 64 + np.arange(n) for f, n in zip(first, size, strict=True)])
+    flat = np.zeros((int(blocks.sum()) * 64, lanes), np.uint64)
+    flat[place] = np.concatenate(groups)
     filled = np.zeros(len(flat), np.uint8)
     filled[place] = 1
-    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64).reshape(BITS, -1)
+    bits = np.unpackbits(flat.view(np.uint8), axis=1, bitorder="little")
+    planes = np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64).reshape(BITS * lanes, -1)
     valid = np.packbits(filled, bitorder="little").view(np.uint64)
     label = np.arange(len(flat))
-    for g in range(len(groups)):
-        if g and blocks[g] == 1 and blocks[g - 1] == 1:
-            continue  # small groups were taken together
-        stop = g + 1
-        while blocks[g] == 1 and stop < len(groups) and blocks[stop] == 1:
-            stop += 1
-        many = place[(place >= first[g] * 64) & (place < (first[stop - 1] + blocks[stop - 1]) * 64)]
-        own = np.searchsorted(first[g:stop], many // 64, side="right") - 1 + g
-        for at in range(0, len(many), PAIRS):
-            who, whose = many[at : at + PAIRS], own[at : at + PAIRS]
-            n = blocks[whose]
-            query = np.repeat(who, n)
-            block = np.repeat(first[whose], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+    def link(query: np.ndarray, block: np.ndarray) -> None:
+        nonlocal label
+        at, many = 0, FEW_PAIRS
+        while at < len(query):
+            q, b = query[at : at + many], block[at : at + many]
+            # A block that is linked with the query already has nothing to tell.
+            own = label.reshape(-1, 64)
+            one = np.where((own == own[:, :1]) | (filled.reshape(-1, 64) == 0), 1, 0).all(axis=1)
+            open_ = ~(one[b] & (own[b, 0] == label[q]))
+            label = merge(label, *_within(planes, valid, flat, q[open_], b[open_], radius))
+            at, many = at + many, min(PAIRS, many * 2)
+
+    small, large = np.flatnonzero(blocks == 1), np.flatnonzero(blocks > 1)
+    if len(small):
+        link(np.concatenate([first[g] * 64 + np.arange(size[g]) for g in small]), np.repeat(first[small], size[small]))
+    for g in large:
+        who = first[g] * 64 + np.arange(size[g])
+        for at in range(0, len(who), max(1, PAIRS // int(blocks[g]))):
+            some = who[at : at + max(1, PAIRS // int(blocks[g]))]
+            query, block = np.repeat(some, blocks[g]), np.tile(first[g] + np.arange(blocks[g]), len(some))
             later = block >= query // 64  # each unordered pair of blocks once
-            for a, b in _within(planes, valid, flat, query[later], block[later], radius):
-                label = merge(label, a, b)
+            link(query[later], block[later])
     tied = place[label[place] != place]
-    return flat[tied].view(np.int64), flat[label[tied]].view(np.int64)
+    return flat[tied], flat[label[tied]]
 
 
 def _links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = batch.column(0).offsets.to_numpy()
-            flat = batch.column(0).values.to_numpy(zero_copy_only=False)
+            lists = batch.column(0)
+            cut = lists.offsets.to_numpy()
+            flat = lanes_of(lists.values)
             first = 0
             while first < batch.num_rows:  # cells together, up to so many fingerprints
                 last = max(first + 1, int(np.searchsorted(cut, cut[first] + AT_ONCE, side="right")) - 1)
-                a, b = cell_links([flat[x:y] for x, y in zip(cut[first:last], cut[first + 1 : last + 1], strict=True)], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                found = cell_links([flat[x:y] for x, y in zip(cut[first:last], cut[first + 1 : last + 1], strict=True)], radius)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in side], pa.binary()) for side in found], ["a", "b"])
                 first = last
 
     return run
 
 
-def cells(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Arrays ``fps`` of fingerprints to compare with one another, for distinct fingerprints ``fp``."""
-    ranges = radius + 2
-    edge = [round(i * BITS / ranges) for i in range(ranges + 1)]
-    part = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edge, edge[1:], strict=False)]
-    keys = [F.struct(F.lit(k).alias("k"), part[i].alias("x"), part[j].alias("y")) for k, (i, j) in enumerate(combinations(range(ranges), 2))]
-    placed = fps.select("fp", F.explode(F.array(*keys)).alias("at")).select("fp", "at.*")
-    counts = placed.groupBy("k", "x", "y").agg(F.count("*").alias("n")).where("n > 1")
-    rows = placed.join(counts, ["k", "x", "y"]).withColumn("chunks", F.ceil(F.col("n") / chunk))
-    own = F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.col("chunks"))
-    mates = F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    rows = rows.withColumn("own", own).withColumn("mate", F.explode(mates))
-    lo, hi = F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi")
-    return rows.select("k", "x", "y", lo, hi, "fp").groupBy("k", "x", "y", "lo", "hi").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+def lanes_of(fps: pa.Array) -> np.ndarray:
+    """Fingerprints as rows of lanes."""
+    if not len(fps):
+        return np.zeros((0, 1), np.uint64)
+    width = len(fps[0].as_py())
+    return np.frombuffer(b"".join(fps.to_pylist()), "<u8").reshape(-1, width // 8)
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp, fingerprint (hex), component_id of every document."""
-    found = written(fingerprints(docs, shingle, seed), "fingerprints")
+def two_ranges(radius: int = RADIUS) -> list[np.ndarray]:
+    """The bits of every two of ``radius + 2`` ranges of a lane."""
+    edge = [round(i * BITS / (radius + 2)) for i in range(radius + 3)]
+    ranges = [np.arange(a, b) for a, b in zip(edge, edge[1:], strict=False)]
+    return [np.concatenate(p) for p in combinations(ranges, 2)]
+
+
+def seeded_choices(n_bits: int, per_cell: int, how_many: int, seed: int = SEED) -> list[np.ndarray]:
+    """``how_many`` choices of bits, cut from seeded orders of all bits."""
+    r, out = np.random.default_rng(seed), []
+    while len(out) < how_many:
+        order = r.permutation(n_bits)
+        out += [order[k : k + per_cell] for k in range(0, n_bits - per_cell + 1, per_cell)]
+    return out[:how_many]
+
+
+def _placed(choices: list[np.ndarray]):
+    weights = [np.int64(1) << np.arange(len(c), dtype=np.int64) for c in choices]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column("fp")
+            bits = np.unpackbits(lanes_of(fps).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            for k, (c, w) in enumerate(zip(choices, weights, strict=True)):
+                if len(fps):
+                    yield pa.RecordBatch.from_arrays([pa.array((k << CHOICE_SHIFT) + bits[:, c] @ w), fps], ["cell", "fp"])
+
+    return run
+
+
+def cells(fps: DataFrame, choices: list[np.ndarray] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Arrays ``fps`` of fingerprints to compare with one another, for distinct fingerprints ``fp``; ``choices``: the bits that a cell agrees on."""
+    placed = fps.select("fp").mapInArrow(_placed(choices or two_ranges()), "cell long, fp binary")
+    large = written(placed.groupBy("cell").count().where(F.col("count") > chunk), "large")
+    n = large.count()
+    group = lambda df, *by: df.groupBy(*by).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    if not n:
+        return group(placed, "cell")
+    large = F.broadcast(large) if n <= BROADCAST_ROWS else large
+    few = placed.join(large, "cell", "left_anti")
+    many = placed.join(large, "cell").withColumn("chunks", F.ceil(F.col("count") / chunk))
+    many = many.withColumn("own", F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.col("chunks"))).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    many = many.select("cell", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"), "fp")
+    # Pairs of chunks are dealt out by all three columns; by the cell alone they would share a task.
+    return group(few, "cell").unionByName(group(many.repartition("cell", "lo", "hi"), "cell", "lo", "hi"))
+
+
+def classes(found: DataFrame, radius: int, choices_for: Callable[[int], list[np.ndarray]]) -> DataFrame:
+    """doc_id, fp, component_id of every row of ``found`` (doc_id, fp); ``choices_for``: cells for so many fingerprints."""
     known = written(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    links = written(cells(known.select("fp"), radius).mapInArrow(_links(radius), "a long, b long").distinct(), "near")
+    links = written(cells(known.select("fp"), choices_for(known.count())).mapInArrow(_links(radius), "a binary, b binary").distinct(), "near")
     named = links.join(known.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(known.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
     # Classes of fingerprints are named by their smallest document.
-    classes = components(named.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    label = known.join(classes, known["rep"] == classes["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return found.join(label, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    tied = components(named.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    label = known.join(tied, known["rep"] == tied["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # A third of all rows may share a fingerprint: they meet its class in several tasks.
+    label = label.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(label, ["fp", "salt"], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, fingerprint (hex), component_id of every document; links are fingerprints within ``radius`` bits."""
+    found = written(fingerprints(docs, shingle, seed), "fingerprints")
+    joined = classes(found, radius, lambda _: two_ranges(radius))
+    return joined.select("doc_id", F.lower(F.hex(reversed_bytes(F.col("fp")))).alias("fingerprint"), "component_id")
+
+
+def reversed_bytes(fp: Column) -> Column:
+    """The eight bytes of a lane, highest first."""
+    return F.concat(*(F.substring(fp, i, 1) for i in range(8, 0, -1)))
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = SEED, lanes: int = LANES) -> DataFrame:
+    """doc_id, fp, component_id of every document; links are texts whose shingles' similarity is about ``similarity`` or more."""
+    bits = BITS * lanes
+    # Texts with this Jaccard similarity and like lengths have vectors with this cosine, whose angle gives the share of differing bits.
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+
+    def choices(n: int) -> list[np.ndarray]:
+        per_cell = min(max(math.ceil(math.log2(n + 1)) - 2, 8), CHOICE_SHIFT - 8)
+        return seeded_choices(bits, per_cell, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - share) ** per_cell)), seed)
+
+    return classes(written(fingerprints(docs, shingle, seed, lanes), "fingerprints"), radius, choices)

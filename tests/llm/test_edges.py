@@ -104,8 +104,7 @@ def test_simhash_cells_match_brute_force():
         centre = rng.integers(-(2**63), 2**63 - 1, size=max(1, n // 7))
         flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(n)], dtype=np.uint64)
         fps = np.unique(rng.choice(centre, n).view(np.uint64) ^ flips).view(np.int64)
-        a, b = simhash.cell_links([fps, np.array([1, 2], np.int64)])
-        assert all(bin(int(x) ^ int(y) & (2**64 - 1)).count("1") or True for x, y in zip(a, b, strict=True))
+        a, b = (x.view(np.int64)[:, 0] for x in simhash.cell_links([fps.view(np.uint64)[:, None], np.array([[1], [2]], np.uint64)]))
         parent = {int(x): int(x) for x in [*fps, 1, 2]}
 
         def root(x):
@@ -124,13 +123,61 @@ def test_simhash_cells_match_brute_force():
         assert classes(zip(a, b, strict=True)) == classes([*near, (1, 2)])
 
 
-def test_simhash_splits_large_cells(spark):
+def test_wide_cells_match_brute_force():
+    """Four lanes, a wide radius, blocks that are linked already: the same classes as from all pairs."""
+    from quillspark.llm import simhash
+
+    rng, radius = np.random.default_rng(8), 44
+    for n in (3, 64, 65, 400):
+        bits = rng.integers(0, 2, (max(1, n // 40), 256), np.uint8)[rng.integers(0, max(1, n // 40), n)]
+        for row in bits:
+            row[rng.choice(256, rng.integers(0, 40), replace=False)] ^= 1
+        bits = np.unique(bits, axis=0)
+        fps = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        a, b = simhash.cell_links([fps], radius)
+        label = np.arange(len(fps))
+        place = {x.tobytes(): i for i, x in enumerate(fps)}
+        near = np.argwhere((bits[:, None] != bits[None]).sum(axis=2) <= radius)
+        want = simhash.merge(label.copy(), near[:, 0], near[:, 1])
+        i, j = (np.array([place[x.tobytes()] for x in side], int) for side in (a, b))
+        assert (simhash.merge(label.copy(), i, j) == want).all()
+
+
+def test_simhash_splits_large_cells(spark, monkeypatch):
     from quillspark.llm import simhash
 
     rng = np.random.default_rng(2)
-    fps = spark.createDataFrame([(int(x),) for x in np.unique(rng.integers(0, 2**12, 400))], "fp long")
-    pairs = lambda chunk: {tuple(sorted(p)) for r in simhash.cells(fps, chunk=chunk).collect() for i, x in enumerate(r.fps) for y in r.fps[:i] for p in [(x, y)]}
-    assert pairs(50) == pairs(10_000)
+    fps = spark.createDataFrame([(bytearray(int(x).to_bytes(8, "little")),) for x in np.unique(rng.integers(0, 2**12, 400))], "fp binary")
+    pairs = lambda chunk: {tuple(sorted(map(bytes, p))) for r in simhash.cells(fps, chunk=chunk).collect() for i, x in enumerate(r.fps) for y in r.fps[:i] for p in [(x, y)]}
+    want = pairs(10_000)
+    assert pairs(50) == want
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
+    assert pairs(50) == want
+
+
+def test_similar_documents(spark, sf_dir):
+    """Against all pairs: classes join what has a similarity well above 0.8 and nothing well below it."""
+    from quillspark.llm import simhash
+    from quillspark.llm.common import word_list
+
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    rng = np.random.default_rng(4)
+    base = max(rows)
+    for i in list(rows)[:60]:  # copies with some words changed
+        words = (rows[i] or "").split()
+        for k in rng.choice(len(words), len(words) // 100, replace=False) if words else ():
+            words[k] = f"changed{k}"
+        rows[base + 1 + i] = " ".join(words)
+    docs = spark.createDataFrame([*rows.items(), (None, "only here"), (None, None)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert found[None] is None and len(found) == len(rows) + 1
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows.items() for w in [word_list(t or "")]}
+    pairs = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in rows for j in rows if j < i}
+    high = [found[i] == found[j] for (i, j), s in pairs.items() if s >= 0.85]
+    assert len(high) > 50 and sum(high) / len(high) > 0.97
+    for i in rows:  # a class's documents are tied by a chain of similar ones
+        if found[i] != i:
+            assert max(s for (x, y), s in pairs.items() if i in (x, y) and found[x] == found[y]) > 0.6
 
 
 def test_components(spark):
