@@ -2,16 +2,19 @@
 
 The base patterns find e-mail addresses, IP addresses, card and phone numbers. The field scores whole
 spans (their shape, length, checksum, alphabet and neighbours) against leaving their units alone, and a
-dynamic program over the units between base spans picks the boundaries and kinds together; a span has
-at most ``LONGEST`` units. Besides the base kinds it knows secrets (keys and tokens) and account numbers
-(long numbers that fail the card check). It is trained here, by conditional likelihood, on seeded
-sentences that carry such data and look-alikes (versions, dates, prices, identifiers).
-
-Only stretches around a digit or an at-sign can hold a span, and units outside spans score nothing, so
-decoding these stretches one by one gives the same result as decoding the text.
-
-Null text: empty, no spans. Null doc_id and repeated rows: each row has its result. Empty table: no rows.
-Every pattern scans a text in linear time, so very long runs of one character class do no harm.
+dynamic program over the units between base spans picks the boundaries and kinds together. A unit is a word
+with what joins its letters and digits, of any length; a segment has at most LONGEST units, and at most
+MAX_CHARS characters if it has more than one: the bounds of the model's segments. Besides the base kinds it
+knows secrets (keys and tokens) and account numbers (long numbers that fail the card check). It is trained
+here, by conditional likelihood, on seeded sentences that carry such data and look-alikes (versions, dates,
+prices, identifiers, compound names).
+
+Only words around a digit, an at-sign or a capital after a small letter can hold a span, and units outside
+spans score nothing, so decoding these stretches one by one gives the same result as decoding the text.
+
+Null text: empty, no spans. Null doc_id and repeated rows: each row has its result. Ties: the shorter segment
+that starts later, then the kind listed first. Very long texts: every pattern and every walk over spans takes
+time in proportion to the text. Empty table: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillspark.llm.common import doc_text, pieces
 
@@ -38,7 +42,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|[a-z][A-Z]")
+SPACE = re.compile(r"\s")
 
 
 def luhn(digits: str) -> bool:
@@ -118,17 +123,27 @@ def span_features(text: str, start: int, end: int) -> list[str]:
     if digits and letters and len(s) >= 16:
         out.append(f"hex={bool(HEX.fullmatch(s))}{_size(len(s))}")
         out.append(f"alphabet={bool(BASE64.fullmatch(s))}{len(set(s)) >= 10}")
+    elif letters and len(s) >= 16:
+        turns = len(re.findall("[a-z][A-Z]", s))
+        out.append(f"turns={min(turns, 4)}{bool(BASE64.fullmatch(s))}{turns * 8 >= len(s)}")
     return out
 
 
-def candidates(text: str, units: list[Unit], barred: list[Span] = ()) -> Iterator[tuple[int, int, list[str]]]:
-    """(first unit, last unit + 1, features) of the spans that hold a trigger, touch no barred span and no blank line."""
+def candidates(text: str, units: list[Unit], barred: list[Unit] = ()) -> Iterator[tuple[int, int, list[str]]]:
+    """(first unit, last unit + 1, features) of the spans that hold a trigger, touch no barred place and no blank line.
+
+    ``barred``: places in ascending order, apart from one another.
+    """
     hot = [bool(TRIGGER.search(text, a, b)) for a, b in units]
-    shut = [any(a < e and s < b for _, s, e in barred) for a, b in units]
+    shut, k = [], 0
+    for a, b in units:
+        while k < len(barred) and barred[k][1] <= a:
+            k += 1
+        shut.append(k < len(barred) and barred[k][0] < b)
     for i, (a, _) in enumerate(units):
         seen = False
         for j in range(i, min(i + LONGEST, len(units))):
-            if shut[j] or units[j][1] - a > MAX_CHARS or (j > i and units[j][0] - units[j - 1][1] > 1):
+            if shut[j] or (j > i and (units[j][1] - a > MAX_CHARS or units[j][0] - units[j - 1][1] > 1)):
                 break
             seen = seen or hot[j]
             if seen:
@@ -139,7 +154,7 @@ def _score(weights: Weights, kind: str, features: list[str]) -> float:
     return sum(weights.get((kind, f), 0.0) for f in features)
 
 
-def decode(text: str, units: list[Unit], weights: Weights, barred: list[Span] = ()) -> list[Span]:
+def decode(text: str, units: list[Unit], weights: Weights, barred: list[Unit] = ()) -> list[Span]:
     """The best segmentation: best[j] is the score of the first j units."""
     by_end: dict[int, list] = {}
     for i, j, features in candidates(text, units, barred):
@@ -166,37 +181,47 @@ def decode(text: str, units: list[Unit], weights: Weights, barred: list[Span] =
 
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Pieces of the text around triggers, cut at white space."""
+    """The words that hold triggers, those at most GAP characters apart together."""
     start = end = None
-    for m in TRIGGER.finditer(text):
-        if end is not None and m.start() - end > GAP:
-            yield _widened(text, start, end)
+    m = TRIGGER.search(text)
+    while m:
+        a, before = m.start(), end or 0
+        while a > before and not text[a - 1].isspace():
+            a -= 1
+        space = SPACE.search(text, m.end())
+        b = space.start() if space else len(text)
+        if end is not None and a - end > GAP:
+            yield start, end
             start = None
-        start = m.start() if start is None else start
-        end = m.end()
-    if start is not None:
-        yield _widened(text, start, end)
-
-
-def _widened(text: str, start: int, end: int) -> tuple[int, int]:
-    while start > 0 and not text[start - 1].isspace():
-        start -= 1
-    while end < len(text) and not text[end].isspace():
-        end += 1
-    return start, end
+        start, end = a if start is None else start, b
+        m = TRIGGER.search(text, b)
+    if end is not None:
+        yield start, end
+
+
+def union(spans: list[Span]) -> list[Unit]:
+    """The places that spans cover, in ascending order, apart from one another."""
+    out: list[Unit] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def find(text: str, weights: Weights) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans, both by kind and place."""
     base = base_spans(text)
+    covered, k = union(base), 0
     more: list[Span] = []
-    at = 0
     for a, b in stretches(text):
-        if a < at:
-            a = at
-        at = b
-        near = [s for s in base if s[1] < b and s[2] > a]
-        more += decode(text, units_of(text, a, b), weights, near)
+        while k < len(covered) and covered[k][1] <= a:
+            k += 1
+        last = k
+        while last < len(covered) and covered[last][0] < b:
+            last += 1
+        more += decode(text, units_of(text, a, b), weights, covered[k:last])
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(base + more, key=lambda s: (order[s[0]], s[1]))
 
@@ -229,7 +254,9 @@ def _example(r: random.Random, kind: str) -> str:
     if kind == "phone":
         return r.choice([f"+1 ({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", f"+{r.randint(20, 99)} {_digits(r, 3)} {_digits(r, 4)} {_digits(r, 3)}", f"({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", f"{_digits(r, 3)}-{_digits(r, 3)}-{_digits(r, 4)}"])
     if kind == "secret":
-        n = r.choice([24, 32, 40, 40, 64])
+        n = r.choice([24, 32, 40, 40, 64, 200])
+        if r.random() < 0.15:  # letters alone
+            return "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(n))
         return "".join(r.choice(r.choice(["0123456789abcdef", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])) for _ in range(n)) if r.random() < 0.3 else "".join(r.choice("0123456789abcdef") for _ in range(n))
     return _number(r, kind == "card")
 
@@ -239,6 +266,7 @@ def _look_alike(r: random.Random) -> str:
         f"{r.randint(1, 9)}.{r.randint(0, 9)}", f"{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 30)}", f"{r.randint(1900, 2030)}", f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}",
         f"{r.randint(1, 23)}:{r.randint(10, 59)}", f"${r.randint(1, 999)}.{r.randint(10, 99)}", f"#{_digits(r, r.randint(3, 7))}", _digits(r, r.randint(1, 11)), f"{_word(r)}{r.randint(1, 99)}", f"@{_word(r)}", f"{r.randint(1, 99)}%",
         f"{r.randint(256, 999)}.{r.randint(300, 999)}.{r.randint(1, 999)}.{r.randint(1, 999)}", f"{r.randint(1, 9)},{_digits(r, 3)},{_digits(r, 3)}", f"{_digits(r, 3)}-{_digits(r, 2)}",
+        "".join(_word(r).capitalize() for _ in range(r.randint(2, 6))), _word(r) + "".join(_word(r).capitalize() for _ in range(r.randint(1, 5))),
     ])
 
 
@@ -311,21 +339,24 @@ def _found(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                counts, digests, spans = [], [], []
+                counts, digests, spans, added = [], [], [], []
                 for text in part.column("text").to_pylist():
                     base, everything = find(text, weights.value)
                     kinds = [s[0] for s in base]
                     counts.append([kinds.count(k) for k in BASE_KINDS])
                     digests.append(hashlib.sha256(spans_text(base).encode()).hexdigest())
                     spans.append(spans_text(everything))
+                    added.append(len(everything) - len(base))
                 columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(BASE_KINDS))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
+                columns += [pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added"])
 
     return run
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (kind:start:end of all)."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (kind:start:end of all), n_added, n_spans."""
     weights = docs.sparkSession.sparkContext.broadcast(train())
-    schema = ", ".join(["doc_id long", *(f"n_{k} long" for k in BASE_KINDS), "base_sha256 string", "spans string"])
-    return doc_text(docs).mapInArrow(_found(weights), schema)
+    schema = ", ".join(["doc_id long", *(f"n_{k} long" for k in BASE_KINDS), "base_sha256 string", "spans string", "n_added long"])
+    found = doc_text(docs).mapInArrow(_found(weights), schema)
+    return found.withColumn("n_spans", F.col("n_added") + sum((F.col(f"n_{k}") for k in BASE_KINDS), F.lit(0)))
