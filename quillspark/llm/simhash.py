@@ -46,7 +46,7 @@ BROADCAST_ROWS = 200_000
 #: Parts into which rows of one fingerprint are dealt when they get their class.
 SALTS = 8
 #: Fingerprints whose bit planes are held together.
-AT_ONCE = 1 << 17
+AT_ONCE = 1 << 16
 HASHES_AT_ONCE = 1 << 15
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -95,22 +95,23 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, lane
     return doc_text(docs).mapInArrow(_fingerprints(shingle, seed, lanes), "doc_id long, fp binary")
 
 
-def _within(planes: np.ndarray, valid: np.ndarray, queries: np.ndarray, q: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, place) of all fingerprints within ``radius``; query q[i] is compared with block b[i]."""
+def _within(planes: np.ndarray, wanted: np.ndarray, queries: np.ndarray, q: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place) of all fingerprints within ``radius``; query q[i] is compared with the wanted[i] ones of block b[i]."""
     counters = [np.zeros(len(q), np.uint64) for _ in range(radius.bit_length())]
     over = np.zeros(len(q), np.uint64)
-    step = STEP * queries.shape[1]
+    near, step = wanted, STEP * queries.shape[1]
     for p in range(len(planes)):
         bit = ((queries[q, p // BITS] >> np.uint64(p % BITS)) & np.uint64(1)) * ONES
         carry = planes[p][b] ^ bit
         for i in range(min(len(counters), (p + 1).bit_length())):
             counters[i], carry = counters[i] ^ carry, counters[i] & carry
-        over |= carry if p + 1 >= 1 << len(counters) else 0
+        if p + 1 >= 1 << len(counters):
+            over |= carry
         if p % step == step - 1:
-            near = ~(over | _exceeds(counters, radius)) & valid[b]
+            near = ~(over | _exceeds(counters, radius)) & wanted
             alive = near != 0
             if not alive.all():
-                q, b, over, near = q[alive], b[alive], over[alive], near[alive]
+                q, b, over, near, wanted = q[alive], b[alive], over[alive], near[alive], wanted[alive]
                 counters = [c[alive] for c in counters]
             if not len(q):
                 break
@@ -147,44 +148,49 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def cell_links(groups: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside each group of distinct fingerprints (a row of lanes each), as two arrays."""
+    """A spanning forest of the links inside each group of distinct fingerprints (a row of lanes each), as two arrays.
+
+    All groups lie in a row; a block may hold the end of one and several others, of which a query wants its own.
+    """
     size = np.fromiter(map(len, groups), np.int64, len(groups))
-    blocks = (size + 63) // 64
-    first = np.cumsum(blocks) - blocks
-    lanes = groups[0].shape[1]
-    place = np.concatenate([f * 64 + np.arange(n) for f, n in zip(first, size, strict=True)])
-    flat = np.zeros((int(blocks.sum()) * 64, lanes), np.uint64)
-    flat[place] = np.concatenate(groups)
-    filled = np.zeros(len(flat), np.uint8)
-    filled[place] = 1
+    end = np.cumsum(size)
+    first, total, lanes = end - size, int(end[-1]), groups[0].shape[1]
+    flat = np.zeros((-(-total // 64) * 64, lanes), np.uint64)
+    flat[:total] = np.concatenate(groups)
     bits = np.unpackbits(flat.view(np.uint8), axis=1, bitorder="little")
-    planes = np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64).reshape(BITS * lanes, -1)
-    valid = np.packbits(filled, bitorder="little").view(np.uint64)
+    planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64).reshape(BITS * lanes, -1)
+    del bits
     label = np.arange(len(flat))
 
-    def link(query: np.ndarray, block: np.ndarray) -> None:
+    def link(query: np.ndarray, block: np.ndarray, group: np.ndarray) -> None:
         nonlocal label
+        lo, hi = np.maximum(first[group] - block * 64, 0), np.minimum(end[group] - block * 64, 64)
+        wanted = (ONES >> (64 - (hi - lo)).astype(np.uint64)) << lo.astype(np.uint64)
         at, many = 0, FEW_PAIRS
         while at < len(query):
-            q, b = query[at : at + many], block[at : at + many]
+            q, b, w = query[at : at + many], block[at : at + many], wanted[at : at + many]
             # A block that is linked with the query already has nothing to tell.
             own = label.reshape(-1, 64)
-            one = np.where((own == own[:, :1]) | (filled.reshape(-1, 64) == 0), 1, 0).all(axis=1)
+            one = (own == own[:, :1]).all(axis=1)
             open_ = ~(one[b] & (own[b, 0] == label[q]))
-            label = merge(label, *_within(planes, valid, flat, q[open_], b[open_], radius))
+            label = merge(label, *_within(planes, w[open_], flat, q[open_], b[open_], radius))
             at, many = at + many, min(PAIRS, many * 2)
 
-    small, large = np.flatnonzero(blocks == 1), np.flatnonzero(blocks > 1)
-    if len(small):
-        link(np.concatenate([first[g] * 64 + np.arange(size[g]) for g in small]), np.repeat(first[small], size[small]))
-    for g in large:
-        who = first[g] * 64 + np.arange(size[g])
-        for at in range(0, len(who), max(1, PAIRS // int(blocks[g]))):
-            some = who[at : at + max(1, PAIRS // int(blocks[g]))]
-            query, block = np.repeat(some, blocks[g]), np.tile(first[g] + np.arange(blocks[g]), len(some))
-            later = block >= query // 64  # each unordered pair of blocks once
-            link(query[later], block[later])
-    tied = place[label[place] != place]
+    def pairs(who: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each query with the blocks of its group from its own on: each unordered pair of blocks once."""
+        n = (end[group] - 1) // 64 - who // 64 + 1
+        return np.repeat(who, n), np.repeat(who // 64 - np.cumsum(n) + n, n) + np.arange(int(n.sum())), np.repeat(group, n)
+
+    member = np.repeat(np.arange(len(groups)), size)
+    small = np.flatnonzero(size[member] <= 64)
+    for at in range(0, len(small), PAIRS):
+        link(*pairs(small[at : at + PAIRS], member[small[at : at + PAIRS]]))
+    for g in np.flatnonzero(size > 64):
+        step = max(1, PAIRS * 64 // int(size[g]))
+        for at in range(int(first[g]), int(end[g]), step):
+            who = np.arange(at, min(at + step, int(end[g])))
+            link(*pairs(who, np.full(len(who), g)))
+    tied = np.flatnonzero(label[:total] != np.arange(total))
     return flat[tied], flat[label[tied]]
 
 
@@ -205,11 +211,12 @@ def _links(radius: int):
 
 
 def lanes_of(fps: pa.Array) -> np.ndarray:
-    """Fingerprints as rows of lanes."""
+    """Fingerprints, all of one length, as rows of lanes."""
     if not len(fps):
         return np.zeros((0, 1), np.uint64)
-    width = len(fps[0].as_py())
-    return np.frombuffer(b"".join(fps.to_pylist()), "<u8").reshape(-1, width // 8)
+    _, offsets, data = fps.buffers()
+    at = np.frombuffer(offsets, np.int32)[fps.offset : fps.offset + len(fps) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].copy().view("<u8").reshape(len(fps), -1)
 
 
 def two_ranges(radius: int = RADIUS) -> list[np.ndarray]:
