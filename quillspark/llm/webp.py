@@ -3,18 +3,22 @@
 ``decode`` reads prefix codes (simple, normal and grouped by a meta image), back-references and the
 colour cache, and inverts the predictor, cross-colour, subtract-green and palette transforms.
 ``encode_pixels`` writes any of these. Payloads of documents are stored as pictures 16 pixels (64 bytes)
-wide and ``TILE_ROWS`` high at most, one file after the other, with literal codes of up to eight bits;
-``encode_payloads`` and ``decode_payloads`` handle all tiles of a batch in step, a pixel of every tile at
-a time, and fall back on ``decode`` for pictures of any other form.
-
-Null text: empty, one row of zero bytes. Null doc_id and repeated rows: each row has its result. Empty
-table: no rows.
+wide and ``TILE_ROWS`` high at most, one file after the other. Each picture is stored in the form that is
+estimated to be smallest: literals; literals after the subtract-green or a predictor transform; literals,
+back-references and the colour cache; or a palette with back-references. ``encode_payloads`` and
+``decode_payloads`` handle all pictures of a batch in step, a token of every picture at a time; pictures with
+grouped or very long codes, which only other writers make, are read one by one.
+
+Null text: empty, one row of zero bytes. Null doc_id and repeated rows: each row has its result. Ties between
+forms: the first of those above. Very long texts: as many pictures as it takes; memory is a few dozen times a
+text's size. Empty table: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -25,7 +29,9 @@ from pyspark.sql import DataFrame
 
 from quillspark.llm.common import doc_text, pieces
 
-ROW_BYTES, TILE_ROWS, LIMIT = 64, 256, 8
+ROW_BYTES, TILE_ROWS = 64, 128
+#: Bytes of text whose pictures are handled in step.
+TOGETHER = 8_000_000
 WIDTH = ROW_BYTES // 4
 
 # Fixed values of the format.
@@ -177,8 +183,8 @@ def _prefixed(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
-def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """The entropy-coded picture as ARGB numbers."""
+def read_pixels(bits: Bits, width: int, height: int, main: bool, seen: Counter | None = None) -> np.ndarray:
+    """The entropy-coded picture as ARGB numbers; ``seen`` counts what it is made of."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     groups_of, shift = None, 0
     if main and bits.read(1):
@@ -193,6 +199,8 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         n = len(out)
         green, red, blue, alpha, distance = groups[groups_of[(n // width >> shift) * across + (n % width >> shift)] if groups_of else 0]
         s = green.read(bits)
+        if seen is not None:
+            seen["literal" if s < 256 else "reference" if s < 256 + LENGTH_SYMBOLS else "cache"] += 1
         if s < 256:
             r, b = red.read(bits), blue.read(bits)
             new = [alpha.read(bits) << 24 | r << 16 | s << 8 | b]
@@ -246,6 +254,13 @@ def predict(mode: int, left, top, right, corner) -> list[int]:
 
 def predicted(pixels: np.ndarray, width: int, modes: np.ndarray, size: int, forward: bool) -> np.ndarray:
     """Adds (or with ``forward`` subtracts) the predictions; modes: one per block of 2**size pixels."""
+    if not forward and len(modes) == 1 and modes[0] in (1, 2):
+        # The left or the upper pixel everywhere: sums along the rows or columns, which start from the other edge.
+        parts = channels(pixels).reshape(-1, width, 4).copy()
+        parts[0, 0, 3:] += np.uint8(255)
+        edge = parts[0] if modes[0] == 2 else parts[:, 0]
+        edge[:] = np.cumsum(edge, axis=0, dtype=np.uint8)
+        return numbers(np.cumsum(parts, axis=0 if modes[0] == 2 else 1, dtype=np.uint8).reshape(-1, 4))
     parts = channels(pixels).astype(int).tolist()
     done = parts if forward else []
     out = []
@@ -317,9 +332,16 @@ def file_size(data: bytes, at: int = 0) -> int:
     return 8 + int.from_bytes(data[at + 4 : at + 8], "little")
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels of a lossless WebP file as ARGB numbers, rows by columns."""
-    bits = Bits(vp8l(data))
+class Picture(NamedTuple):
+    """A file's head: its size, its transforms in the order of writing, the width that is stored."""
+
+    width: int
+    height: int
+    steps: list[tuple]
+    shown: int
+
+
+def read_head(bits: Bits) -> Picture:
     if bits.read(8) != SIGNATURE:
         raise ValueError("not a lossless picture")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -341,8 +363,12 @@ def decode(data: bytes) -> np.ndarray:
             shown = -(-shown >> bundle_bits(n))
         else:
             steps.append((kind, shown, 0, None))
-    pixels = read_pixels(bits, shown, height, main=True)
-    for kind, across, size, extra in reversed(steps):
+    return Picture(width, height, steps, shown)
+
+
+def restored(pixels: np.ndarray, picture: Picture) -> np.ndarray:
+    """The stored pixels with all transforms inverted."""
+    for kind, across, size, extra in reversed(picture.steps):
         if kind == PREDICTOR:
             pixels = predicted(pixels, across, channels(extra)[:, 1] & 15, size, forward=False)
         elif kind == CROSS_COLOUR:
@@ -351,7 +377,16 @@ def decode(data: bytes) -> np.ndarray:
             pixels = greened(pixels, forward=False)
         else:
             pixels = unbundled(pixels, across, extra)
-    return pixels.reshape(height, width)
+    return pixels
+
+
+def decode(data: bytes, seen: Counter | None = None) -> np.ndarray:
+    """The pixels of a lossless WebP file as ARGB numbers, rows by columns; ``seen`` counts what it is made of."""
+    bits = Bits(vp8l(data))
+    picture = read_head(bits)
+    if seen is not None:
+        seen.update(("predictor", "cross-colour", "subtract-green", "palette")[step[0]] for step in picture.steps)
+    return restored(read_pixels(bits, picture.shown, picture.height, True, seen), picture).reshape(picture.height, picture.width)
 
 
 # Writing.
@@ -391,8 +426,8 @@ def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     return np.where(units > 0, limit - np.log2(np.maximum(units, 1)).astype(int), 0)
 
 
-#: Lengths of the code for code lengths that all writers here use: complete over 0 to 8, 17 and 18.
-FLAT = {5: 3, 6: 3, 7: 3, 8: 3, 17: 3, 0: 4, 1: 4, 2: 4, 3: 4, 4: 4, 18: 4}
+#: Lengths of the code for code lengths that all writers here use: complete over 0 to 10, 17 and 18.
+FLAT = {s: 3 if s in (7, 8, 17) else 4 for s in (*range(11), 17, 18)}
 FLAT_CODE = canonical([FLAT.get(s, 0) for s in range(19)])
 
 
@@ -404,8 +439,8 @@ def put_code(out: Writer, lengths: np.ndarray, size: int) -> None:
         out.put(used[0] if used else 0, 8)
         return
     out.put(0, 1)
-    out.put(12 - 4, 4)
-    for s in LENGTH_ORDER[:12]:
+    out.put(14 - 4, 4)
+    for s in LENGTH_ORDER[:14]:
         out.put(FLAT.get(s, 0), 3)
     out.put(0, 1)
     at, value, n = 0, 0, 0  # gathered in a small number first
@@ -567,26 +602,268 @@ def encode_pixels(pixels: np.ndarray, options: Options = Options()) -> bytes:
 
 # Payloads of many documents in step.
 
-REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)])
-#: Order in a pixel's code, as places in its four bytes (red, green, blue, alpha).
-PIXEL_ORDER = (1, 0, 2, 3)
+#: Longest codes that are written, and read in step: of green, of red, blue and alpha, of distances.
+GREEN_LIMIT, LIMIT = 10, 8
+CACHE_BITS = 8
+GREENS = 256 + LENGTH_SYMBOLS + (1 << CACHE_BITS)
+LITERALS, GREENED, BY_LEFT, BY_TOP, MATCHED, COLOURED = range(6)
+#: Estimated bits of a code's description for each of its symbols, and of the rest of a file.
+SYMBOL_BITS, FILE_BITS, COLOUR_BITS = 5, 240, 40
+SHORTEST, LONGEST_MATCH = 3, 4096
+_NEAR = np.array(NEARBY)
+
+
+def _reversed(limit: int) -> np.ndarray:
+    """All numbers of ``limit`` bits with their bits in reverse."""
+    out, n = np.zeros(1 << limit, np.int64), np.arange(1 << limit)
+    for k in range(limit):
+        out |= (n >> k & 1) << (limit - 1 - k)
+    return out
+
+
+REVERSED = {n: _reversed(n) for n in range(1, GREEN_LIMIT + 1)}
 
 
-def _literal_codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per row of code lengths (up to 8 bits): each symbol's code, and the symbol | length << 8 for each next byte."""
-    n = len(lengths)
-    order = np.argsort(np.where(lengths > 0, lengths, 99) * 256 + np.arange(256), axis=1)
+def code_words(lengths: np.ndarray, limit: int) -> np.ndarray:
+    """Each symbol's code with its first bit lowest, for complete codes (a row each); a lone symbol's is empty."""
+    order = np.argsort(np.where(lengths > 0, lengths, 99) * lengths.shape[1] + np.arange(lengths.shape[1]), axis=1)
     sorted_lengths = np.take_along_axis(lengths, order, 1)
-    alone = (lengths > 0).sum(axis=1, keepdims=True) == 1
-    units = np.where(sorted_lengths > 0, np.where(alone, 256, 256 >> sorted_lengths), 0)
+    units = np.where(sorted_lengths > 0, 1 << (limit - np.minimum(sorted_lengths, limit)), 0)
     start = np.cumsum(units, axis=1) - units
     codes = np.zeros_like(lengths)
-    np.put_along_axis(codes, order, REVERSED[np.minimum(start, 255)], 1)
-    place = np.repeat(np.arange(n), 256)
-    filled = np.repeat((order | sorted_lengths << 8).reshape(-1), units.reshape(-1)).reshape(n, 256)
-    table = np.zeros((n, 256), np.int64)
-    table[place, np.tile(REVERSED, n)] = filled.reshape(-1)
-    return codes, table
+    np.put_along_axis(codes, order, REVERSED[limit][np.minimum(start, (1 << limit) - 1)], 1)
+    return codes
+
+
+def code_tables(lengths: np.ndarray, limit: int) -> np.ndarray:
+    """For each row of lengths and the next ``limit`` bits: the symbol | its length << 16. A lone symbol (length -1) takes no bits."""
+    lone = (lengths < 0).any(axis=1)
+    units = np.where(lengths > 0, 1 << (limit - np.maximum(lengths, 0)), 0)
+    units[lone] = np.where(lengths[lone] < 0, 1 << limit, 0)
+    if (units.sum(axis=1) != 1 << limit).any():
+        raise ValueError("an incomplete prefix code")
+    order = np.argsort(np.where(lengths != 0, lengths, 99) * lengths.shape[1] + np.arange(lengths.shape[1]), axis=1)
+    entry = order | np.maximum(np.take_along_axis(lengths, order, 1), 0) << 16
+    filled = np.repeat(entry.reshape(-1), np.take_along_axis(units, order, 1).reshape(-1)).reshape(len(lengths), -1)
+    return filled[:, REVERSED[limit]].astype(np.uint32)
+
+
+def lengths_for(counts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code lengths of each row, and the bits that each symbol takes (none if it is alone)."""
+    lengths = (counts > 0).astype(int)
+    many = lengths.sum(axis=1) > 1
+    if many.any():
+        lengths[many] = code_lengths(counts[many], limit)
+    return lengths, np.where(many[:, None], lengths, 0)
+
+
+def prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbols, numbers of extra bits and extra bits of lengths or distances."""
+    v = values - 1
+    extra = np.maximum(np.frexp(np.maximum(v, 1).astype(float))[1] - 2, 0)
+    small = v < 4
+    return np.where(small, v, 2 * extra + 2 + (v >> extra & 1)), np.where(small, 0, extra), np.where(small, 0, v & ((1 << extra) - 1))
+
+
+def matches(values: np.ndarray, tile: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of copies that don't overlap; ``last``: whether a pixel ends its tile.
+
+    A pixel looks back to the latest place in its tile where the same three pixels stand; a run of pixels
+    with one distance is a copy.
+    """
+    n, none = len(values), np.zeros(0, np.int64)
+    if n < SHORTEST:
+        return none, none, none
+    tail = last.copy()
+    tail[:-1] |= last[1:]
+    usable = np.flatnonzero(~tail[: n - 2]) if n > 2 else none
+    v = values.astype(np.uint64)
+    key = (v[usable] * np.uint64(0x9E3779B97F4A7C15) ^ v[usable + 1] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9) ^ v[usable + 2] * np.uint64(0x27D4EB2F165667C5)
+    key = (key ^ tile[usable].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+    order = np.argsort(key, kind="stable")
+    a, b = usable[order[:-1]], usable[order[1:]]
+    same = (tile[a] == tile[b]) & (values[a] == values[b]) & (values[a + 1] == values[b + 1]) & (values[a + 2] == values[b + 2])
+    far = np.zeros(n + 1, np.int64)
+    far[b[same]] = (b - a)[same]
+    head = np.flatnonzero((far[:-1] > 0) & (far[:-1] != np.concatenate([[0], far[:-2]])))
+    if not len(head):
+        return none, none, none
+    change = np.flatnonzero(far[1:] != far[:-1]) + 1
+    end = change[np.searchsorted(change, head, side="right")] + 2  # the last three pixels are copied whole
+    # A copy begins where the one before may have ended.
+    start = np.maximum(head, np.concatenate([[0], end[:-1]]))
+    start = np.where(np.concatenate([[False], tile[head[1:]] == tile[head[:-1]]]), start, head)
+    length = np.minimum(end - start, LONGEST_MATCH)
+    kept = length >= SHORTEST
+    return start[kept], length[kept], far[head][kept]
+
+
+class Tokens(NamedTuple):
+    """What a stream is made of: each token's tile, green symbol, colours if literal, and extra parts if a copy."""
+
+    tile: np.ndarray
+    green: np.ndarray
+    rest: np.ndarray  # red, blue, alpha
+    literal: np.ndarray
+    extra: np.ndarray  # of the length: bits and how many
+    extra_bits: np.ndarray
+    distance: np.ndarray  # symbol, bits and how many
+    far: np.ndarray
+    far_bits: np.ndarray
+
+
+def tokens_of(parts: np.ndarray, tile: np.ndarray, width: np.ndarray, copies: tuple | None, cached: np.ndarray | None) -> Tokens:
+    """``parts``: red, green, blue, alpha of each pixel; ``width``: of each copy's picture; ``cached``: cache slots of hits, else -1."""
+    n = len(parts)
+    green, literal = parts[:, 1].astype(np.int64), np.ones(n, bool)
+    extra, extra_bits, distance, far, far_bits = (np.zeros(n, np.int64) for _ in range(5))
+    kept = np.ones(n, bool)
+    if cached is not None:
+        hit = cached >= 0
+        green[hit], literal[hit] = 256 + LENGTH_SYMBOLS + cached[hit], False
+    if copies is not None:
+        start, length, back = copies
+        step = np.zeros(n + 1, np.int64)
+        step[start + 1] += 1
+        np.subtract.at(step, start + length, 1)
+        kept = np.cumsum(step[:n]) == 0
+        symbol, extra_bits[start], extra[start] = prefixes(length)
+        green[start], literal[start] = 256 + symbol, False
+        distance[start], far_bits[start], far[start] = prefixes(plane_codes(back, width))
+    rest = parts[:, [0, 2, 3]]
+    return Tokens(*(x[kept] for x in (tile, green, rest, literal, extra, extra_bits, distance, far, far_bits)))
+
+
+def plane_codes(back: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Distances as they are stored: a number of the nearest pixels, or 120 more."""
+    out = back + len(NEARBY)
+    for w in np.unique(width).tolist():
+        table = np.zeros(8 * w + 16, np.int64)
+        for k in range(len(NEARBY), 0, -1):
+            x, y = NEARBY[k - 1]
+            if x + y * w > 0:
+                table[x + y * w] = k
+        own = np.flatnonzero((width == w) & (back < len(table)))
+        known = table[back[own]]
+        out[own[known > 0]] = known[known > 0]
+    return out
+
+
+def bits_of(counts: np.ndarray) -> np.ndarray:
+    """Estimated bits of all symbols of a row and of their code."""
+    total = counts.sum(axis=1, keepdims=True)
+    return (counts * np.log2(np.where(counts > 0, np.maximum(total, 1) / np.maximum(counts, 1), 1))).sum(axis=1) + SYMBOL_BITS * (counts > 0).sum(axis=1)
+
+
+def histogram(tile: np.ndarray, symbol: np.ndarray, tiles: int, size: int) -> np.ndarray:
+    return np.bincount(tile * size + symbol, minlength=tiles * size).reshape(tiles, size)
+
+
+def stream_counts(t: Tokens, tiles: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per tile: counts of green symbols, of red, blue and alpha together, of distances."""
+    lit, copy = t.literal, (t.green >= 256) & (t.green < 256 + LENGTH_SYMBOLS)
+    three = histogram(np.repeat(t.tile[lit], 3), t.rest[lit].reshape(-1).astype(np.int64), tiles, 256)
+    return histogram(t.tile, t.green, tiles, GREENS), three, histogram(t.tile[copy], t.distance[copy], tiles, DISTANCE_SYMBOLS)
+
+
+def stream_bits(t: Tokens, tiles: int) -> np.ndarray:
+    green, rest, distance = stream_counts(t, tiles)
+    return bits_of(green) + bits_of(rest) + 2 * SYMBOL_BITS * (rest > 0).sum(axis=1) + bits_of(distance) + np.bincount(t.tile, t.extra_bits + t.far_bits, tiles)
+
+
+def tile_tokens(tiles: list[bytes]) -> tuple[Tokens, np.ndarray, dict[int, np.ndarray], np.ndarray]:
+    """The tokens of all tiles in order, each tile's form, the colours of those with a palette, and stored widths."""
+    n, lens = len(tiles), np.array([len(t) // 4 for t in tiles])
+    parts = np.frombuffer(b"".join(tiles), np.uint8).reshape(-1, 4)
+    tile, first = np.repeat(np.arange(n), lens), np.cumsum(lens) - lens
+    place = np.arange(len(parts)) - first[tile]
+    row, column = place // WIDTH, place % WIDTH
+    last = np.zeros(len(parts), bool)
+    last[first + lens - 1] = True
+    values = np.ascontiguousarray(parts).view("<u4")[:, 0].astype(np.int64)
+
+    before, above = np.zeros_like(parts), np.zeros_like(parts)
+    before[1:], above[WIDTH:] = parts[:-1], parts[:-WIDTH]
+    black = np.array([0, 0, 0, 255], np.uint8)
+    origin = (place == 0)[:, None]
+    forms = {
+        LITERALS: parts,
+        GREENED: parts - parts[:, [1]] * np.array([1, 0, 1, 0], np.uint8),
+        BY_LEFT: parts - np.where(origin, black, np.where((column == 0)[:, None], above, before)),
+        BY_TOP: parts - np.where(origin, black, np.where((row == 0)[:, None], before, above)),
+    }
+    argb = parts[:, 3].astype(np.int64) << 24 | parts[:, 0].astype(np.int64) << 16 | parts[:, 1].astype(np.int64) << 8 | parts[:, 2]
+    slot = (CACHE_FACTOR * argb & 0xFFFFFFFF) >> (32 - CACHE_BITS)
+    order = np.argsort(tile * (1 << CACHE_BITS) + slot, kind="stable")
+    a, b = order[:-1], order[1:]
+    hit = (tile[a] == tile[b]) & (values[a] == values[b])  # equal pixels share a slot
+    cached = np.full(len(parts), -1)
+    cached[b[hit]] = slot[b[hit]]
+    copies = matches(values, tile, last)
+    matched = tokens_of(parts, tile, np.full(len(copies[0]), WIDTH), copies, cached)
+    cost = np.full((6, n), np.inf)
+    for form, p in forms.items():
+        counts = histogram(np.repeat(tile, 3), p[:, [0, 2, 3]].reshape(-1).astype(np.int64), n, 256)
+        cost[form] = bits_of(histogram(tile, p[:, 1].astype(np.int64), n, 256)) + bits_of(counts) + 2 * SYMBOL_BITS * (counts > 0).sum(axis=1) + (FILE_BITS if form in (BY_LEFT, BY_TOP) else 0)
+    cost[MATCHED] = stream_bits(matched, n) + CACHE_BITS
+    # Palettes: of tiles with so few colours that a palette could pay.
+    order = np.argsort(tile << 32 | values, kind="stable")
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (tile[order[1:]] != tile[order[:-1]]) | (values[order[1:]] != values[order[:-1]])
+    colours = np.bincount(tile[order][fresh], minlength=n)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(fresh) - 1
+    rank -= (np.cumsum(colours) - colours)[tile]
+    few = (colours <= 256) & (2 * colours <= lens)
+    palettes: dict[int, np.ndarray] = {}
+    widths = np.full(n, WIDTH)
+    coloured = None
+    if few.any():
+        own, bundles = few[tile], np.select([colours <= 2, colours <= 4, colours <= 16], [3, 2, 1], 0)
+        bundle = bundles[tile[own]]
+        per = 8 >> bundle
+        across = WIDTH >> bundle  # the width is a multiple of eight
+        packed_lens = np.where(few, lens >> bundles, 0)
+        packed_first = np.cumsum(packed_lens) - packed_lens
+        at = packed_first[tile[own]] + row[own] * across + (column[own] >> bundle)
+        green = np.bincount(at, weights=rank[own] << (per * (column[own] & ((1 << bundle) - 1))), minlength=int(packed_lens.sum())).astype(np.int64)
+        packed_tile = np.repeat(np.arange(n), packed_lens)
+        packed_last = np.zeros(len(green), bool)
+        packed_last[(packed_first + packed_lens - 1)[few]] = True
+        four = np.zeros((len(green), 4), np.uint8)
+        four[:, 1], four[:, 3] = green, 255
+        widths[few] = WIDTH >> bundles[few]
+        copies = matches(green, packed_tile, packed_last)
+        coloured = tokens_of(four, packed_tile, widths[packed_tile[copies[0]]], copies, None)
+        cost[COLOURED] = np.where(few, stream_bits(coloured, n) + FILE_BITS + COLOUR_BITS * colours, np.inf)
+    form = np.argmin(cost, axis=0)
+    widths[form != COLOURED] = WIDTH
+    for k in np.flatnonzero(form == COLOURED).tolist():
+        p = np.unique(values[first[k] : first[k] + lens[k]]).astype("<u4").view(np.uint8).reshape(-1, 4).astype(np.uint32)
+        palettes[k] = p[:, 3] << 24 | p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]
+    chosen = [tokens_of(p[own], tile[own], None, None, None) for f, p in forms.items() if (own := (form == f)[tile]).any()]
+    chosen += [Tokens(*(x[(form == f)[t.tile]] for x in t)) for f, t in ((MATCHED, matched), (COLOURED, coloured)) if t is not None]
+    every = Tokens(*(np.concatenate(x) for x in zip(*chosen, strict=True)))
+    order = np.argsort(every.tile, kind="stable")
+    return Tokens(*(x[order] for x in every)), form, palettes, widths
+
+
+def put_forms(out: Writer, form: int, height: int, palette: np.ndarray | None) -> None:
+    """A file's head: its size and the transform of its form."""
+    put_header(out, WIDTH, height)
+    if form == GREENED:
+        out.put(SUBTRACT_GREEN << 1 | 1, 3)
+    elif form in (BY_LEFT, BY_TOP):
+        out.put(PREDICTOR << 1 | 1, 3)
+        out.put(7, 3)  # one block of 2**9 pixels
+        put_pixels(out, np.array([BLACK | (1 if form == BY_LEFT else 2) << 8], np.uint32), 1, main=False)
+    elif form == COLOURED:
+        out.put(PALETTE << 1 | 1, 3)
+        out.put(len(palette) - 1, 8)
+        put_pixels(out, numbers(np.diff(channels(palette), axis=0, prepend=np.zeros((1, 4), np.uint8))), len(palette), main=False)
+    out.put(0, 1)
+    out.put(CACHE_BITS << 1 | 1, 5) if form == MATCHED else out.put(0, 1)
+    out.put(0, 1)  # one group
 
 
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
@@ -594,40 +871,49 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     size = ROW_BYTES * TILE_ROWS
     tiles = [p[i : i + size] for p in payloads for i in range(0, len(p), size)]
     per = [-(-len(p) // size) for p in payloads]
-    flat = np.frombuffer(b"".join(tiles), np.uint8)
-    lens = np.array([len(t) for t in tiles])
-    owner = np.repeat(np.arange(len(tiles)), lens)
-    counts = np.bincount(owner * 256 + flat, minlength=256 * len(tiles)).reshape(-1, 256)
-    many = (counts > 0).sum(axis=1) > 1
-    lengths = (counts > 0).astype(int)
-    lengths[many] = code_lengths(counts[many], LIMIT)
-    codes, _ = _literal_codes(lengths)
-    bits_of = np.where(many[:, None], lengths, 0)
-    codes[~many] = 0
+    t, form, palettes, _ = tile_tokens(tiles)
+    n = len(tiles)
+    counts = stream_counts(t, n)
+    flat = form == COLOURED  # red, blue and alpha are the same everywhere
+    counts[1][flat] = 0
+    (green, green_bits), (rest, rest_bits), (far, far_bits) = (lengths_for(c, limit) for c, limit in zip(counts, (GREEN_LIMIT, LIMIT, LIMIT), strict=True))
+    green_codes, rest_codes, far_codes = code_words(green, GREEN_LIMIT), code_words(rest, LIMIT), code_words(far, LIMIT)
     heads = []
-    for t, own in zip(tiles, lengths, strict=True):
+    for k, data in enumerate(tiles):
         out = Writer()
-        put_header(out, WIDTH, len(t) // ROW_BYTES)
-        out.put(0, 3)  # no transform, no cache, one group
-        put_code(out, own, 256 + LENGTH_SYMBOLS)
+        put_forms(out, form[k], len(data) // ROW_BYTES, palettes.get(k))
+        put_code(out, green[k], GREENS if form[k] == MATCHED else 256 + LENGTH_SYMBOLS)
         one = Writer()
-        put_code(one, own, 256)
-        for _ in range(3):
-            out.put(one.value, one.at)
-        out.put(0b0001, 4)  # distances: one symbol, zero
+        put_code(one, rest[k], 256)
+        for channel in range(3):
+            if flat[k]:
+                out.put(255 << 3 | 0b101 if channel == 2 else 0b101, 11)
+            else:
+                out.put(one.value, one.at)
+        put_code(out, far[k], DISTANCE_SYMBOLS)
         heads.append(out)
-    px, tile = flat.reshape(-1, 4), np.repeat(np.arange(len(tiles)), lens // 4)
-    value, width = np.zeros(len(px), np.uint64), np.zeros(len(px), np.int64)
-    for c in PIXEL_ORDER:
-        value |= codes[tile, px[:, c]].astype(np.uint64) << width.astype(np.uint64)
-        width += bits_of[tile, px[:, c]]
+    # A token is two numbers: green with a length's extra bits, then the other colours or a distance.
+    width, value = np.zeros((len(t.tile), 2), np.int64), np.zeros((len(t.tile), 2), np.int64)
+    width[:, 0], value[:, 0] = green_bits[t.tile, t.green], np.where(green_bits[t.tile, t.green] > 0, green_codes[t.tile, t.green], 0)
+    value[:, 0] |= t.extra << width[:, 0]
+    width[:, 0] += t.extra_bits
+    lit = np.flatnonzero(t.literal & ~flat[t.tile])
+    for c in range(3):
+        own = rest_bits[t.tile[lit], t.rest[lit, c]]
+        value[lit, 1] |= np.where(own > 0, rest_codes[t.tile[lit], t.rest[lit, c]], 0) << width[lit, 1]
+        width[lit, 1] += own
+    copy = np.flatnonzero((t.green >= 256) & (t.green < 256 + LENGTH_SYMBOLS))
+    own = far_bits[t.tile[copy], t.distance[copy]]
+    value[copy, 1] = np.where(own > 0, far_codes[t.tile[copy], t.distance[copy]], 0) | t.far[copy] << own
+    width[copy, 1] = own + t.far_bits[copy]
+    value, width, tile = value.reshape(-1).astype(np.uint64), width.reshape(-1), np.repeat(t.tile, 2)
     head = np.array([h.at for h in heads])
-    total = head + np.bincount(tile, weights=width, minlength=len(tiles)).astype(np.int64)
+    total = head + np.bincount(tile, weights=width, minlength=n).astype(np.int64)
     words = (total + 63) // 32
     base = np.cumsum(words) - words
     ends = np.cumsum(width)
     before = ends - width
-    first = np.cumsum(lens // 4) - lens // 4
+    first = np.searchsorted(tile, np.arange(n))
     at = before - before[first][tile] + (base * 32 + head)[tile]
     shifted = value << (at & 31).astype(np.uint64)
     n_words = int(words.sum()) + 1
@@ -639,89 +925,163 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
         own = np.frombuffer(h.value.to_bytes((h.at + 31) // 32 * 4, "little"), "<u4")
         buffer[b : b + len(own)] |= own
     data = buffer.astype("<u4").tobytes()
-    files = [riff(data[4 * b : 4 * b + (n + 7) // 8]) for b, n in zip(base.tolist(), total.tolist(), strict=True)]
+    files = [riff(data[4 * b : 4 * b + (m + 7) // 8]) for b, m in zip(base.tolist(), total.tolist(), strict=True)]
     cut = np.cumsum([0, *per])
     return [b"".join(files[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def _plain(chunk: bytes) -> tuple[int, int, list[list[int]]] | None:
-    """Pixels, place of the first code and the four codes' lengths of a picture of literals with short codes, else None."""
-    bits = Bits(chunk)
-    if bits.read(8) != SIGNATURE:
-        return None
-    width, height = bits.read(14) + 1, bits.read(14) + 1
-    if bits.read(4) >> 1 or bits.read(1) or bits.read(2) or width != WIDTH:
+class Lane(NamedTuple):
+    """A picture whose pixels are read in step with others'."""
+
+    data: bytes
+    start: int  # bit of the first token
+    picture: Picture
+    cache_bits: int
+    lengths: list[np.ndarray]  # of green, red, blue, alpha, distances; -1: a lone symbol
+
+
+def open_lane(data: bytes) -> Lane | None:
+    """A picture's head and codes, or nothing if its codes are grouped or too long."""
+    bits = Bits(data)
+    picture = read_head(bits)
+    cache_bits = bits.read(4) if bits.read(1) else 0
+    if bits.read(1):
         return None
-    out = []
-    for k in range(4):
-        lengths, single = read_lengths(bits, 256 + (LENGTH_SYMBOLS if not k else 0))
-        if single is not None and single < 256:
-            out.append([-1 if s == single else 0 for s in range(256)])
-        elif single is None and max(lengths) <= LIMIT and not any(lengths[256:]):
-            out.append(lengths[:256])
+    found = []
+    n_before = before = 0
+    for k, size in enumerate((256 + LENGTH_SYMBOLS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_SYMBOLS)):
+        start = bits.at
+        if k in (2, 3) and start + n_before <= 8 * len(data):
+            if bits.read(n_before) == before:  # the same bits are the same code
+                found.append(found[-1])
+                continue
+            bits.at = start
+        lengths, single = read_lengths(bits, size)
+        n_before, bits.at = bits.at - start, start
+        before = bits.read(n_before)
+        if single is not None:
+            own = np.zeros(size, int)
+            own[single] = -1
         else:
+            own = np.array(lengths)
+        if own.max() > (GREEN_LIMIT if k == 0 else LIMIT):
             return None
-    read_lengths(bits, DISTANCE_SYMBOLS)
-    return width * height, bits.at, out
+        found.append(own)
+    return Lane(data, bits.at, picture, cache_bits, found)
+
+
+def read_in_step(lanes: list[Lane]) -> list[np.ndarray]:
+    """The pixels of all lanes: a token of every unfinished one at a time."""
+    n = len(lanes)
+    tables = []
+    for k in range(5):
+        lengths = np.zeros((n, max(len(x.lengths[k]) for x in lanes)), np.int64)
+        for row, x in zip(lengths, lanes, strict=True):
+            row[: len(x.lengths[k])] = x.lengths[k]
+        tables.append(code_tables(lengths, GREEN_LIMIT if k == 0 else LIMIT).reshape(-1))
+    n_bytes = np.array([len(x.data) for x in lanes])
+    data = np.frombuffer(b"".join(x.data for x in lanes) + bytes(16), np.uint8)
+    looks = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from any place on
+    at = (np.cumsum(n_bytes) - n_bytes) * 8 + np.array([x.start for x in lanes])
+    shown, total = np.array([x.picture.shown for x in lanes]), np.array([x.picture.shown * x.picture.height for x in lanes])
+    base = np.cumsum(total) - total
+    out = np.zeros(int(total.sum()), np.uint32)
+    cache_bits = np.array([x.cache_bits for x in lanes])
+    slots = 1 << int(cache_bits.max())
+    cache = np.zeros(n * slots if cache_bits.any() else 1, np.uint32)
+    here, stop, who, limit = base.copy(), base + total, np.arange(n), len(looks) - 1
+
+    def remember(lane: np.ndarray, pixels: np.ndarray) -> None:
+        bits = cache_bits[lane]
+        some = bits > 0
+        if some.any():
+            slot = (pixels[some].astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> (32 - bits[some]).astype(np.uint64)
+            cache[lane[some] * slots + slot.astype(np.int64)] = pixels[some]
+
+    while len(who):
+        w = looks[np.minimum(at >> 3, limit)] >> (at & 7).astype(np.uint64)
+        look = tables[0][(who << GREEN_LIMIT) + (w & np.uint64((1 << GREEN_LIMIT) - 1)).astype(np.int64)]
+        symbol, used = (look & 0xFFFF).astype(np.int64), (look >> 16).astype(np.int64)
+        w >>= used.astype(np.uint64)
+        step = np.ones(len(who), np.int64)
+        lit = np.flatnonzero(symbol < 256)
+        if len(lit):
+            lane, x = who[lit], w[lit]
+            pixels = symbol[lit].astype(np.uint32) << np.uint32(8)
+            for k, shift in ((1, 16), (2, 0), (3, 24)):
+                look = tables[k][(lane << LIMIT) + (x & np.uint64(255)).astype(np.int64)]
+                pixels |= (look & np.uint32(255)) << np.uint32(shift)
+                size = look >> np.uint32(16)
+                x >>= size.astype(np.uint64)
+                used[lit] += size
+            out[here[lit]] = pixels
+            remember(lane, pixels)
+        if len(lit) < len(who):
+            kept = np.flatnonzero(symbol >= 256 + LENGTH_SYMBOLS)
+            if len(kept):
+                lane = who[kept]
+                pixels = cache[lane * slots + symbol[kept] - 256 - LENGTH_SYMBOLS]
+                out[here[kept]] = pixels
+                remember(lane, pixels)
+            copy = np.flatnonzero((symbol >= 256) & (symbol < 256 + LENGTH_SYMBOLS))
+            if len(copy):
+                lane, x = who[copy], w[copy]
+                length, size = _values(symbol[copy] - 256, x)
+                x >>= size.astype(np.uint64)
+                look = tables[4][(lane << LIMIT) + (x & np.uint64(255)).astype(np.int64)]
+                x >>= (look >> np.uint32(16)).astype(np.uint64)
+                code, more = _values((look & np.uint32(0xFFFF)).astype(np.int64), x)
+                used[copy] += size + (look >> np.uint32(16)).astype(np.int64) + more
+                near = code <= len(NEARBY)
+                xy = _NEAR[np.where(near, code - 1, 0)]
+                far = np.where(near, np.maximum(1, xy[:, 0] + xy[:, 1] * shown[lane]), code - len(NEARBY))
+                if (far > here[copy] - base[lane]).any() or (here[copy] + length > stop[copy]).any():
+                    raise ValueError("a reference beyond the picture")
+                ends = np.cumsum(length)
+                i = np.arange(ends[-1]) - np.repeat(ends - length, length)
+                into = np.repeat(here[copy], length) + i
+                pixels = out[np.repeat(here[copy] - far, length) + i % np.repeat(far, length)]
+                out[into] = pixels
+                remember(np.repeat(lane, length), pixels)
+                step[copy] = length
+        at = at + used
+        here = here + step
+        open_ = here < stop
+        if not open_.all():
+            at, here, stop, who = at[open_], here[open_], stop[open_], who[open_]
+    return [out[a : a + m] for a, m in zip(base.tolist(), total.tolist(), strict=True)]
+
+
+def _values(symbol: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances of prefix symbols with their extra bits, and how many these are."""
+    extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+    rest = (bits & ((np.uint64(1) << extra.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + rest + 1), extra
+
+
+def files_of(stored: bytes) -> list[bytes]:
+    """The files of a series."""
+    out, at = [], 0
+    while at < len(stored):
+        step = file_size(stored, at)
+        out.append(stored[at : at + step])
+        at += step
+    return out
+
+
+def decode_files(files: list[bytes]) -> list[np.ndarray]:
+    """The pixels of each file as ARGB numbers, rows by columns."""
+    lanes = [open_lane(vp8l(f)) for f in files]
+    own = [x for x in lanes if x]
+    read = iter(read_in_step(own) if own else [])
+    return [restored(next(read), x.picture).reshape(x.picture.height, x.picture.width) if x else decode(f) for x, f in zip(lanes, files, strict=True)]
 
 
 def decode_payloads(stored: list[bytes]) -> list[bytes]:
     """The bytes of each series of files."""
-    chunks, per = [], []
-    for data in stored:
-        at = n = 0
-        while at < len(data):
-            step = file_size(data, at)
-            chunks.append(vp8l(data[at : at + step]))
-            at, n = at + step, n + 1
-        per.append(n)
-    plain = [_plain(c) for c in chunks]
-    out: list = [None] * len(chunks)
-    lanes = sorted((k for k, p in enumerate(plain) if p), key=lambda k: -plain[k][0])
-    for k, p in enumerate(plain):
-        if not p:
-            parts = channels(decode(riff(chunks[k])))
-            out[k] = parts[..., [2, 1, 0, 3]].tobytes()
-    if lanes:
-        lengths = np.array([plain[k][2] for k in lanes])  # lane, code, symbol
-        single = (lengths < 0).any(axis=2)
-        if (np.where(lengths > 0, 256 >> np.maximum(lengths, 0), 0).sum(axis=2)[~single] != 256).any():
-            raise ValueError("an incomplete prefix code")
-        _, table = _literal_codes(np.abs(lengths).reshape(-1, 256))
-        alone = (np.argmin(lengths, axis=2) * single).reshape(-1)
-        table[single.reshape(-1)] = alone[single.reshape(-1), None]
-        table = table.astype(np.uint32).reshape(-1)
-        n_bytes = np.array([len(chunks[k]) for k in lanes])
-        base = np.cumsum(n_bytes) - n_bytes
-        data = np.frombuffer(b"".join(chunks[k] for k in lanes) + b"\0" * 8, np.uint8)
-        # Any eight bytes from a byte's place, so that one look reads a pixel.
-        at = base * 8 + np.array([plain[k][1] for k in lanes])
-        pixels = np.array([plain[k][0] for k in lanes])
-        result = np.zeros((int(pixels.sum()), 4), np.uint8)
-        row = np.cumsum(pixels) - pixels
-        padded = np.zeros((len(data) + 7) // 8 * 8, np.uint8)
-        padded[: len(data)] = data
-        words = padded.view("<u4")
-        codes = np.arange(len(lanes)) * 4 * 256
-        live = len(lanes)
-        ends = np.searchsorted(-pixels, -np.arange(int(pixels[0]) + 1), side="left")  # lanes with more than n pixels
-        for n in range(int(pixels[0])):
-            live = int(ends[n])
-            here = at[:live]
-            word = here >> 5
-            window = (words[word].astype(np.uint64) | words[np.minimum(word + 1, len(words) - 1)].astype(np.uint64) << np.uint64(32)) >> (here & 31).astype(np.uint64)
-            used = np.zeros(live, np.int64)
-            for k, c in enumerate(PIXEL_ORDER):
-                look = table[codes[:live] + 256 * k + (window & np.uint64(255)).astype(np.int64)]
-                size = look >> np.uint32(8)
-                result[row[:live] + n, c] = look & np.uint32(255)
-                window >>= size.astype(np.uint64)
-                used += size
-            at[:live] = here + used
-        for k, r, n in zip(lanes, row.tolist(), pixels.tolist(), strict=True):
-            out[k] = result[r : r + n].tobytes()
-    cut = np.cumsum([0, *per])
-    return [b"".join(out[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    series = [files_of(data) for data in stored]
+    pixels = iter(decode_files([f for files in series for f in files]))
+    return [b"".join(channels(next(pixels))[..., [2, 1, 0, 3]].tobytes() for _ in files) for files in series]
 
 
 def payload(text: str) -> bytes:
@@ -744,7 +1104,7 @@ SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch):
+        for part in pieces(batch, limit=TOGETHER):
             payloads = [payload(t) for t in part.column("text").to_pylist()]
             n_bytes = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()], pa.int64())
             stored = encode_payloads(payloads)
@@ -771,3 +1131,20 @@ def pictures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(stored, pa.binary())], ["doc_id", "media"])
 
     return doc_text(docs).mapInArrow(run, "doc_id long, media binary")
+
+
+def pixel_arrays(media: DataFrame) -> DataFrame:
+    """doc_id, picture, width, height, argb of every picture in ``media`` (doc_id, media: a series of files)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "media"):
+                series = [files_of(x or b"") for x in part.column("media").to_pylist()]
+                read = decode_files([f for files in series for f in files])
+                doc_id = [i for i, files in zip(part.column("doc_id").to_pylist(), series, strict=True) for _ in files]
+                size = lambda k: pa.array([x.shape[k] for x in read], pa.int32())
+                argb = pa.array([x.reshape(-1).astype(np.int64) for x in read], pa.list_(pa.int64()))
+                columns = [pa.array(doc_id, pa.int64()), pa.array([k for files in series for k in range(len(files))], pa.int32()), size(1), size(0), argb]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "picture", "width", "height", "argb"])
+
+    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, picture int, width int, height int, argb array<long>")

@@ -263,6 +263,75 @@ def test_webp_reads_every_feature():
     assert len(webp.NEARBY) == 120 and webp.NEARBY[:4] == [(0, 1), (1, 0), (1, 1), (-1, 1)]
 
 
+def test_webp_reads_a_stream_built_by_hand():
+    """A literal, a cache hit and a back-reference, bit by bit; nothing here comes from the encoder."""
+    from quillspark.llm import webp
+
+    colour = 0xFF0C0B0D
+    slot = (0x1E35A7BD * colour % 2**32) >> 31
+    fields = [(0x2F, 8), (3, 14), (0, 14), (1, 1), (0, 3)]  # signature, four pixels by one, alpha, version
+    fields += [(0, 1), (1, 1), (1, 4), (0, 1)]  # no transform; a cache of two colours; one group
+    # Green: symbol 11 has one bit, 257 (two pixels more) and the cache's have two. Code lengths: 18 has one bit, 1 and 2 have two.
+    fields += [(0, 1), (1, 4), (0, 3), (1, 3), (0, 3), (2, 3), (2, 3)]
+    fields += [(1, 1), (1, 3), (5, 4)]  # seven lengths follow
+    fields += [(0, 1), (0, 7), (0b01, 2), (0, 1), (127, 7), (0, 1), (96, 7), (0b11, 2), (0, 1), (11 + slot, 7), (0b11, 2)]
+    for channel in (12, 13, 255):  # red, blue, alpha: one symbol each
+        fields += [(1, 1), (0, 1), (1, 1), (channel, 8)]
+    fields += [(1, 1), (0, 1), (0, 1), (1, 1)]  # distances: symbol 1, the pixel to the left
+    fields += [(0, 1), (0b11, 2), (0b01, 2)]  # literal, cache, copy
+    value = at = 0
+    for x, n in fields:
+        value, at = value | x << at, at + n
+    data = webp.riff(value.to_bytes((at + 7) // 8, "little"))
+    seen = webp.Counter()
+    assert webp.decode(data, seen).tolist() == [[colour] * 4] and seen == {"literal": 1, "cache": 1, "reference": 1}
+    assert webp.decode_files([data, data])[1].tolist() == [[colour] * 4]
+
+
+def test_webp_stores_by_the_smallest_form(texts):
+    """Every form of stored payloads, and how often documents take it."""
+    from quillspark.llm import webp
+
+    line = "the same line of sixty-three bytes that repeats over and over.\n"
+    odd = ["", "x" * 40_000, "ab" * 3000, "abcd" * 5000, line * 300, "a\0b" * 999, "".join(map(chr, range(1, 400))), "".join(chr(33 + i % 89) * 4 for i in range(700))]
+    seen = {}
+    for name, some in (("documents", list(texts.values())), ("odd", odd)):
+        payloads = [webp.payload(t or "") for t in some]
+        stored = webp.encode_payloads(payloads)
+        assert webp.decode_payloads(stored) == payloads
+        seen[name] = webp.Counter()
+        for p, data in zip(payloads, stored, strict=True):
+            pixels = [webp.decode(f, seen[name]) for f in webp.files_of(data)]
+            assert b"".join(webp.channels(x)[..., [2, 1, 0, 3]].tobytes() for x in pixels) == p
+    assert seen["documents"]["reference"] > 0 and seen["documents"]["cache"] > 0
+    assert sum(seen["odd"][k] > 0 for k in ("predictor", "palette", "subtract-green")) > 0
+
+
+def test_webp_in_step_reads_what_other_writers_make():
+    import numpy as np
+
+    from quillspark.llm import webp
+
+    rng, files = np.random.default_rng(6), []
+    for extra in ({}, {"green": True}, {"cache_bits": 5, "matches": True}, {"meta_bits": 2}, {"cross": (1, 2, 3), "matches": True}, {"predictor": 11}, {"predictor": 1}, {"predictor": 2}, {"palette": True, "matches": True}):
+        for _ in range(3):
+            pixels = rng.choice(rng.integers(0, 2**32, 9, dtype=np.uint64).astype(np.uint32), tuple(rng.integers(1, 30, 2)))
+            files.append((webp.encode_pixels(pixels, webp.Options(**extra)), pixels))
+    for found, (_, pixels) in zip(webp.decode_files([f for f, _ in files]), files, strict=True):
+        assert (found == pixels).all()
+
+
+def test_pixel_arrays(spark, sf_dir, texts):
+    from pyspark.sql import functions as F
+
+    from quillspark.llm import webp
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 20")
+    for r in webp.pixel_arrays(webp.pictures(docs)).where(F.col("picture") == 0).collect():
+        data = b"".join(bytes((p >> 16 & 255, p >> 8 & 255, p & 255, p >> 24)) for p in r.argb)
+        assert webp.payload(texts[r.doc_id] or "").startswith(data) and len(data) == 4 * r.width * r.height
+
+
 def test_webp_payloads(texts):
     from quillspark.llm import webp
 
