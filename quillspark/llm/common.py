@@ -91,6 +91,19 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         yield batch.slice(start)
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of all texts in a row, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
+    edge = split.offsets.to_numpy()
+    words = split.values.slice(edge[0], edge[-1] - edge[0])
+    empty = pc.equal(pc.binary_length(words), 0)
+    n = np.diff(edge).astype(np.int64)
+    if pc.any(empty).as_py():  # the only word of a text without words
+        words = words.filter(pc.invert(empty))
+        n[pc.equal(pc.binary_length(pc.ascii_trim_whitespace(texts)), 0).to_numpy(zero_copy_only=False)] = 0
+    return words, n
+
+
 class StringTable:
     """Numbers of strings, looked up by column operations; a full table keeps the strings used most."""
 

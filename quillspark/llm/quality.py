@@ -30,11 +30,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import StringTable, crc_bucket, doc_text, pieces, written
+from quillspark.llm.common import StringTable, crc_bucket, doc_text, pieces, split_words, written
 
 WORDS, PAIRS, SHAPES = 1 << 14, 1 << 14, 1 << 10
 TEMPER, LABELLED, LOSS, SEED = 64.0, 20_000, 4.0, 7
@@ -83,13 +82,12 @@ class Hasher:
         kept = self.tokens.shrink()
         if kept is not None:
             self.hash, self.form = self.hash[kept], self.form[kept]
-        split = pc.ascii_split_whitespace(texts)
-        edge = split.offsets.to_numpy()
-        number, codes, fresh = self.tokens.look_up(split.values.slice(edge[0], edge[-1] - edge[0]))
+        tokens, n = split_words(texts)
+        number, codes, fresh = self.tokens.look_up(tokens)
         crc = lambda words: np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(fresh))
         self.hash = np.concatenate([self.hash, crc(map(str.lower, fresh))])
         self.form = np.concatenate([self.form, crc(map(shape, fresh)) % (SHAPES - 1) + 1])
-        row = np.repeat(np.arange(len(texts)), np.diff(edge))
+        row = np.repeat(np.arange(len(texts)), n)
         word, form = self.hash[number][codes], self.form[number][codes]
         inside = row[1:] == row[:-1]
         form[1:][(codes[1:] == codes[:-1]) & inside] = 0

@@ -34,11 +34,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import StringTable, crc_bucket, doc_text, pieces, written
+from quillspark.llm.common import StringTable, crc_bucket, doc_text, pieces, split_words, written
 
 FOLDS = 5
 TOXIC, CLEAN = 4000, 8000
@@ -364,10 +363,9 @@ class Reader:
 
     def bags(self, texts: pa.Array) -> Bags:
         self.trim()
-        split = pc.ascii_split_whitespace(texts)
-        edge = split.offsets.to_numpy()
-        number, codes = self.numbered(split.values.slice(edge[0], edge[-1] - edge[0]))
-        row = np.repeat(np.arange(len(texts)), np.diff(edge))
+        tokens, n = split_words(texts)
+        number, codes = self.numbered(tokens)
+        row = np.repeat(np.arange(len(texts)), n)
         at, letter, stops = np.arange(len(codes)), self.letter[number][codes], self.stops[number][codes]
         head = np.ones(len(codes), bool)
         head[1:] = (row[1:] != row[:-1]) | stops[:-1]
