@@ -2,17 +2,20 @@
 
 Texts become words; every run of ``GRAM`` words has a hash; every window of ``span`` words keeps the
 smallest hash inside it. Two texts that share a window share its smallest hash, so joining the kept
-hashes of documents and items misses no shared window. A document with common hashes is read again:
-only its windows whose kept hash is common are spelled out, joined with the items' windows on the words
+hashes of documents and items misses no shared window. Only documents with common hashes are read again:
+their windows whose kept hash is common are spelled out, joined with the items' windows on the words
 themselves, and their union gives the hit words. Items shorter than a window are looked for as a whole,
 by the hash of all their words, in the same two passes.
 
+Phrases that occur in the same items are a class; a document's hits are joined with classes, and the items
+of each set of classes are put together once, so a phrase of every item doesn't multiply with the documents.
 Kept hashes of the items are broadcast while there are at most ``BROADCAST_ROWS`` of them; so are the
 documents' common hashes; above that both are shuffled. Copies of a text share one row of common hashes.
 
 Null text: no words. Null item_id: the item is left out. Null doc_id: a row of its own. Repeated
-documents: each gets its row. Repeated items: one item by its id. Empty tables: no rows, or no hits.
-Other columns: ignored.
+documents: each gets its row. Repeated items: one item by its id. Ties between hashes: the windows are
+compared by their words. Very long texts: time in proportion to the text, but for a logarithm of the hashes
+that it shares with items. Empty tables: no rows, or no hits. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from quillspark.llm.common import ascii_lower, written
 
 SPAN, GRAM = 10, 4
 BROADCAST_ROWS = 200_000
+#: Common hashes of a document up to which they are looked through in order; more are searched by halves.
+FEW = 32
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -63,33 +68,56 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _is_common(key: str) -> str:
+    """SQL for whether the hash ``key`` is in the sorted array ``common``."""
+    middle = "CAST((a.lo + a.hi) div 2 AS INT)"
+    halves = f"if(a.lo >= a.hi, a, if(common[{middle}] < {key}, struct({middle} + 1 as lo, a.hi as hi), struct(a.lo as lo, {middle} as hi)))"
+    place = f"aggregate(sequence(0, CAST(log2(size(common)) AS INT) + 1), struct(0 as lo, size(common) - 1 as hi), (a, step) -> {halves}, a -> a.lo)"
+    return f"if(size(common) <= {FEW}, array_contains(common, {key}), common[{place}] = {key})"
+
+
+def _found(lengths: list[int], span: int, gram: int) -> Column:
+    """The windows with a common hash: place, length, words."""
+    none = F.expr("CAST(array() AS array<struct<i: int, n: int, phrase: string>>)")
+    spelled = []
+    for n in lengths:
+        sql = f"filter(transform({_keys(n, span, gram)}, (k, i) -> if({_is_common('k')}, struct(i as i, {n} as n, array_join(slice(w, i + 1, {n}), ' ') as phrase), null)), x -> x is not null)"
+        spelled.append(F.coalesce(F.expr(f"if(size(h) < {n}, null, {sql})"), none))
+    return F.concat(*spelled) if spelled else none
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per document."""
     windows = written(item_windows(items, span, gram), "windows")
     keys = windows.select("key").distinct()
     n_windows = windows.count()
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most ``span`` values
-    texts = _hashed(docs.select("doc_id", "text").withColumn("th", F.xxhash64("text")), span, gram)
+    docs = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
+    texts = _hashed(docs, span, gram)
     arrays = [_some(n, _keys(n, span, gram), "array<bigint>") for n in lengths] or [F.expr("CAST(array() AS array<bigint>)")]
     kept = texts.select("th", F.explode(F.array_distinct(arrays[0] if len(arrays) == 1 else F.concat(*arrays))).alias("key"))
-    common = written(kept.join(_sized(keys, n_windows), "key").groupBy("th").agg(F.collect_set("key").alias("common")), "common")
-    spelled = []
-    for n in lengths:
-        sql = f"filter(transform({_keys(n, span, gram)}, (k, i) -> if(array_contains(common, k), struct(i as i, {n} as n, array_join(slice(w, i + 1, {n}), ' ') as phrase), null)), x -> x is not null)"
-        spelled.append(F.expr(f"if(common is null or size(h) < {n}, null, {sql})"))
-    none = F.expr("CAST(array() AS array<struct<i: int, n: int, phrase: string>>)")
-    found = F.concat(*[F.coalesce(x, none) for x in spelled]) if spelled else none
-    again = texts.join(_sized(common, common.agg(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0]), "th", "left")
-    rows = written(again.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("w").cast("long").alias("n_words"), found.alias("found")), "rows")
+    common = written(kept.join(_sized(keys, n_windows), "key").groupBy("th").agg(F.array_sort(F.collect_set("key")).alias("common")), "common")
+    common = _sized(common, common.agg(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0])
+    others = docs.join(common, "th", "left_anti").select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), _found([], span, gram).alias("found"))
+    again = _hashed(docs.join(common, "th"), span, gram)
+    again = again.select("doc_id", F.size("w").cast("long").alias("n_words"), _found(lengths, span, gram).alias("found"))
+    rows = written(others.unionByName(again).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "found"), "rows")
     spans = rows.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    phrases = windows.select("item_id", "phrase").distinct()
-    hits = spans.join(_sized(phrases, n_windows), "phrase").groupBy("row").agg(F.collect_set("item_id").alias("items"), F.array_sort(F.collect_set(F.struct("i", "n"))).alias("at"))
+    names = F.array_sort(F.collect_set(F.col("item_id").cast("string")))
+    phrases = windows.groupBy("phrase").agg(names.alias("items")).withColumn("class", F.sha2(F.to_json("items").cast("binary"), 256))
+    phrases = written(phrases, "phrases")
+    hits = spans.join(_sized(phrases.select("phrase", "class"), n_windows), "phrase").groupBy("row").agg(F.array_sort(F.collect_set("class")).alias("classes"), F.array_sort(F.collect_set(F.struct("i", "n"))).alias("at"))
     covered = F.expr("aggregate(at, struct(0L as n, 0L as upto), (a, x) -> struct(a.n + greatest(0L, x.i + x.n - greatest(a.upto, CAST(x.i AS BIGINT))) as n, greatest(a.upto, CAST(x.i + x.n AS BIGINT)) as upto), a -> a.n)")
-    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    hits = hits.select("row", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), names.alias("names"))
+    hits = written(hits.select("row", "classes", covered.alias("n_hit")), "hits")
+    members = phrases.groupBy("class").agg(F.first("items").alias("items"))
+    sets = hits.select("classes").distinct()
+    named = sets.select("classes", F.explode("classes").alias("class")).join(members, "class").select("classes", F.explode("items").alias("item"))
+    named = named.groupBy("classes").agg(F.array_sort(F.collect_set("item")).alias("names"))
+    named = named.select("classes", F.size("names").cast("long").alias("n_items"), F.array_join("names", ",").alias("names"))
+    hits = hits.join(named, "classes").select("row", "n_hit", "n_items", F.sha2(F.col("names").cast("binary"), 256).alias("items_sha256"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     out = rows.select("row", "doc_id", "n_words").join(hits, "row", "left")
-    return out.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("names", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 ORACLE = r"""

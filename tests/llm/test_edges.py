@@ -234,6 +234,34 @@ def test_webp(spark):
     assert media(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("rows", [200_000, -1])
+def test_decontamination_of_long_copies(spark, monkeypatch, rows):
+    """Documents with many common hashes, and a phrase of every item in every document, with tables broadcast and shuffled."""
+    import random
+
+    from quillspark.llm import decontam
+
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
+    r = random.Random(4)
+    common = "this very phrase of ten words stands in every item here"
+    item = {i: common + " " + " ".join(f"w{r.randrange(200)}" for _ in range(400)) for i in range(30)}
+    text = {i: f"{common} " + " ".join(item[r.randrange(30)].split()[20 : 20 + r.randrange(380)] + [f"x{k}" for k in range(9)]) for i in range(40)}
+    text[40] = " ".join(f"y{k}" for k in range(50))
+    found = {x.doc_id: x for x in decontam.decontaminate(spark.createDataFrame([*text.items()], "doc_id long, text string"), spark.createDataFrame([*item.items()], "item_id long, text string")).collect()}
+    windows: dict = {}
+    for i, t in item.items():
+        w = t.split()
+        for k in range(len(w) - 9):
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+    for i, t in text.items():
+        w = t.split()
+        hits = [k for k in range(len(w) - 9) if tuple(w[k : k + 10]) in windows]
+        names = sorted(set().union(*(windows[tuple(w[k : k + 10])] for k in hits)))
+        want = (len(w), len({p for k in hits for p in range(k, k + 10)}), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hits))
+        x = found[i]
+        assert (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) == want
+
+
 def test_decontamination(spark):
     from quillspark.llm.decontam import decontaminate
 
