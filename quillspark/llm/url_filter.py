@@ -2,14 +2,18 @@
 
 A path's segments get a shape first (runs of digits become ``#``, long hexadecimal runs ``%``). Then,
 host by host and level by level, a node with many children that hardly repeat has its rare children
-replaced by ``*``. Every node of the tree counts the rule-labelled URLs below it. From the root down, a
-branch whose counts don't differ significantly from its parent's is merged with it (it has the
-parent's purity); any other has its own share of blocked URLs, smoothed towards the parent's. Above a
-host's tree stands the same template over all hosts, and above that the share of all labelled URLs. A
-template is blocked at ``THRESHOLD`` or more.
+replaced by ``*``; levels end where no host has enough paths for that. Every node of the tree counts the
+rule-labelled URLs below it. Siblings of like purity are a band, and a branch that doesn't differ
+significantly from its band is merged with it: it has the band's counts. From the root down, a branch whose
+counts don't differ significantly from its parent's is merged with the parent; any other has its own share of
+blocked URLs, smoothed towards the parent's. Above a host's tree stands the same template over all hosts,
+and above that the blocked share of all URLs, those without a label counted as not blocked. A template is
+blocked at ``THRESHOLD`` or more.
 
 Null url, or one without ``://``: host and path are empty, no rule, the share of everything decides.
-No labelled URL at all: allowed. Null page_id and repeated rows: each row is judged. Empty table: no rows.
+No labelled URL at all: allowed. Null page_id and repeated rows: each row is judged. Ties: of equally long
+rules the first; a purity of just THRESHOLD blocks. Very long urls: time grows with the square of a path's
+segments, memory doesn't. Empty table: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,10 +43,12 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-#: Levels of a path that are told apart; deeper segments are one.
-LEVELS = 6
 CHILDREN, REPEATS, SHARE = 12, 5.0, 0.1
 SMOOTHING, SIGNIFICANT, THRESHOLD = 4.0, 3.84, 0.5
+#: Bands of purity in which siblings are merged.
+BANDS = 5
+#: Parts into which hosts are dealt where they meet a node over all hosts.
+SALTS = 8
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -61,22 +67,20 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -
 
 
 def shapes(path: Column) -> Column:
-    """The path's segments by shape, the deepest ones as one."""
+    """The path's segments by shape."""
     plain = F.regexp_replace(F.regexp_replace(path, r"(?<=^|[^0-9a-zA-Z])[0-9a-f]{16,}(?=$|[^0-9a-zA-Z])", "%"), r"[0-9]+", "#")
-    segments = F.split(F.regexp_replace(plain, "^/", ""), "/")
-    deep = F.concat(F.slice(segments, 1, LEVELS - 1), F.array(F.lit("**")))
-    return F.when(F.size(segments) >= LEVELS, deep).otherwise(segments)
+    return F.split(F.regexp_replace(plain, "^/", ""), "/")
 
 
 def _prefix(segments: Column, depth: Column | int) -> Column:
-    return F.array_join(F.slice(segments, 1, depth), "/")
+    """A node: the hash of the segments down to a depth."""
+    return F.xxhash64(F.slice(segments, 1, depth))
 
 
 def templates(paths: DataFrame) -> DataFrame:
     """``paths`` (host, shape, n, ...) with ``template``: the shape with variable segments as wildcards."""
-    t = paths.withColumn("template", F.col("shape"))
-    deepest = paths.agg(F.max(F.size("shape"))).first()[0] or 0
-    for d in range(deepest):
+    t, d = paths.withColumn("template", F.col("shape")), 0
+    while not t.where(F.size("template") > d).groupBy("host").count().where(F.col("count") >= CHILDREN).isEmpty():
         above, own = _prefix(F.col("template"), d).alias("above"), F.get("template", F.lit(d)).alias("own")
         children = t.where(F.size("template") > d).groupBy("host", above, own).agg(F.sum("n").alias("n"))
         parents = children.groupBy("host", "above").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
@@ -84,47 +88,72 @@ def templates(paths: DataFrame) -> DataFrame:
         rare = children.join(variable, ["host", "above"]).where(F.col("n") < SHARE * F.col("total")).select("host", "above", "own", F.lit(True).alias("rare"))
         t = t.withColumns({"above": _prefix(F.col("template"), d), "own": F.get("template", F.lit(d))})
         t = t.join(rare, ["host", "above", "own"], "left")
-        wild = F.concat(F.slice("template", 1, d), F.array(F.lit("*")), F.slice("template", d + 2, LEVELS))
+        wild = F.concat(F.slice("template", 1, d), F.array(F.lit("*")), F.slice("template", F.lit(d + 2), F.greatest(F.size("template") - d - 1, F.lit(0))))
         t = t.withColumn("template", F.when(F.col("rare"), wild).otherwise(F.col("template"))).drop("above", "own", "rare")
-        t = written(t, "templates")
+        t, d = written(t, "templates"), d + 1
     return t
 
 
+def _gain(b: Column, n: Column, p: Column) -> Column:
+    """The likelihood-ratio statistic of b of n against the share p."""
+    safe = F.greatest(F.least(p, F.lit(0.999)), F.lit(0.001))
+    log_of = lambda k, q: F.when(k > 0, k * F.log(k / n / q)).otherwise(0.0)
+    return 2 * (log_of(b, safe) + log_of(n - b, 1 - safe))
+
+
+def merged(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (host, depth, above, node, b, n) with the counts of its band for every branch that resembles it."""
+    family, band = ["host", "depth", "above"], ["host", "depth", "above", "band"]
+    whole = nodes.groupBy(*family).agg(F.sum("b").alias("all_b"), F.sum("n").alias("all_n"))
+    rows = nodes.join(whole, family)
+    share = F.when(F.col("all_n") > 0, F.col("all_b") / F.col("all_n")).otherwise(0.0)
+    rows = rows.withColumn("band", F.least(F.floor((F.col("b") + SMOOTHING * share) / (F.col("n") + SMOOTHING) * BANDS), F.lit(BANDS - 1)).cast("int")).drop("all_b", "all_n")
+    rows = written(rows, "nodes")
+    pools = rows.groupBy(*band).agg(F.sum("b").alias("band_b"), F.sum("n").alias("band_n"))
+    rows = rows.join(pools, band)
+    alike = (F.col("n") == 0) | (_gain(F.col("b"), F.col("n"), F.try_divide("band_b", "band_n")) < SIGNIFICANT)
+    pick = lambda c: F.when(alike & (F.col("band_n") > 0), F.col(f"band_{c}")).otherwise(F.col(c)).alias(c)
+    return rows.select("host", "depth", "node", pick("b"), pick("n"))
+
+
 def purities(paths: DataFrame) -> DataFrame:
     """host, shape, template, purity (smoothed share of blocked URLs) for each of ``paths`` (host, shape, n, blocked, labelled)."""
     t = templates(paths)
-    prior = paths.agg(F.sum("blocked"), F.sum("labelled")).first()
+    prior = paths.agg(F.sum("blocked"), F.sum("n")).first()
     prior = (prior[0] or 0) / prior[1] if prior[1] else 0.0
     leaves = t.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-    depths = F.explode(F.sequence(F.lit(1), F.size("template"))).alias("depth")
-    below = leaves.select("host", "template", "blocked", "labelled", depths).withColumn("node", _prefix(F.col("template"), F.col("depth")))
+    leaves = leaves.withColumn("leaf", F.xxhash64("template"))
+    depths = F.explode(F.transform(F.sequence(F.lit(1), F.size("template")), lambda d: F.struct(d.alias("depth"), _prefix(F.col("template"), d - 1).alias("above"), _prefix(F.col("template"), d).alias("node")))).alias("at")
+    below = written(leaves.select("host", "leaf", "blocked", "labelled", depths).select("host", "leaf", "blocked", "labelled", "at.*"), "below")
     counts = (F.sum("blocked").cast("double").alias("b"), F.sum("labelled").cast("double").alias("n"))
-    own = below.groupBy("host", "depth", "node").agg(*counts)
-    pooled = own.groupBy("depth", "node").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+    own = written(merged(below.groupBy("host", "depth", "above", "node").agg(*counts)), "own")
+    pooled = below.groupBy("depth", "node").agg(*counts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     step = lambda level: F.struct(F.lit(level).alias("level"), "depth", "b", "n").alias("step")
-    wanted = below.select("host", "template", "depth", "node")
-    chain = wanted.join(own, ["host", "depth", "node"]).select("host", "template", step(1))
-    chain = chain.unionByName(wanted.join(pooled, ["depth", "node"]).select("host", "template", step(0)))
-    chain = chain.groupBy("host", "template").agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    wanted = below.select("host", "leaf", "depth", "node", F.pmod(F.xxhash64("host"), F.lit(SALTS)).cast("int").alias("salt"))
+    chain = wanted.join(own, ["host", "depth", "node"]).select("host", "leaf", step(1))
+    chain = chain.unionByName(wanted.join(pooled, ["depth", "node", "salt"]).select("host", "leaf", step(0)))
+    chain = chain.groupBy("host", "leaf").agg(F.array_sort(F.collect_list("step")).alias("steps"))
 
     def refine(p: Column, x: Column) -> Column:
-        safe = F.greatest(F.least(p, F.lit(0.999)), F.lit(0.001))
-        log_of = lambda k, q: F.when(k > 0, k * F.log(k / x["n"] / q)).otherwise(0.0)
-        gain = 2 * (log_of(x["b"], safe) + log_of(x["n"] - x["b"], 1 - safe))
-        return F.when((x["n"] == 0) | (gain < SIGNIFICANT), p).otherwise((x["b"] + SMOOTHING * p) / (x["n"] + SMOOTHING))
+        alike = (x["n"] == 0) | (_gain(x["b"], x["n"], p) < SIGNIFICANT)
+        return F.when(alike, p).otherwise((x["b"] + SMOOTHING * p) / (x["n"] + SMOOTHING))
 
     purity = F.aggregate("steps", F.lit(float(prior)), refine)
-    return t.select("host", "shape", "template").join(chain.select("host", "template", purity.alias("purity")), ["host", "template"])
+    return t.withColumn("leaf", F.xxhash64("template")).join(chain.select("host", "leaf", purity.alias("purity")), ["host", "leaf"]).select("host", "shape", "template", "purity")
+
 
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, held_out: Column | None = None) -> DataFrame:
+    """page_id, host, path, rule, template, purity, predicted, verdict of every page.
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """page_id, host, path, rule, template, purity, verdict of every page."""
+    ``predicted`` is the tree's verdict, whatever the rules say; it learns nothing from pages that are ``held_out``.
+    """
     host, path = split_url(F.coalesce("url", F.lit("")))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), held.alias("held"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    rows = written(rows.select("page_id", "host", "path", shapes(F.col("path")).alias("shape"), rule.alias("rule"), verdict.alias("ruled")), "urls")
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
+    rows = written(rows.select("page_id", "host", "path", "held", shapes(F.col("path")).alias("shape"), rule.alias("rule"), verdict.alias("ruled")), "urls")
+    one = lambda c: F.sum(F.when(c & ~F.col("held"), 1).otherwise(0)).alias
     paths = written(rows.groupBy("host", "shape").agg(F.count("*").alias("n"), one(F.col("ruled") == "block")("blocked"), one(F.col("ruled").isNotNull())("labelled")), "paths")
     judged = rows.join(purities(paths), ["host", "shape"], "left")
     block = F.when(F.col("purity") >= THRESHOLD, "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", "rule", F.concat_ws("/", "host", F.array_join("template", "/")).alias("template"), "purity", F.coalesce("ruled", block).alias("verdict"))
+    return judged.select("page_id", "host", "path", "rule", F.concat_ws("/", "host", F.array_join("template", "/")).alias("template"), "purity", block.alias("predicted"), F.coalesce("ruled", block).alias("verdict"))
