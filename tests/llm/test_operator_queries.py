@@ -47,6 +47,112 @@ def test_lm_score(spark, sf_dir, texts):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+def test_lm_score_matches_brute_force(spark, texts):
+    """Scores position by position: near-root probabilities, deep states from their definition, rare words' own counts."""
+    import random
+
+    from xxhash import xxh64_intdigest
+
+    from quillspark.llm import lm_score
+    from quillspark.llm.common import doc_text
+
+    r, rows = random.Random(9), [(i, t) for i, t in sorted(texts.items()) if t and len(t) < 4000][:80]
+    rows += [(10_000 + i, t) for i, t in rows[:20]] + [(20_000 + i, " ".join(r.choice(t.split()) for _ in range(30))) for i, t in rows[:10]] + [(30_000, ""), (30_001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    _, model = lm_score.train(doc_text(docs.where(f"doc_id not in ({', '.join(str(i) for i in held if held[i])})")))
+    # Few frequent words, so that many are rare.
+    frequent = {w.encode(): k for k, w in enumerate(model.words.to_pylist())}
+    found = {x.doc_id: x for x in lm_score.score(docs).collect()}
+    counts: dict = {}
+    for i, t in rows:
+        for w in [] if held[i] else words(t):
+            counts[w] = counts.get(w, 0) + 1
+    scale = model.total + model.distinct + 1
+    symbol = lambda w: frequent.get(w, 1 << 40) if frequent.get(w, 1 << 40) < model.n_symbols else model.other
+    mask = 2**64 - 1
+
+    def mixed(z):
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & mask
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & mask
+        return z ^ z >> 31
+
+    def eligible(context):
+        h = 0
+        for w in context:
+            h = mixed((h * 0x9E3779B97F4A7C15 + xxh64_intdigest(w)) & mask)
+        return h % lm_score.ELIGIBLE == 0
+
+    def positions(t):
+        ws = words(t)
+        sequence = [model.start, *map(symbol, ws), model.end]
+        for k, w in enumerate([*ws, None]):
+            context, depth = 0, min(k + 1, len(model.levels))
+            for x in sequence[k + 1 - depth : k + 1]:
+                context = context << lm_score.SHIFT | x
+            p = float(lm_score.probabilities(model, np.array([context]), np.array([sequence[k + 1]]), depth)[0])
+            own, floor = 1.0, 1.0
+            if sequence[k + 1] == model.other:
+                own = (counts.get(w, 0) + 1) / scale / model.root[model.other]
+                floor = own if w in frequent else 1 / scale / model.root[model.other]
+            deep = tuple(ws[k - lm_score.DEEP : k]) if k >= lm_score.DEEP else None
+            yield w, p * own, p * floor, deep if deep and eligible(deep) else None
+
+    import numpy as np
+
+    listed = {i: list(positions(t)) for i, t in rows}
+    follow: dict = {}
+    near: dict = {}
+    for i, ps in listed.items():
+        for w, _, floor, deep in ps:
+            if deep:
+                near[deep, w] = math.exp(-min(round(-math.log(floor) * lm_score.STEPS), 65535) / lm_score.STEPS)
+                if not held[i]:
+                    follow.setdefault(deep, {}).setdefault(w, 0)
+                    follow[deep][w] += 1
+    states = {}
+    for context, nexts in follow.items():
+        n, pairs = sum(nexts.values()), {w: c for w, c in nexts.items() if c > 1}
+        rest, rest_near = n - sum(pairs.values()), max(1 - sum(near[context, w] for w in pairs), 1e-12)
+        gain = sum(c * math.log(c / n / near[context, w]) for w, c in pairs.items()) + (rest * math.log(rest / n / rest_near) if rest else 0)
+        if pairs and gain > 0.5 * math.log(n) * len(pairs):
+            shares = {w: (c - lm_score.DISCOUNT) / n for w, c in pairs.items()}
+            states[context] = shares, 1 - sum(shares.values())
+    assert len(states) > 20
+    used = 0
+    for i, ps in listed.items():
+        total = 0.0
+        for w, p, _, deep in ps:
+            total += math.log10(p)
+            if deep in states:
+                shares, backoff = states[deep]
+                gain = math.log10(shares.get(w, 0) / near[deep, w] + backoff)
+                total += gain
+                if w is not None and w not in frequent and gain > 0:
+                    total -= math.log10(counts[w] + 1)
+                used += 1
+        assert math.isclose(found[i].near_score, sum(math.log10(p) for _, p, _, _ in ps), rel_tol=1e-6), i
+        assert math.isclose(found[i].score, total, rel_tol=1e-5, abs_tol=1e-4), i
+    assert used > 100
+
+
+def test_lm_deep_gains_of_many_parts():
+    """A pair's counts from several parts are added, in any order of parts."""
+    import numpy as np
+
+    from quillspark.llm.lm_score import deep_gains
+
+    r = np.random.default_rng(3)
+    context, follows = r.integers(0, 40, 900).astype(np.uint64), r.integers(0, 6, 900).astype(np.uint32)
+    count, level = r.integers(0, 3, 900).astype(np.uint32), (follows * 700 + 3000).astype(np.uint16)
+    order = r.permutation(900)
+    gains = deep_gains(context, follows, count, level)
+    assert np.allclose(deep_gains(context[order], follows[order], count[order], level[order]), gains[order]) and (gains != 0).any()
+    seen = {}
+    for c, f, g in zip(context, follows, gains, strict=True):
+        assert seen.setdefault((c, f), g) == g
+
+
 def test_simhash(spark, sf_dir, texts):
     from xxhash import xxh64_intdigest
 
@@ -368,6 +474,97 @@ def test_url_rules(spark, sf_dir, duck):
         assert (r.host, r.path, r.rule) == (host, path, best and best.text) and (best is None or r.verdict == best.verdict)
 
 
+def test_url_verdicts_match_brute_force(spark, sf_dir):
+    """Templates, merged branches and purities, from their definitions, for all pages and some with deep and varied paths."""
+    import random
+    import re
+    from collections import Counter, defaultdict
+
+    from quillspark.llm import url_filter as uf
+
+    r = random.Random(2)
+    more = [f"http://{h}/{r.choice(['es', 'en', 'fr', 'x'])}/{r.choice(['a', 'b', ''.join(r.choice('abcdefgh') for _ in range(5))])}/{'/'.join(r.choice('pq') for _ in range(r.randrange(9)))}" for h in ("k.net", "l.org", "m.example.com") for _ in range(150)]
+    urls = [x.url for x in spark.read.parquet(f"{sf_dir}/pages.parquet").select("url").collect()] + more + [None, "junk"]
+    found = uf.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    pages = {}
+    for x in found:
+        plain = re.sub("[0-9]+", "#", re.sub("(?:(?<=^)|(?<=[^0-9a-zA-Z]))[0-9a-f]{16,}(?=$|[^0-9a-zA-Z])", "%", x.path))
+        pages[x.page_id] = (x.host, tuple(plain.removeprefix("/").split("/")), None if x.rule is None else x.verdict)
+    n, labelled, blocked = Counter(), Counter(), Counter()
+    for host, shape, ruled in pages.values():
+        n[host, shape] += 1
+        labelled[host, shape] += ruled is not None
+        blocked[host, shape] += ruled == "block"
+    template, d = {k: k[1] for k in n}, 0
+    while any(c >= uf.CHILDREN for c in Counter(h for (h, _), t in template.items() if len(t) > d).values()):
+        children = Counter()
+        for (h, shape), t in template.items():
+            if len(t) > d:
+                children[h, t[:d], t[d]] += n[h, shape]
+        total, kinds = Counter(), Counter()
+        for (h, above, _), c in children.items():
+            total[h, above] += c
+            kinds[h, above] += 1
+        for (h, shape), t in list(template.items()):
+            if len(t) > d and kinds[h, t[:d]] >= uf.CHILDREN and total[h, t[:d]] < uf.REPEATS * kinds[h, t[:d]] and children[h, t[:d], t[d]] < uf.SHARE * total[h, t[:d]]:
+                template[h, shape] = (*t[:d], "*", *t[d + 1 :])
+        d += 1
+    own, pooled = defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: [0.0, 0.0])
+    for (h, shape), t in template.items():
+        for k in range(1, len(t) + 1):
+            for counts in (own[h, t[:k]], pooled[t[:k]]):
+                counts[0] += blocked[h, shape]
+                counts[1] += labelled[h, shape]
+
+    def gain(b, m, p):
+        p = min(max(p, 0.001), 0.999)
+        return 2 * sum(c * math.log(c / m / q) for c, q in ((b, p), (m - b, 1 - p)) if c > 0)
+
+    family, bands = defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: [0.0, 0.0])
+    for (h, t), (b, m) in own.items():
+        family[h, t[:-1]][0] += b
+        family[h, t[:-1]][1] += m
+    band = {}
+    for (h, t), (b, m) in own.items():
+        fb, fm = family[h, t[:-1]]
+        band[h, t] = h, t[:-1], min(int((b + uf.SMOOTHING * (fb / fm if fm else 0)) / (m + uf.SMOOTHING) * uf.BANDS), uf.BANDS - 1)
+        bands[band[h, t]][0] += b
+        bands[band[h, t]][1] += m
+    used = {}
+    for k, (b, m) in own.items():
+        bb, bm = bands[band[k]]
+        used[k] = (bb, bm) if bm and (not m or gain(b, m, bb / bm) < uf.SIGNIFICANT) else (b, m)
+    assert any(used[k] != tuple(own[k]) for k in own)
+    prior = sum(blocked.values()) / sum(n.values())
+    for x in found:
+        host, shape, _ = pages[x.page_id]
+        t, p = template[host, shape], prior
+        for source in (lambda k: pooled[t[:k]], lambda k: used[host, t[:k]]):  # noqa: B023
+            for k in range(1, len(t) + 1):
+                b, m = source(k)
+                if m and gain(b, m, p) >= uf.SIGNIFICANT:
+                    p = (b + uf.SMOOTHING * p) / (m + uf.SMOOTHING)
+        assert x.template == "/".join([host, *t]) and math.isclose(x.purity, p, abs_tol=1e-9)
+        assert x.predicted == ("block" if x.purity >= uf.THRESHOLD else "allow") and (x.rule is not None or x.verdict == x.predicted)
+
+
+def test_url_purity_of_held_out_pages(spark):
+    """Verdicts of the tree for labelled pages that it didn't learn from."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from quillspark.llm.url_filter import judge
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    held = F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % 5 == 0
+    found = judge(pages, held_out=held).join(pages.where(held).select("page_id"), "page_id").where("rule is not null").collect()
+    assert len(found) > 20 and sum(r.predicted == r.verdict for r in found) / len(found) > 0.9
+
+
 def test_url_templates(spark):
     from quillspark.llm.url_filter import judge
 
