@@ -9,11 +9,12 @@ Each document is taken floor(target / size of source) times; the fraction left i
 the order of md5(seed:doc_id), a document while its middle lies below the wanted words. The order is
 cut into buckets by the first hex digits, so a source's running sums need one row per bucket, and
 single documents are ordered only inside the bucket in which the cut falls: no source, however large,
-is sorted in one task.
+is sorted in one task. Running sums go over groups of buckets and over the buckets of a group.
 
 Null text or one without words: size 0, never taken. Null source: a source of its own, last. Null
 doc_id: hashes as the empty text. Equal doc_ids: ordered by size, then text digest; repeated rows are
-interchangeable. Empty table: no rows.
+interchangeable. Very long texts: only their number of words matters. Empty table: no rows. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -62,10 +63,15 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
     targets = source_targets(sized, weights, share, epochs)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("whole", F.floor(ratio)).withColumn("extra", F.col("target") - F.floor(ratio) * F.col("source_size"))
-    by_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    by_bucket = by_bucket.withColumn("bucket_start", F.sum("bucket_size").over(running) - F.col("bucket_size"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
+    # Running sums in two steps: over the first digits' groups of a source, and over the buckets of each group.
+    by_bucket = written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
+    by_bucket = by_bucket.withColumn("group", F.substring("bucket", 1, BUCKET_DIGITS // 2))
+    before = lambda order, *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    groups = by_bucket.groupBy("source", "group").agg(F.sum("bucket_size").alias("group_size"))
+    groups = groups.withColumn("group_start", F.coalesce(F.sum("group_size").over(before("group", "source")), F.lit(0)))
+    by_bucket = by_bucket.withColumn("inner_start", F.coalesce(F.sum("bucket_size").over(before("bucket", "source", "group")), F.lit(0)))
+    by_bucket = by_bucket.alias("b").join(groups.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source")) & (F.col("b.group") == F.col("g.group")))
+    by_bucket = by_bucket.select("b.source", "bucket", "bucket_size", (F.col("group_start") + F.col("inner_start")).alias("bucket_start"))
     cuts = by_bucket.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("t.*", "bucket", "bucket_start", (F.col("bucket_start") + F.col("bucket_size")).alias("bucket_end"))
     joined = sized.alias("d").join(cuts.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.bucket") == F.col("c.bucket")))
     rows = joined.select("d.*", "source_size", "target", "whole", "extra", "bucket_start", "bucket_end")
