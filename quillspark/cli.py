@@ -29,8 +29,8 @@ def resolve_format(given: str | None, path: str | None) -> str:
 
 def read_input(path: str | None) -> str:
     if path is not None:
-        return Path(path).read_text(encoding="utf-8")
-    text = sys.stdin.read()
+        return Path(path).read_bytes().decode("utf-8")  # line ends as they are
+    text = sys.stdin.buffer.read().decode("utf-8")
     if not text.strip():
         raise UsageError("standard input is empty")
     return text
@@ -40,7 +40,7 @@ def write_output(path: str | None, text: str) -> None:
     if path is None:
         sys.stdout.write(text)
     else:
-        Path(path).write_text(text, encoding="utf-8")
+        Path(path).write_bytes(text.encode("utf-8"))
 
 
 def parser() -> argparse.ArgumentParser:

@@ -74,9 +74,7 @@ def tokens(text: str, fmt: str, options: Options = Options()) -> Iterator[Token]
     if name == "json":
         return json_doc.tokens(text, options)
     if name == "toml":
-        reader = toml_doc.Reader(text, options)
-        reader.document()
-        return iter(reader.tokens)
+        return iter(toml_doc.read(text, options).tokens)
     if name == "yaml":
         return yaml_doc.tokens(text)
     raise DocError("UnknownFormat", message=f"no tokens for {name}")
@@ -92,9 +90,7 @@ def events(text: str, fmt: str, options: Options = Options()) -> Iterator[tuple[
         for e in yaml_doc.tree_events(yaml_doc.parse(text, options)):
             yield e.name, None, e.value
     elif name == "toml":
-        reader = toml_doc.Reader(text, options)
-        reader.document()
-        for e in reader.events:
+        for e in toml_doc.read(text, options).events:
             if isinstance(e, toml_doc.TableStart):
                 yield "ArrayTableStart" if e.is_array else "TableStart", e.path, None
             else:

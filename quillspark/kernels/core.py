@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
 from typing import NamedTuple
@@ -14,6 +16,8 @@ ERROR_KINDS = (
 )
 FORMATS = ("json", "csv", "toml", "yaml", "xml")
 DEFAULT_DEPTH, DEFAULT_SIZE = 128, 10 << 20
+#: Calls that a level of nesting takes at most.
+FRAMES = 6
 
 
 class Place(NamedTuple):
@@ -108,6 +112,19 @@ def too_deep(most: int, at: int) -> DocError:
     return DocError("MaxDepthExceeded", at, at + 1, max=most)
 
 
+def recursive(read: Callable, levels: int):
+    """What ``read`` returns; a document nested deeper than usual is read again with room for ``levels`` levels."""
+    try:
+        return read()
+    except RecursionError:
+        usual = sys.getrecursionlimit()
+        sys.setrecursionlimit(usual + FRAMES * levels)
+        try:
+            return read()
+        finally:
+            sys.setrecursionlimit(usual)
+
+
 NUMBER_TEXT = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", re.ASCII)
 
 

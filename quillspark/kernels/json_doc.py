@@ -217,15 +217,42 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
+#: Strings and whatever else isn't a bracket: what is left without them tells the depth.
+NO_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*+"|[^\[\]{}"]++', re.DOTALL)
+COMMENTS = re.compile(r'("(?:[^"\\]|\\.)*+")|//[^\n]*|/\*.*?\*/', re.DOTALL)
+LAST_COMMAS = re.compile(r'("(?:[^"\\]|\\.)*+"(?:\s*,(?=\s*[\]}]))?)|(?<=[0-9a-z\]}])\s*,(?=\s*[\]}])', re.DOTALL)
+#: Nesting that the quick reader takes at most.
+QUICK_DEPTH = 500
+
+
+def _nesting(text: str) -> int:
+    deepest = depth = 0
+    for c in NO_BRACKETS.sub("", text):
+        depth += 1 if c in "[{" else -1
+        deepest = max(deepest, depth)
+    return deepest
+
+
+def _strict(text: str, options: Options) -> str:
+    """The text without comments and last commas, where these are allowed."""
+    if options.allow_comments and "/" in text:
+        text = COMMENTS.sub(lambda m: m[1] or " ", text)
+    if options.allow_trailing_commas and "," in text:
+        text = LAST_COMMAS.sub(lambda m: m[1].rstrip(", \t\r\n") if m[1] else "", text)
+    return text
+
+
 def parse(text: str, options: Options = Options()):
-    """The document's value. Plain documents within the limits take the quick reader, all others the events."""
+    """The document's value. Documents within the limits take the quick reader; those that it refuses, and all others, the events."""
     depth, size = options.depth("json"), options.size("json")
-    plain = not (options.allow_comments or options.allow_trailing_commas or options.allow_trailing_content)
-    if plain and (not size or len(text) * 4 <= size or byte_size(text) <= size) and text.count("[") + text.count("{") <= min(depth or 500, 500) and "\\u" not in text:
-        try:
-            return json.loads(text, parse_int=float, parse_constant=_refuse)
-        except ValueError:
-            pass
+    most = min(depth or QUICK_DEPTH, QUICK_DEPTH)
+    if not options.allow_trailing_content and (not size or len(text) * 4 <= size or byte_size(text) <= size) and "\\ud" not in text and "\\uD" not in text:
+        plain = _strict(text, options)
+        if plain.count("[") + plain.count("{") <= most or _nesting(plain) <= most:
+            try:
+                return json.loads(plain, parse_int=float, parse_constant=_refuse)
+            except (ValueError, RecursionError):
+                pass
     return build(events(text, options))
 
 

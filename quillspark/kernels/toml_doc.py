@@ -6,7 +6,7 @@ import re
 from datetime import date, time
 from typing import NamedTuple
 
-from quillspark.kernels.core import Datetime, DocError, Options, byte_size, check_size, format_number, quoted, too_deep
+from quillspark.kernels.core import Datetime, DocError, Options, byte_size, check_size, format_number, quoted, recursive, too_deep
 from quillspark.kernels.json_doc import Token
 
 
@@ -38,6 +38,13 @@ DATETIMES = (
 DATETIME_LIKE = re.compile(r"\d{4}-|\d{2}:", re.ASCII)
 BASIC_PLAIN = re.compile(r'[^"\\\n\x00-\x08\x0b-\x1f\x7f]*')
 LITERAL_PLAIN = re.compile(r"[^'\n\x00-\x08\x0b-\x1f\x7f]*")
+#: A whole line: a pair with a bare key and a scalar on the line, a header of bare keys, or neither.
+_END = r"[ \t]*(?:#[^\n]*)?(?:\r?\n|\Z)"
+_PATH = r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*"
+LINE = re.compile(
+    rf"[ \t]*(?:(?P<key>{BARE.pattern})[ \t]*=[ \t]*(?:\"(?P<basic>{BASIC_PLAIN.pattern})\"(?!\")|'(?P<literal>{LITERAL_PLAIN.pattern})'(?!')|(?P<word>{SCALAR.pattern}))"
+    rf"|\[(?P<table>{_PATH})\]|\[\[(?P<row>{_PATH})\]\]|){_END}"
+)
 ESCAPES = {"b": "\b", "t": "\t", "n": "\n", "f": "\f", "r": "\r", '"': '"', "\\": "\\"}
 
 
@@ -113,21 +120,42 @@ class Reader:
         return "EOF" if not c else "newline" if c in "\r\n" else "string" if c in "\"'" else f"'{c}'"
 
     def document(self) -> dict:
+        table = self.root
+        while True:
+            self.lines()
+            if self.at >= len(self.text):
+                break
+            if self.peek() == "[":
+                table = self.header()
+            else:
+                self.pair(table, self.events.append)
+            self.line_end()
+        self.note("Eof", None, self.at, self.at)
+        return self.root
+
+    def plain_document(self) -> dict | None:
+        """The same for a document of plain lines, without tokens and events; nothing if a line isn't plain or is wrong."""
+        text, table, at = self.text, self.root, 0
+        if self.max_size and byte_size(text) > self.max_size:
+            return None
         try:
-            table = self.root
-            while True:
-                self.lines()
-                if self.at >= len(self.text):
-                    break
-                if self.peek() == "[":
-                    table = self.header()
-                else:
-                    self.pair(table, self.events.append)
-                self.line_end()
-            self.note("Eof", None, self.at, self.at)
-            return self.root
-        except RecursionError:
-            raise too_deep(self.depth, self.at) from None
+            while at < len(text):
+                m = LINE.match(text, at)
+                if not m:
+                    return None
+                at, key = m.end(), m["key"]
+                if key:
+                    if key in table:
+                        return None
+                    word = m["word"]
+                    table[key] = self.scalar(word.rstrip(" "), at)[1] if word is not None else m["basic"] if m["basic"] is not None else m["literal"]
+                elif m["table"]:
+                    table = self.opened(m["table"].split("."), False)
+                elif m["row"]:
+                    table = self.opened(m["row"].split("."), True)
+        except DocError:
+            return None
+        return self.root
 
     def line_end(self) -> None:
         self.blanks()
@@ -147,6 +175,10 @@ class Reader:
             raise self.fail("InvalidKey")
         self.note("DoubleRightBracket" if double else "RightBracket", None, self.at, self.at + n)
         self.events.append(TableStart(path, double))
+        return self.opened(path, double)
+
+    def opened(self, path: list[str], double: bool) -> dict:
+        """The table that a header names; a new one of its list if the header is double."""
         table = self.root
         for key in path[: -1 if double else None]:
             table = self.step(table, key)
@@ -343,8 +375,20 @@ class Reader:
         raise DocError("InvalidEscapeSequence", at, at + 2)
 
 
+def read(text: str, options: Options = Options()) -> Reader:
+    """A reader that has read the document: its value, tokens and events."""
+
+    def run() -> Reader:
+        reader = Reader(text, options)
+        reader.document()
+        return reader
+
+    return recursive(run, text.count("[") + text.count("{") + 1)
+
+
 def parse(text: str, options: Options = Options()) -> dict:
-    return Reader(text, options).document()
+    found = Reader(text, options).plain_document()
+    return read(text, options).root if found is None else found
 
 
 def bare_or_quoted(key: str) -> str:

@@ -10,7 +10,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
-from quillspark.kernels.core import Datetime, DocError, Options, format_number, quoted, to_number, too_deep
+from quillspark.kernels.core import Datetime, DocError, Options, format_number, quoted, recursive, to_number, too_deep
 from quillspark.kernels.json_doc import Event, Token
 
 
@@ -24,6 +24,13 @@ NULLS = frozenset(["", "null", "Null", "NULL", "~"])
 TRUES, FALSES = frozenset(["true", "True", "TRUE"]), frozenset(["false", "False", "FALSE"])
 #: Outside quotes: what ends a comment-free part.
 PARTS = re.compile(r'"(?:[^"\\]|\\.)*+"|\'(?:[^\']|\'\')*+\'|(?:^|(?<=\s))#.*|.')
+#: A quoted scalar without escapes; characters that are the same in both kinds of quotes.
+SIMPLE = re.compile(r'"([^"\\\n]*+)"|\'([^\'\n]*+)\'(?!\')')
+UNESCAPED = re.compile(r"[^\"'\\\n]+")
+COLON = re.compile(r":(?=[ \t]|$)")
+GAP = re.compile(r"[ \t\r\n]*")
+FLOW_PLAIN = re.compile(r"(?:[^,\[\]{}\n:#]|:(?![ \t\r\n,\[\]{}]|$)|(?<![ \t])#)+")
+FLOW_KEY = re.compile(r"(?:[^,\[\]{}\n:#]|:(?![ \t\r\n,\[\]{}\"']|$))+")
 ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "\\": "\\", '"': '"', "/": "/", "0": "\0"}
 INDICATORS = "&*!|>%@`"
 
@@ -71,9 +78,15 @@ def split_lines(text: str) -> list[Line]:
 
 def read_quoted(text: str, at: int) -> tuple[str, int]:
     """The quoted scalar at ``at`` and the place after it; quoted scalars stay on a line."""
+    m = SIMPLE.match(text, at)
+    if m:
+        return m[m.lastindex], m.end()
     quote, start, parts = text[at], at, []
     at += 1
     while True:
+        if m := UNESCAPED.match(text, at):
+            parts.append(m[0])
+            at = m.end()
         c = text[at : at + 1]
         if not c or c == "\n":
             raise DocError("UnterminatedString", start, at)
@@ -95,7 +108,7 @@ def read_quoted(text: str, at: int) -> tuple[str, int]:
             else:
                 raise DocError("InvalidUnicodeEscape" if width else "InvalidEscapeSequence", at, at + 2)
             continue
-        parts.append(c)
+        parts.append(c)  # the other kind of quote, or a backslash between single ones
         at += 1
 
 
@@ -120,7 +133,7 @@ def key_end(text: str) -> int:
         return at if text[at : at + 1] == ":" and text[at + 1 : at + 2] in ("", " ", "\t") else -1
     if text[:1] in "[{":
         return -1
-    m = re.search(r":(?=[ \t]|$)", text)
+    m = COLON.search(text)
     return m.start() if m else -1
 
 
@@ -135,10 +148,7 @@ class Reader:
     def document(self):
         if not self.lines:
             return None
-        try:
-            value = self.block(self.lines[0].indent)
-        except RecursionError:
-            raise too_deep(self.depth, self.lines[min(self.i, len(self.lines) - 1)].at) from None
+        value = self.block(self.lines[0].indent)
         if self.i < len(self.lines):
             line = self.lines[self.i]
             raise DocError("InvalidToken", line.at, line.at + 1, "unexpected content after the document")
@@ -255,7 +265,7 @@ class Reader:
     def gap(self, at: int) -> int:
         """After white space, line ends and comments inside a flow collection."""
         while True:
-            m = re.compile(r"[ \t\r\n]*").match(self.text, at)
+            m = GAP.match(self.text, at)
             if self.text[m.end() : m.end() + 1] != "#" or (m.end() and self.text[m.end() - 1] not in " \t\r\n"):
                 return m.end()
             end = self.text.find("\n", m.end())
@@ -270,7 +280,7 @@ class Reader:
             return value, at
         if c in ('"', "'") and c:
             return read_quoted(self.text, at)
-        m = re.compile(r"(?:[^,\[\]{}\n:#]|:(?![ \t\r\n,\[\]{}]|$)|(?<![ \t])#)+").match(self.text, at)
+        m = FLOW_PLAIN.match(self.text, at)
         if not m or not m[0].strip():
             raise DocError("InvalidToken", at, at + 1)
         return self.scalar(m[0].strip(), at), at + len(m[0].rstrip())
@@ -301,7 +311,7 @@ class Reader:
             if self.text[at : at + 1] in ('"', "'"):
                 key, at = read_quoted(self.text, at)
             else:
-                m = re.compile(r"(?:[^,\[\]{}\n:#]|:(?![ \t\r\n,\[\]{}\"']|$))+").match(self.text, at)
+                m = FLOW_KEY.match(self.text, at)
                 if not m or not m[0].strip():
                     raise DocError("InvalidToken", at, at + 1)
                 key, at = self.key(m[0].strip(), at), m.end()
@@ -321,7 +331,8 @@ class Reader:
 
 
 def parse(text: str, options: Options = Options()):
-    return Reader(text, options).document()
+    # A level takes a bracket, or a line of its own, or a dash.
+    return recursive(lambda: Reader(text, options).document(), text.count("[") + text.count("{") + text.count("\n") + text.count("-") + 1)
 
 
 def tree_events(value) -> Iterator[Event]:

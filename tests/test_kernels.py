@@ -195,3 +195,51 @@ def test_any_text_gives_a_value_or_a_typed_error(fmt, text):
         kernel.parse(text, fmt)
     except DocError as e:
         assert e.kind and str(e)
+
+
+def test_command_line_keeps_line_ends(tmp_path):
+    from quillspark.cli import main
+
+    (tmp_path / "a.csv").write_bytes(b'a,b\r\n"one\r\ntwo",1\r\n')
+    assert main(["convert", f"{tmp_path}/a.csv", "--to", "json", "--output", f"{tmp_path}/a.json"]) == 0
+    assert (tmp_path / "a.json").read_bytes() == b'[{"a":"one\\r\\ntwo","b":1}]'
+
+
+def test_quick_readers_agree_with_the_full_ones():
+    """Documents put together from pieces: the same values, and the same errors in the same places."""
+    import random
+
+    from quillspark.kernels import json_doc, toml_doc
+    from quillspark.kernels.core import RELAXED, DocError, Options
+
+    def outcome(read):
+        try:
+            return repr(read())
+        except DocError as e:
+            return e.kind, e.start
+
+    r = random.Random(1)
+    signs = ["{", "}", "[", "]", ",", ":", '"a"', '"b,]"', "1", "true", " ", "//x\n", "/*y*/", '"\\u0041"', "null", "-", "\n", '"']
+    for _ in range(4000):
+        text, options = "".join(r.choice(signs) for _ in range(r.randint(0, 9))), r.choice([Options(), RELAXED, Options(max_depth=2)])
+        assert outcome(lambda: json_doc.parse(text, options)) == outcome(lambda: json_doc.build(json_doc.events(text, options))), text  # noqa: B023
+    lines = ["a = 1", 'b = "x"', "b.c = 2", "k = 'lit'", "# c", "[t]", "[t.u]", "[[r]]", 'x = """m"""', "d = 1979-05-27 07:32:00", "k = true # c", 'k=""', 'k = ""x', "e = [1,2]", "bad", "a = 1.", "[ t ]", "k = 1 2"]
+    for _ in range(3000):
+        text = r.choice(["\n", "\r\n"]).join(r.choice(lines) for _ in range(r.randint(0, 6))) + r.choice(["", "\n", "\r"])
+        assert outcome(lambda: toml_doc.parse(text)) == outcome(lambda: toml_doc.read(text).root), text  # noqa: B023
+
+
+@pytest.mark.parametrize("depth", [400, 4000])
+def test_depth_without_a_limit(depth):
+    from quillspark.kernels import toml_doc, yaml_doc
+    from quillspark.kernels.core import UNLIMITED
+
+    value, n = toml_doc.parse("a = " + "[" * depth + "]" * depth, UNLIMITED)["a"], 1
+    while value:
+        value, n = value[0], n + 1
+    assert n == depth
+    yaml_doc.parse("a: " + "[" * depth + "]" * depth, UNLIMITED)
+    value = yaml_doc.parse("\n".join(" " * i + f"k{i}:" for i in range(depth)), UNLIMITED)
+    for i in range(depth):
+        value = value[f"k{i}"]
+    assert value is None
