@@ -1,13 +1,16 @@
 """Document functions: Arrow kernels that take columns of documents and table functions over one document.
 
 A kernel sees whole batches, keeps parsing and writing in one worker, and returns the ordered JSON text
-with a typed error; VARIANT values are derived from the text in the JVM (``with_value``). Sizes over the
-limit are refused before the kernel. Null content gives a null result.
+with a typed error; VARIANT values are derived from the text in the JVM (``with_value``). Documents of over
+twice the size limit are refused before the kernel, without a place; the kernel tells where others pass it.
+Null content gives a null result.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,10 +49,39 @@ def _each(content: pa.Array, formats: list[pa.Array], work, field: str) -> pa.Ar
     return _result(field, values, errors)
 
 
+@lru_cache(maxsize=256)
+def options_of(text: str | None) -> Options:
+    """Options from their JSON text; null: the defaults."""
+    return Options(**(json.loads(text) if text else {}))
+
+
 def _format_column(fmt: str | Column) -> Column:
     return F.lit(fmt) if isinstance(fmt, str) else fmt
 
 
+def size_limit(fmt: Column, options: Options = Options()) -> Column:
+    """The size limit of a format in bytes; 0 is none. YAML has none."""
+    out = F.when(F.lower(fmt).isin("yaml", "yml"), F.lit(0)).otherwise(F.lit(options.size("csv")))
+    for name in ("json", "jsonc", "toml", "xml"):
+        out = F.when(F.lower(fmt) == name, F.lit(options.size("json" if name == "jsonc" else name))).otherwise(out)
+    return out
+
+
+def refused(limit: Column) -> Column:
+    """The error of a document that isn't read at all."""
+    no_place = F.lit(None).cast(PLACE)
+    message = F.concat(F.lit("max size exceeded: "), limit)
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit("MaxSizeExceeded").alias("kind"), message.alias("message"), no_place.alias("start"), no_place.alias("end"), limit.cast("long").alias("max"), none.alias("key"), none.alias("expected"), none.alias("found")).cast(ERROR)
+
+
+def _within_size(content: Column, fmt: Column, options: Options) -> tuple[Column, Column, Column]:
+    """The content if it isn't far too large, whether it is, and the error that this is."""
+    limit = size_limit(fmt, options)
+    over = (limit > 0) & (F.octet_length(content) > 2 * limit)
+    return F.when(~F.coalesce(over, F.lit(False)), content), F.coalesce(over, F.lit(False)), refused(limit)
+
+
 def parse_doc(content: Column, fmt: str | Column, options: Options = Options()) -> Column:
     """STRUCT<json, error> of each document; ``fmt`` is a name or a column of names."""
 
@@ -57,7 +89,8 @@ def parse_doc(content: Column, fmt: str | Column, options: Options = Options())
     def parse(text: pa.Array, name: pa.Array) -> pa.Array:
         return _each(text, [name], lambda t, n: json_doc.emit(kernel.parse(t, n, options)), "json")
 
-    return parse(content, _format_column(fmt))
+    kept, over, error = _within_size(content, _format_column(fmt), options)
+    return F.when(over, F.struct(F.lit(None).cast("string").alias("json"), error.alias("error"))).otherwise(parse(kept, _format_column(fmt)))
 
 
 def convert_doc(content: Column, source: str | Column, target: str | Column, options: Options = Options()) -> Column:
@@ -74,7 +107,8 @@ def convert_doc(content: Column, source: str | Column, target: str | Column, opt
     def convert(text: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
         return _each(text, [a, b], lambda t, x, y: kernel.convert(t, x, y, options), "content")
 
-    return convert(content, _format_column(source), _format_column(target))
+    kept, over, error = _within_size(content, _format_column(source), options)
+    return F.when(over, F.struct(F.lit(None).cast("string").alias("content"), error.alias("error"))).otherwise(convert(kept, _format_column(source), _format_column(target)))
 
 
 def validate_doc(content: Column, fmt: str | Column, options: Options = Options()) -> Column:
@@ -84,7 +118,8 @@ def validate_doc(content: Column, fmt: str | Column, options: Options = Options(
     def validate(text: pa.Array, name: pa.Array) -> pa.Array:
         return _each(text, [name], lambda t, n: (kernel.parse(t, n, options), None)[1], "json").field("error")
 
-    return validate(content, _format_column(fmt))
+    kept, over, error = _within_size(content, _format_column(fmt), options)
+    return F.when(over, error).otherwise(validate(kept, _format_column(fmt)))
 
 
 def parse_json_builtin(content: Column) -> Column:
@@ -221,7 +256,7 @@ def exploded(df: DataFrame, function: str, keep: list[str], *arguments: Column)
     cls, schema = TABLE_FUNCTIONS[function]
     names = [f"_a{i}" for i in range(len(arguments))]
     source = df.select(*keep, *(a.alias(n) for a, n in zip(arguments, names, strict=True)))
-    call = F.udtf(cls, returnType=schema)
+    call = F.udtf(cls, returnType=schema, useArrow=True)
     return source.lateralJoin(call(*(F.col(n).outer() for n in names))).drop(*names)
 
 
@@ -230,7 +265,11 @@ def nodes(df: DataFrame, fmt: str | Column, keep: list[str], content: str = "con
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions: parse_doc, convert_doc, validate_doc, infer_scalar_kind, detect_format and the table functions."""
+    """SQL functions: parse_doc, convert_doc, validate_doc, infer_scalar_kind, detect_format and the table functions.
+
+    ``parse_doc_with``, ``convert_doc_with`` and ``validate_doc_with`` take options as a last argument, an object in
+    JSON text with the names of ``Options``: ``'{"max_depth": 0, "allow_comments": true}'``.
+    """
 
     @F.arrow_udf(PARSED)
     def parse(text: pa.Array, name: pa.Array) -> pa.Array:
@@ -244,11 +283,26 @@ def register(spark: SparkSession) -> None:
     def validate(text: pa.Array, name: pa.Array) -> pa.Array:
         return _each(text, [name], lambda t, n: (kernel.parse(t, n), None)[1], "json").field("error")
 
+    @F.arrow_udf(PARSED)
+    def parse_with(text: pa.Array, name: pa.Array, options: pa.Array) -> pa.Array:
+        return _each(text, [name, options], lambda t, n, o: json_doc.emit(kernel.parse(t, n, options_of(o))), "json")
+
+    @F.arrow_udf(CONVERTED)
+    def convert_with(text: pa.Array, a: pa.Array, b: pa.Array, options: pa.Array) -> pa.Array:
+        return _each(text, [a, b, options], lambda t, x, y, o: kernel.convert(t, x, y, options_of(o)), "content")
+
+    @F.arrow_udf(ERROR)
+    def validate_with(text: pa.Array, name: pa.Array, options: pa.Array) -> pa.Array:
+        return _each(text, [name, options], lambda t, n, o: (kernel.parse(t, n, options_of(o)), None)[1], "json").field("error")
+
+    spark.udf.register("parse_doc_with", parse_with)
+    spark.udf.register("convert_doc_with", convert_with)
+    spark.udf.register("validate_doc_with", validate_with)
     spark.udf.register("parse_doc", parse)
     spark.udf.register("convert_doc", convert)
     spark.udf.register("validate_doc", validate)
     for name, (cls, schema) in TABLE_FUNCTIONS.items():
-        spark.udtf.register(name, F.udtf(cls, returnType=schema))
+        spark.udtf.register(name, F.udtf(cls, returnType=schema, useArrow=True))
     number = r"^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION infer_scalar_kind(x STRING) RETURNS STRING RETURN
         CASE WHEN x IS NULL OR x = '' OR lower(x) = 'null' THEN 'null' WHEN lower(x) IN ('true', 'false') THEN 'bool'

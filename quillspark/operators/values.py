@@ -139,6 +139,10 @@ def remove_at(items_: Column, index: int) -> Column:
     return F.filter(items_, lambda _, i: i != index)
 
 
+def clear(items_: Column) -> Column:
+    return F.slice(items_, 1, 0)
+
+
 def put(members: Column, key: Column, value: Column) -> Column:
     """A member set; one that was there keeps its place."""
     replaced = F.transform_values(members, lambda k, v: F.when(k == key, value).otherwise(v))

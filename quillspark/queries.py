@@ -456,6 +456,139 @@ def typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.typed(found, "STRUCT<n_nationkey: INT, n_name: STRING>").select("n_regionkey", "pos", "row.n_name", "row.n_nationkey")
 
 
+# The cells of the conversion matrix that no query above covers, over all customers.
+
+
+def customers(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    """A document for each customer: a name, a number, an inner object."""
+    texts = {
+        "toml": F.format_string('name = "%s"\nkey = %d\nregion.id = %d\n', "c_name", "c_custkey", "c_nationkey"),
+        "yaml": F.format_string("name: %s\nkey: %d\nregion:\n  id: %d\n", "c_name", "c_custkey", "c_nationkey"),
+        "xml": F.format_string('<customer id="%d"><name>%s</name><region>%d</region></customer>', "c_custkey", "c_name", "c_nationkey"),
+    }
+    return table(spark, sf_dir, "customer").select("c_custkey", texts[fmt].alias("content"))
+
+
+_LINE = "' || chr(10) || '"
+_CELL_CSV = f"'name,key,region{_LINE}\"' || c_name || '\",' || c_custkey || ',\"{{\"\"id\"\":' || c_nationkey || '}}\"' || chr(10)"
+_CELL_XML = "'<root><name>' || c_name || '</name><key>' || c_custkey || '</key><region><id>' || c_nationkey || '</id></region></root>'"
+MATRIX = {
+    ("toml", "csv"): _CELL_CSV, ("yaml", "csv"): _CELL_CSV, ("toml", "xml"): _CELL_XML, ("yaml", "xml"): _CELL_XML,
+    ("toml", "toml"): f"'name = \"' || c_name || '\"{_LINE}key = ' || c_custkey || '{_LINE}region.id = ' || c_nationkey || chr(10)",
+    ("toml", "yaml"): f"'name: \"' || c_name || '\"{_LINE}key: ' || c_custkey || '{_LINE}region:{_LINE}  id: ' || c_nationkey",
+    ("yaml", "yaml"): f"'name: ' || c_name || '{_LINE}key: ' || c_custkey || '{_LINE}region:{_LINE}  id: ' || c_nationkey || chr(10)",
+    ("xml", "xml"): "'<customer id=\"' || c_custkey || '\"><name>' || c_name || '</name><region>' || c_nationkey || '</region></customer>'",
+    ("xml", "toml"): "'customer = {\"@attributes\" = {id = \"' || c_custkey || '\"}, name = {\"#text\" = \"' || c_name || '\"}, region = {\"#text\" = \"' || c_nationkey || '\"}}'",
+    ("xml", "yaml"): f"'customer:{_LINE}  \"@attributes\":{_LINE}    id: \"' || c_custkey || '\"{_LINE}  name:{_LINE}    \"#text\": \"' || c_name || '\"{_LINE}  region:{_LINE}    \"#text\": \"' || c_nationkey || '\"'",
+}
+
+
+def _cell(source: str, target: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return customers(spark, sf_dir, source).select("c_custkey", docs.convert_doc(F.col("content"), source, target)["content"].alias("content"))
+
+    run.__name__ = f"cell_{source}_to_{target}"
+    return run
+
+
+for (_source, _target), _sql in MATRIX.items():
+    query(f"SELECT c_custkey, {_sql} AS content FROM customer")(_cell(_source, _target))
+
+
+def _counted(spark: SparkSession, sf_dir: str, function: str, fmt: str, column: str) -> DataFrame:
+    found = docs.exploded(customers(spark, sf_dir, fmt), function, ["c_custkey"], F.col("content"), F.lit(fmt))
+    return found.groupBy(F.col(column).alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("documents"))
+
+
+def _per_customer(counts: dict[str, int]) -> str:
+    rows_ = " UNION ALL ".join(f"SELECT '{k}' AS kind, {n} * count(*) AS n, count(*) AS documents FROM customer" for k, n in counts.items())
+    return f"SELECT kind, CAST(n AS BIGINT) AS n, CAST(documents AS BIGINT) AS documents FROM ({rows_})"
+
+
+@query(_per_customer({"BareKey": 4, "Equals": 3, "String": 1, "Integer": 2, "Dot": 1, "Newline": 3, "Eof": 1}))
+def toml_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(spark, sf_dir, "doc_tokens", "toml", "kind")
+
+
+@query(_per_customer({"KeyValue": 3}))
+def toml_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(spark, sf_dir, "doc_events", "toml", "event")
+
+
+@query(_per_customer({"MappingStart": 2, "MappingEnd": 2, "Key": 4, "Value": 3}))
+def yaml_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(spark, sf_dir, "doc_events", "yaml", "event")
+
+
+DEPTHS = [(fmt, depth, depth > 128 and fmt != "xml") for fmt in ("json", "toml", "yaml", "xml") for depth in (127, 128, 129, 3000)]
+
+
+@query(literal([(f, d, "MaxDepthExceeded" if deep else None, None) for f, d, deep in DEPTHS], ["format", "depth", "limited", "unlimited"]))
+def limits_of_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nesting around the default limit, and without one."""
+    nested = lambda left, right: F.concat(F.repeat(F.lit(left), F.col("inner")), F.repeat(F.lit(right), F.col("inner")))
+    df = spark.createDataFrame([(f, d, d - (f == "yaml")) for f, d, _ in DEPTHS], "format string, depth int, inner int")
+    text = F.when(F.col("format") == "json", nested("[", "]")).when(F.col("format") == "toml", F.concat(F.lit("a = "), nested("[", "]"))).when(F.col("format") == "yaml", F.concat(F.lit("a: "), nested("[", "]"))).otherwise(nested("<a>", "</a>"))
+    kind_ = lambda o: docs.validate_doc(text, F.col("format"), o)["kind"]
+    return df.select("format", "depth", kind_(Options()).alias("limited"), kind_(Options(max_depth=0)).alias("unlimited"))
+
+
+SIZES = [(fmt, size, fmt != "yaml" and size > 100) for fmt in ("json", "toml", "yaml", "xml", "csv") for size in (60, 150, 100_000)]
+
+
+@query(literal([(f, n, "MaxSizeExceeded" if over else None) for f, n, over in SIZES], ["format", "size", "kind"]))
+def limits_of_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit of 100 bytes; documents of over twice that don't reach the kernel. YAML has no limit of size."""
+    df = spark.createDataFrame([(f, n) for f, n, _ in SIZES], "format string, size int")
+    x = F.repeat(F.lit("x"), F.col("size"))
+    text = F.when(F.col("format") == "json", F.concat(F.lit('"'), x, F.lit('"'))).when(F.col("format") == "toml", F.concat(F.lit('a = "'), x, F.lit('"'))).when(F.col("format") == "yaml", F.concat(F.lit("a: "), x)).when(F.col("format") == "xml", F.concat(F.lit("<a>"), x, F.lit("</a>"))).otherwise(F.concat(F.lit("a\n"), x))
+    return df.select("format", "size", docs.validate_doc(text, F.col("format"), Options(max_size=100))["kind"].alias("kind"))
+
+
+@query("SELECT n_nationkey, '[' || n_nationkey || ',\"' || n_name || '\",true,null]' AS made_array, '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS made_object, CAST(true AS BOOLEAN) AS as_bool, CAST(NULL AS BOOLEAN) AS not_bool, CAST(4 AS INTEGER) AS array_size, CAST(2 AS INTEGER) AS object_size, n_nationkey || ',true' AS removed, CAST(0 AS INTEGER) AS cleared FROM nation")
+def value_constructors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, name = F.col("n_nationkey").cast("int"), F.col("n_name")
+    array, made = values.array_of(n, name, F.lit(True), F.lit(None).cast("string")), values.object_of(key=n, name=name)
+    text = F.array(n.cast("string"), name, F.lit("true"))
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey", F.to_json(array).alias("made_array"), F.to_json(made).alias("made_object"), values.as_bool(array[2]).alias("as_bool"), values.as_bool(array[0]).alias("not_bool"),
+        F.size(array).alias("array_size"), values.length(made).alias("object_size"), F.array_join(values.remove_at(text, 1), ",").alias("removed"), F.size(values.clear(text)).alias("cleared"),
+    )
+
+
+@query("SELECT fmt AS format, n_nationkey, '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS json FROM nation, (VALUES ('toml'), ('yaml'), ('json')) AS f(fmt)")
+def files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each nation in three formats, written to the shared storage and read again."""
+    from quillspark.sources.documents import read_parsed, write_documents
+    from quillspark.sources.scratch import scratch_folder
+
+    texts = {"toml": 'key = %d\nname = "%s"\n', "yaml": "key: %d\nname: %s\n", "json": '{"key": %d, "name": "%s"}'}
+    found = []
+    for fmt, text in texts.items():
+        folder = scratch_folder(spark, fmt)
+        write_documents(table(spark, sf_dir, "nation").select("n_nationkey", F.format_string(text, "n_nationkey", "n_name").alias("content")), folder, by="n_nationkey")
+        found.append(read_parsed(spark, folder, fmt))
+    rows_ = found[0].unionByName(found[1]).unionByName(found[2])
+    return rows_.select("format", F.try_variant_get("value", "$.key", "int").alias("n_nationkey"), "json")
+
+
+@query("SELECT fmt AS format, n_nationkey, '{\"key\":' || n_nationkey || '}' AS json FROM nation, (VALUES ('toml'), ('yaml'), ('jsonc')) AS f(fmt)")
+def data_sources_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the data sources for each format, by a path of the session's storage."""
+    from quillspark.sources.datasource import register
+    from quillspark.sources.documents import write_documents
+    from quillspark.sources.scratch import scratch_folder
+
+    register(spark)
+    out = None
+    for fmt, text in {"toml": "key = %d\n", "yaml": "key: %d\n", "jsonc": '{"key": %d, /* more */}'}.items():
+        folder = scratch_folder(spark, fmt)
+        write_documents(table(spark, sf_dir, "nation").select("n_nationkey", F.format_string(text, "n_nationkey").alias("content")), folder, by="n_nationkey")
+        read = spark.read.format(fmt).option("extension", "txt").load(folder).select(F.lit(fmt).alias("format"), F.get_json_object("json", "$.key").cast("int").alias("n_nationkey"), "json")
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
 # Front ends and streams.
 
 REQUESTS = [

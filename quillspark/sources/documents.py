@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.documents import with_parsed
+from quillspark.functions.documents import refused, size_limit, with_parsed
 from quillspark.functions.scalars import detect_format, is_jsonc
 from quillspark.kernels.core import Options
 
@@ -14,19 +14,27 @@ def read_documents(spark: SparkSession, path: str | list[str], fmt: str | None =
     """path, format, content: one row per file. Without ``fmt`` the extension decides."""
     reader = spark.read.format("binaryFile")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
-    return _named(files, fmt)
+    return _named(files, fmt).drop("length")
 
 
 def _named(files: DataFrame, fmt: str | None) -> DataFrame:
     own = F.when(is_jsonc(F.col("path")), "jsonc").otherwise(detect_format(F.col("path")))
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return files.select("path", (F.lit(fmt) if fmt else own).alias("format"), text.alias("content"), (text.isNull() & (F.length("content") > 0)).alias("invalid_utf8"))
+    length = [c for c in files.columns if c == "length"]
+    return files.select("path", (F.lit(fmt) if fmt else own).alias("format"), text.alias("content"), (text.isNull() & (F.length("content") > 0)).alias("invalid_utf8"), *length)
 
 
 def read_parsed(spark: SparkSession, path: str | list[str], fmt: str | None = None, options: Options = Options(), mode: str = "PERMISSIVE") -> DataFrame:
-    """Files with their value, ordered JSON and error. Files above a size limit are refused by their length, unread."""
-    docs = read_documents(spark, path, fmt).where(F.col("format").isNotNull())
-    return with_parsed(docs, F.col("format"), "content", options, mode)
+    """Files with their value, ordered JSON and error. Files of over twice a size limit are refused by their length, unread."""
+    files = spark.read.format("binaryFile").load(path)
+    own = _named(files, fmt).where(F.col("format").isNotNull())
+    limit = size_limit(F.col("format"), options)
+    small = with_parsed(own.where((F.col("length") <= 2 * limit) | (limit == 0)).drop("length"), F.col("format"), "content", options, mode)
+    if mode != "PERMISSIVE":
+        return small
+    large = own.where((F.col("length") > 2 * limit) & (limit > 0))
+    content = (F.lit(None).cast(t).alias(c) if c in ("content", "value", "json") else refused(limit).alias(c) if c == "error" else F.lit(False).alias(c) if c == "invalid_utf8" else F.col(c) for c, t in small.dtypes)
+    return small.unionByName(large.select(*content))
 
 
 def stream_documents(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -47,6 +55,8 @@ def read_xml_rows(spark: SparkSession, path: str, row_tag: str = "row", schema:
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def write_documents(df: DataFrame, path: str, content: str = "content") -> None:
-    """Documents as text files, one line end after each; use one document per file for formats of several lines."""
-    df.select(F.col(content).alias("value")).write.text(path)
+def write_documents(df: DataFrame, path: str, content: str = "content", by: str | None = None) -> None:
+    """Documents as text files, a line end after each. With ``by``, a column that identifies a document, each has a file of
+    its own in a folder of that value; without it, documents of a task share a file, which suits formats of one line."""
+    rows = df.select(*([by] if by else []), F.col(content).alias("value"))
+    (rows.write.partitionBy(by) if by else rows.write).text(path)

@@ -163,3 +163,36 @@ def test_command_line(tmp_path):
     assert "empty" in run_cli("parse", "--from", "json", stdin=" ")[2] and "--from" in run_cli("parse", stdin="1")[2]
     assert run_cli("parse", "--from", "csv", "--csv-delimiter", "é", stdin="a")[0] == 1
     assert cli.resolve_format(None, "x/Y.YML") == "yaml"
+
+
+def test_sql_functions_take_options(spark):
+    docs.register(spark)
+    deep = "[" * 200 + "]" * 200
+    row = spark.sql(f"""SELECT validate_doc('{deep}', 'json').kind AS limited, validate_doc_with('{deep}', 'json', '{{"max_depth": 0}}').kind AS free,
+        parse_doc_with('[1, /* c */ 2,]', 'json', '{{"allow_comments": true, "allow_trailing_commas": true}}').json AS relaxed,
+        convert_doc_with('a;b\n1;2', 'csv', 'json', '{{"delimiter": ";"}}').content AS cells, parse_doc_with('[1]', 'json', NULL).json AS plain""").first()
+    assert tuple(row) == ("MaxDepthExceeded", None, "[1,2]", '[{"a":1,"b":2}]', "[1]")
+
+
+def test_large_documents_are_refused_unread(spark, tmp_path):
+    from quillspark.kernels.core import Options
+
+    for name, n in (("small", 20), ("near", 150), ("large", 5000)):
+        (tmp_path / f"{name}.json").write_text('"' + "x" * n + '"')
+    found = {r.path.rpartition("/")[2]: r for r in sources.read_parsed(spark, str(tmp_path), options=Options(max_size=100)).collect()}
+    assert found["small.json"].error is None and found["near.json"].error.start.offset == 0
+    assert found["large.json"].content is None and found["large.json"].error.kind == "MaxSizeExceeded" and found["large.json"].error.start is None
+    assert len(found) == 3
+
+
+def test_data_sources_list_patterns_and_folders(spark, tmp_path):
+    datasource.register(spark)
+    (tmp_path / "sub").mkdir()
+    for name, text in (("a.toml", "k = 1"), ("sub/b.toml", "k = 2"), ("c.txt", "k = 3"), ("bad.toml", "k = ")):
+        (tmp_path / name).write_text(text)
+    read = lambda path, **o: sorted(r.path.rpartition("/")[2] for r in spark.read.format("toml").options(**o).load(str(path)).collect())
+    assert read(tmp_path) == ["a.toml", "b.toml", "bad.toml"] and read(tmp_path, mode="DROPMALFORMED") == ["a.toml", "b.toml"]
+    assert read(f"{tmp_path}/*.toml") == ["a.toml", "bad.toml"] and read(f"file://{tmp_path}/c.txt") == ["c.txt"]
+    jsonc = tmp_path / "x.jsonc"
+    jsonc.write_text("[1,]")
+    assert [r.json for r in spark.read.format("jsonc").load(str(jsonc)).collect()] == ["[1]"]
