@@ -6,9 +6,9 @@ replaced by ``*``; levels end where no host has enough paths for that. Every nod
 rule-labelled URLs below it. Siblings of like purity are a band, and a branch that doesn't differ
 significantly from its band is merged with it: it has the band's counts. From the root down, a branch whose
 counts don't differ significantly from its parent's is merged with the parent; any other has its own share of
-blocked URLs, smoothed towards the parent's. Above a host's tree stands the same template over all hosts,
-and above that the blocked share of all URLs, those without a label counted as not blocked. A template is
-blocked at ``THRESHOLD`` or more.
+blocked URLs, smoothed towards the parent's. Above a host's tree stand the trees of the hosts that share its last
+two labels, of those that share its last one, and of all hosts; above them the blocked share of all URLs,
+those without a label counted as not blocked. A template is blocked at ``THRESHOLD`` or more.
 
 Null url, or one without ``://``: host and path are empty, no rule, the share of everything decides.
 No labelled URL at all: allowed. Null page_id and repeated rows: each row is judged. Ties: of equally long
@@ -127,11 +127,13 @@ def purities(paths: DataFrame) -> DataFrame:
     below = written(leaves.select("host", "leaf", "blocked", "labelled", depths).select("host", "leaf", "blocked", "labelled", "at.*"), "below")
     counts = (F.sum("blocked").cast("double").alias("b"), F.sum("labelled").cast("double").alias("n"))
     own = written(merged(below.groupBy("host", "depth", "above", "node").agg(*counts)), "own")
-    pooled = below.groupBy("depth", "node").agg(*counts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    step = lambda level: F.struct(F.lit(level).alias("level"), "depth", "b", "n").alias("step")
+    scopes = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.when(F.lit(k) > 0, F.substring_index("host", ".", -k)).otherwise("").alias("scope")) for k in range(3)))).alias("of")
+    wide = lambda df: df.select("*", scopes).select("*", "of.level", "of.scope").drop("of")
+    pooled = wide(below).groupBy("level", "scope", "depth", "node").agg(*counts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    step = lambda level: F.struct(level.alias("level"), "depth", "b", "n").alias("step")
     wanted = below.select("host", "leaf", "depth", "node", F.pmod(F.xxhash64("host"), F.lit(SALTS)).cast("int").alias("salt"))
-    chain = wanted.join(own, ["host", "depth", "node"]).select("host", "leaf", step(1))
-    chain = chain.unionByName(wanted.join(pooled, ["depth", "node", "salt"]).select("host", "leaf", step(0)))
+    chain = wanted.join(own, ["host", "depth", "node"]).select("host", "leaf", step(F.lit(3)))
+    chain = chain.unionByName(wide(wanted).join(pooled, ["level", "scope", "depth", "node", "salt"]).select("host", "leaf", step(F.col("level"))))
     chain = chain.groupBy("host", "leaf").agg(F.array_sort(F.collect_list("step")).alias("steps"))
 
     def refine(p: Column, x: Column) -> Column:

@@ -510,9 +510,10 @@ def test_url_verdicts_match_brute_force(spark, sf_dir):
                 template[h, shape] = (*t[:d], "*", *t[d + 1 :])
         d += 1
     own, pooled = defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: [0.0, 0.0])
+    scope = lambda h, level: ".".join(h.split(".")[-level:]) if level else ""
     for (h, shape), t in template.items():
         for k in range(1, len(t) + 1):
-            for counts in (own[h, t[:k]], pooled[t[:k]]):
+            for counts in (own[h, t[:k]], *(pooled[level, scope(h, level), t[:k]] for level in range(3))):
                 counts[0] += blocked[h, shape]
                 counts[1] += labelled[h, shape]
 
@@ -539,9 +540,9 @@ def test_url_verdicts_match_brute_force(spark, sf_dir):
     for x in found:
         host, shape, _ = pages[x.page_id]
         t, p = template[host, shape], prior
-        for source in (lambda k: pooled[t[:k]], lambda k: used[host, t[:k]]):  # noqa: B023
+        for level in range(4):
             for k in range(1, len(t) + 1):
-                b, m = source(k)
+                b, m = pooled[level, scope(host, level), t[:k]] if level < 3 else used[host, t[:k]]
                 if m and gain(b, m, p) >= uf.SIGNIFICANT:
                     p = (b + uf.SMOOTHING * p) / (m + uf.SMOOTHING)
         assert x.template == "/".join([host, *t]) and math.isclose(x.purity, p, abs_tol=1e-9)
@@ -556,7 +557,7 @@ def test_url_purity_of_held_out_pages(spark):
 
     from quillspark.llm.url_filter import judge
 
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     if not os.path.isdir(folder):
         pytest.skip("no test data")
     pages = spark.read.parquet(f"{folder}/pages.parquet")
@@ -578,11 +579,68 @@ def test_url_templates(spark):
     assert {r.template for r in found} == {"h.com/u/*/x"}
 
 
-def test_quality(spark, sf_dir, duck):
-    keep = {r.doc_id: r.keep for r in collected(spark, sf_dir, "op9_quality")}
-    labels = duck.sql("SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)").fetchall()
-    assert sum(keep[i] == bool(q) for i, q in labels) / len(labels) > 0.95
-    assert len(keep) == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+def test_quality(spark, sf_dir, texts):
+    """Weights, draws and the choice of documents from their definitions."""
+    import re
+    from collections import Counter
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quillspark.llm import quality as q
+
+    found = {r.doc_id: r for r in collected(spark, sf_dir, "op9_quality")}
+    assert set(found) == set(texts)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").collect()
+    good, bad = ({r.doc_id for r in labels if r.quality == k and zlib.crc32(str(r.doc_id).encode()) % q.FOLDS} for k in (1, 0))
+
+    def features(text):
+        tokens = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+        hashes = [zlib.crc32(t.lower().encode()) for t in tokens]
+        out = [h % q.WORDS for h in hashes]
+        out += [q.STARTS[1] + ((a * 1_000_003 + b) >> 7) % q.PAIRS for a, b in zip(hashes, hashes[1:], strict=False)]
+        return out + [q.STARTS[2] + (0 if i and t == tokens[i - 1] else zlib.crc32(q.shape(t).encode()) % (q.SHAPES - 1) + 1) for i, t in enumerate(tokens)]
+
+    listed = {i: Counter(features(t)) for i, t in texts.items()}
+    everything, target = np.zeros(q.TOTAL), np.zeros(q.TOTAL)
+    for i, counts in listed.items():
+        for f, n in counts.items():
+            everything[f] += n
+            target[f] += n * (i in good)
+    ratio = np.zeros(q.TOTAL)
+    for start, size in zip(q.STARTS, q.SIZES, strict=True):
+        n, t = everything[start : start + size] + 1, target[start : start + size]
+        p = n / n.sum()
+        ratio[start : start + size] = np.log((t + q.PRIOR * p) / (t.sum() + q.PRIOR) / p)
+    weight = {i: sum(ratio[f] * n for f, n in c.items()) * q.TEMPER / (q.TEMPER + c.total()) for i, c in listed.items()}
+    for i, r in found.items():
+        assert math.isclose(r.log_weight, weight[i], rel_tol=1e-6, abs_tol=1e-6)
+    hashes = dict(spark.createDataFrame([(i,) for i in texts], "doc_id long").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(q.SEED)), F.lit(1 << 52))).collect())
+    for i, r in found.items():
+        assert math.isclose(r.draw, r.log_weight - math.log(-math.log((hashes[i] + 0.5) / (1 << 52))), rel_tol=1e-9)
+    level = q.best_level(np.array([found[i].log_weight for i in good if i in found]), np.array([found[i].log_weight for i in bad if i in found]))
+    k = sum(r.log_weight >= level for r in found.values())
+    assert {i for i, r in found.items() if r.keep} == set(sorted(found, key=lambda i: -found[i].draw)[:k])
+
+
+def test_quality_of_held_out_documents(spark):
+    """Weights and choices for labelled documents that the classifier never saw as labelled ones."""
+    import os
+
+    import duckdb
+
+    from quillspark.llm.quality import FOLDS
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    found = {r.doc_id: r for r in collected(spark, folder, "op9_quality")}
+    rows = duckdb.sql(f"SELECT doc_id, quality FROM '{folder}/labels.parquet' WHERE doc_id IN (SELECT doc_id FROM '{folder}/documents.parquet')").fetchall()
+    held = [(found[i], y) for i, y in rows if zlib.crc32(str(i).encode()) % FOLDS == 0]
+    good, bad = ([r for r, y in held if y == k] for k in (1, 0))
+    assert len(good) > 20 and len(bad) > 5
+    ranked = sum(a.log_weight > b.log_weight for a in good for b in bad) / (len(good) * len(bad))
+    assert ranked > 0.95 and sum(r.keep for r in good) / len(good) > 0.9 and sum(not r.keep for r in bad) / len(bad) > 0.8
 
 
 def test_toxicity(spark, duck):
@@ -689,18 +747,51 @@ def test_kernel_matches_brute_force():
     assert np.allclose(self_kernel(codes(strings)), [slow(s, s) for s in strings], rtol=1e-4)
 
 
-def test_pipeline(spark, sf_dir, texts):
+def test_pipeline(spark, sf_dir, texts, duck):
+    """Which documents survive, how often they are written and what is written, stage by stage without the pipeline's code."""
+    import re
+    import struct
+
+    import duckdb
     import public_tokenizers
     from tokenizers import Tokenizer
 
     import corpus_pipeline
+    from quillspark.llm import mixing, quality, simhash
 
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    left = sorted(r.doc_id for r in quality.resample(documents, labels).collect() if r.keep)
+    fps = {i: int.from_bytes(simhash.text_fingerprint(words(texts[i]), 5, simhash.SEED, simhash.LANES), "little") for i in left}
+    first = {i: i for i in left}
+
+    def root(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    share = math.acos(8 / 9) / math.pi
+    radius = math.floor(256 * share + math.sqrt(256 * share * (1 - share)))
+    for i in left:
+        for j in left:
+            if j < i and (fps[i] ^ fps[j]).bit_count() <= radius:
+                a, b = root(i), root(j)
+                first[max(a, b)] = min(a, b)
+    left = [i for i in left if root(i) == i]
+    tokens = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    windows: dict = {}
+    for (text,) in duck.sql("SELECT text FROM benchmark").fetchall():
+        w = tokens(text)
+        n = min(len(w), 10)
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(n, set()).add(tuple(w[k : k + n]))
+    left = [i for i in left if not any(tuple(w[k : k + n]) in found for w in [tokens(texts[i])] for n, found in windows.items() for k in range(len(w) - n + 1))]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet' WHERE doc_id IN ({', '.join(map(str, left))})")
+    times = {i: taken // size for i, size, taken in con.sql(f"SELECT doc_id, size, taken FROM ({mixing.ORACLE})").fetchall() if size}
     found = sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect()), key=lambda r: r[1])
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    start = 0
-    for doc_id, at, n, _ in found:
-        assert at == start and n == len(tokenizer.encode(texts[doc_id], add_special_tokens=False).ids) + 1
+    assert [r[0] for r in found] == sorted(i for i, n in times.items() for _ in range(n)) and 0 < len(left) < len(texts)
+    tokenizer, start = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
+    for doc_id, at, n, crc in found:
+        ids = [*tokenizer.encode(texts[doc_id], add_special_tokens=False).ids, 2]
+        assert (at, n, crc) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         start += n
-    assert [r[0] for r in found] == sorted(r[0] for r in found)
-    times = [sum(r[0] == i for r in found) for i in {r[0] for r in found}]
-    assert max(times) <= 2
