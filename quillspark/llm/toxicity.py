@@ -9,7 +9,9 @@ stop, a question or an exclamation mark, or after ``SPAN`` words.
 
 Labels are those of documents, so the SVM learns from several instances: a document stands for its sentence
 with the highest margin, toxic if the document is labelled so; the choice and the fit alternate ``ROUNDS``
-times. A document's margin is that of its worst sentence, and a logistic curve turns it into a probability.
+times. A second SVM with the same landmarks learns from all sentences of a document together, as one bag of
+words, where cues that are weak in each sentence add up. A logistic curve turns a document's two margins, of
+its worst sentence and of all its words, into a probability.
 
 Training takes at most TOXIC toxic and CLEAN clean labelled documents of the training folds (those with
 the least hash of doc_id). Their words are counted by distinct neighbourhoods, so copies of a text count
@@ -218,12 +220,15 @@ def kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 class Projection:
-    """The normalised kernel times one weight a landmark; its cost doesn't grow with the landmarks."""
+    """The normalised kernel times a weight a landmark; its cost doesn't grow with the landmarks.
+
+    Weights are complex numbers: the real parts are one weighting, the imaginary parts another.
+    """
 
     def __init__(self, landmarks: list[str], weights: np.ndarray) -> None:
         self.tree = Subsequences(codes(landmarks))
         values = self.tree.values
-        self.leaf = values @ (weights / np.sqrt(np.maximum((values**2).sum(axis=0), 1e-12)))
+        self.leaf = values @ (weights / np.sqrt(np.maximum((values**2).sum(axis=0), 1e-12))).astype(complex)
         size, self.table = self.tree.size, None
         if size <= TABLED:
             # The tree's two upper levels unfolded: the leaf of every triple of letters.
@@ -232,13 +237,14 @@ class Projection:
             self.table = self.leaf[leaves] * (leaves > 0)
 
     def __call__(self, strings: list[str]) -> np.ndarray:
-        out = np.zeros(len(strings))
+        out = np.zeros(len(strings), complex)
         for places, rows in chunks(strings):
             if self.table is not None:
                 summed = self.tabled(rows)
             else:
                 row, leaf, weight = self.tree.found(rows)
-                summed = np.bincount(row, weight * self.leaf[leaf], len(rows))
+                part = weight * self.leaf[leaf]
+                summed = np.bincount(row, part.real, len(rows)) + 1j * np.bincount(row, part.imag, len(rows))
             near = np.flatnonzero(summed)
             if len(near):
                 out[places[near]] = summed[near] / own_norm(rows[near])
@@ -248,11 +254,11 @@ class Projection:
         """Weighted sum over all triples of places; a letter that no landmark has leads nowhere."""
         letters, size = self.tree.letters, self.tree.size
         if not len(letters):
-            return np.zeros(len(rows))
+            return np.zeros(len(rows), complex)
         at = np.minimum(np.searchsorted(letters, rows.T), len(letters) - 1)
         ids = np.where(letters[at] == rows.T, at + 1, 0).astype(np.int32)
-        first, out = ids * np.int32(size * size), np.zeros(len(rows))
-        place, value = np.empty(len(rows), np.int32), np.empty(len(rows))
+        first, out = ids * np.int32(size * size), np.zeros(len(rows), complex)
+        place, value = np.empty(len(rows), np.int32), np.empty(len(rows), complex)
         for j in range(1, len(ids) - 1):
             for k in range(j + 1, len(ids)):
                 end = ids[j] * np.int32(size) + ids[k]
@@ -267,14 +273,11 @@ class Projection:
 class Model(NamedTuple):
     landmarks: list[str]  # witnesses first
     witnesses: int
-    alpha: np.ndarray  # margin = kernel with the landmarks @ alpha + bias
-    bias: float
-    slope: float
+    alpha: np.ndarray  # margin = kernel with the landmarks @ alpha + bias; real parts: of sentences, imaginary: of whole texts
+    bias: complex
+    slopes: tuple[float, float]  # of the worst sentence's margin and of all words' margin
     shift: float
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
-
 
 def svm(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int = 800, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
     """Linear SVM, squared hinge loss, by accelerated gradient steps."""
@@ -309,15 +312,15 @@ def separate(marks: list[str], x: np.ndarray, labels: np.ndarray, weights: np.nd
     return root @ w / scale, bias
 
 
-def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of P(toxic | margin), by Newton's method with a little shrinkage."""
-    x = np.stack([margins, np.ones(len(margins))], axis=1)
-    w = np.zeros(2)
+def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Slopes and shift of P(toxic | margins), by Newton's method with a little shrinkage."""
+    x = np.hstack([margins, np.ones((len(margins), 1))])
+    w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
+        hessian = x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(len(w))
         w = w - np.linalg.solve(hessian, x.T @ (p - labels) + 1e-2 * w)
-    return float(w[0]), float(w[1])
+    return tuple(map(float, w[:-1])), float(w[-1])
 
 
 class Bags(NamedTuple):
@@ -327,6 +330,8 @@ class Bags(NamedTuple):
     words: np.ndarray  # how many each sentence has
     sentence: np.ndarray  # of each entry; ascending
     token: np.ndarray  # a token of each entry's word
+    whole_row: np.ndarray  # the same for whole texts: the row of each distinct word
+    whole_token: np.ndarray
 
 
 class Reader:
@@ -335,7 +340,7 @@ class Reader:
     def __init__(self, value_of: Callable[[list[str]], np.ndarray]) -> None:
         self.value_of = value_of
         self.tokens = StringTable(CACHED, CACHED_BYTES)
-        self.word, self.value = np.zeros(0, np.int64), np.zeros(0)
+        self.word, self.value = np.zeros(0, np.int64), np.zeros(0, complex)
         self.counts, self.stops, self.letter = (np.zeros(0, bool) for _ in range(3))
 
     def trim(self) -> None:
@@ -350,7 +355,7 @@ class Reader:
         value = dict(zip(parts, self.value_of(parts).tolist(), strict=True))
         n, flag = len(fresh), lambda xs: np.fromiter(xs, bool, len(fresh))
         self.word = np.concatenate([self.word, np.fromiter(map(hash, words), np.int64, n)])  # equality within this process
-        self.value = np.concatenate([self.value, np.fromiter((sum(map(value.__getitem__, ps)) for ps in cut), float, n)])
+        self.value = np.concatenate([self.value, np.fromiter((sum(map(value.__getitem__, ps)) for ps in cut), complex, n)])
         self.counts = np.concatenate([self.counts, flag(map(bool, cut))])
         self.stops = np.concatenate([self.stops, flag(t.rstrip("\"')]}")[-1:] in tuple(".!?") for t in fresh)])
         self.letter = np.concatenate([self.letter, flag(len(t) < 3 and LETTER.fullmatch(t) is not None for t in fresh)])
@@ -388,14 +393,18 @@ class Reader:
         _, first, word = np.unique(self.word[number], return_index=True, return_inverse=True)
         entries = (sentence * len(first) + word[codes])[self.counts[number][codes]]
         entries = np.unique(entries)
-        sentence, token = entries // max(1, len(first)), number[first][entries % max(1, len(first))]
+        size = max(1, len(first))
+        sentence, word, token = entries // size, entries % size, number[first]
+        whole = np.unique(rows[sentence] * size + word)
         used, sentence, words = np.unique(sentence, return_inverse=True, return_counts=True)
-        return Bags(rows[used], words, sentence, token)
+        return Bags(rows[used], words, sentence, token[word], whole // size, token[whole % size])
 
-    def margins(self, texts: pa.Array, bias: float) -> tuple[Bags, np.ndarray]:
-        """Every sentence's margin, if ``value_of`` gives the words' part in it."""
-        bags = self.bags(texts)
-        return bags, bias + np.bincount(bags.sentence, self.value[bags.token], len(bags.row)) / np.sqrt(bags.words)
+    def margins(self, texts: pa.Array, bias: complex) -> tuple[Bags, np.ndarray, np.ndarray]:
+        """Every sentence's margin and every text's, if ``value_of`` gives the words' part in them."""
+        bags, n = self.bags(texts), len(texts)
+        sentences = bias.real + np.bincount(bags.sentence, self.value.real[bags.token], len(bags.row)) / np.sqrt(bags.words)
+        words = np.bincount(bags.whole_row, minlength=n)
+        return bags, sentences, bias.imag + np.bincount(bags.whole_row, self.value.imag[bags.whole_token], n) / np.sqrt(np.maximum(words, 1))
 
 
 def worst(bags: Bags, margins: np.ndarray, n: int, bias: float) -> tuple[np.ndarray, np.ndarray]:
@@ -408,30 +417,32 @@ def worst(bags: Bags, margins: np.ndarray, n: int, bias: float) -> tuple[np.ndar
     return place, margin
 
 
-def _chosen(marks, alpha: np.ndarray, bias: float):
-    """Each text's margin and, of its worst sentence, the kernel with the landmarks."""
+def _chosen(marks, alpha: np.ndarray, bias: complex):
+    """Each text's margins and its kernels with the landmarks: those of its worst sentence, then those of all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(Projection(marks.value, alpha))
         for batch in batches:
             for part in pieces(batch):
                 texts = part.column("text")
-                bags, margins = reader.margins(texts, bias)
-                place, margin = worst(bags, margins, len(texts), bias)
+                bags, margins, whole = reader.margins(texts, bias)
+                place, margin = worst(bags, margins, len(texts), bias.real)
                 new = np.full(len(bags.row) + 1, -1)
                 new[place] = np.arange(len(texts))
                 kept = new[:-1][bags.sentence] >= 0
-                token, text = bags.token[kept], new[bags.sentence[kept]]
+                # Instances: a row's sentence has an even number, all its words the next one.
+                token, instance = np.concatenate([bags.token[kept], bags.whole_token]), np.concatenate([2 * new[bags.sentence[kept]], 2 * bags.whole_row + 1])
                 words, word = np.unique(token, return_inverse=True)
                 cut = [forms(clean_piece(t)) for t in reader.tokens.strings.take(pa.array(words)).to_pylist()]
                 own = np.repeat(np.arange(len(cut)), list(map(len, cut)))
                 near = np.zeros((len(cut), len(marks.value)))
                 np.add.at(near, own, kernel([p for ps in cut for p in ps], marks.value))
-                x = np.zeros((len(texts), len(marks.value)))
-                np.add.at(x, text, near[word])
-                x /= np.sqrt(np.maximum(np.bincount(text, minlength=len(texts)), 1))[:, None]
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.float32)), x.shape[1]).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(margin), flat], ["doc_id", "margin", "x"])
+                order = np.argsort(instance, kind="stable")
+                x, (used, first) = np.zeros((2 * len(texts), len(marks.value))), np.unique(instance[order], return_index=True)
+                for i, a, b in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+                    x[i] = near[word[order[a:b]]].sum(axis=0) / (b - a) ** 0.5
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.float32)), 2 * x.shape[1]).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(margin), pa.array(whole), flat], ["doc_id", "margin", "whole", "x"])
 
     return run
 
@@ -468,9 +479,9 @@ def _margins(model):
         reader = Reader(Projection(m.landmarks, m.alpha))
         for batch in batches:
             for part in pieces(batch):
-                bags, margins = reader.margins(part.column("text"), m.bias)
-                _, margin = worst(bags, margins, part.num_rows, m.bias)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(margin)], ["doc_id", "held_out", "margin"])
+                bags, margins, whole = reader.margins(part.column("text"), m.bias)
+                _, margin = worst(bags, margins, part.num_rows, m.bias.real)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(margin), pa.array(whole)], ["doc_id", "held_out", "margin", "whole"])
 
     return run
 
@@ -491,7 +502,7 @@ def train(texts: DataFrame, labels: DataFrame) -> Model:
     n_toxic = sum(chosen.values())
     if not n_toxic or n_toxic == len(chosen):
         share = 0.0 if not chosen else n_toxic / len(chosen)
-        return Model([], 0, np.zeros(0), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+        return Model([], 0, np.zeros(0), 0j, (0.0, 0.0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     ids = texts.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")  # at most TOXIC + CLEAN rows
     texts = written(texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "labelled")
     one = lambda v: F.sum(F.when(F.col("toxic") == v, 1).otherwise(0))
@@ -510,18 +521,22 @@ def train(texts: DataFrame, labels: DataFrame) -> Model:
     others = [r[0] for r in usual.orderBy(F.desc("c"), "piece").limit(OTHERS // 3).collect()]
     others += [r[0] for r in usual.orderBy(F.xxhash64("piece"), "piece").limit(OTHERS).collect()]
     if not found or not others:
-        return Model([], 0, np.zeros(0), 0.0, 0.0, float(np.log(n_toxic / clean)))
+        return Model([], 0, np.zeros(0), 0j, (0.0, 0.0), float(np.log(n_toxic / clean)))
     marks = landmarks(found, others)
     shared = sc.broadcast(marks)
-    alpha, bias = np.where(np.arange(len(marks)) < len(found), 1.0, -1.0), 0.0  # chooses the first sentences
+    alpha, bias = np.where(np.arange(len(marks)) < len(found), 1.0, -1.0).astype(complex), 0j  # chooses the first sentences
     for step in range(ROUNDS + 1):
-        seen = texts.mapInArrow(_chosen(shared, alpha, bias), "doc_id long, margin double, x array<float>").toArrow()  # a row for each document of the sample
+        seen = texts.mapInArrow(_chosen(shared, alpha, bias), "doc_id long, margin double, whole double, x array<float>").toArrow()  # a row for each document of the sample
         y = np.array([chosen[i] for i in seen.column("doc_id").to_pylist()], float)
         if step == ROUNDS:
             break
-        x = seen.column("x").combine_chunks().flatten().to_numpy().reshape(seen.num_rows, len(marks)).astype(float)
-        alpha, bias = separate(marks, x, y, np.ones(len(y)))
-    return Model(marks, len(found), alpha, bias, *logistic(seen.column("margin").to_numpy(), y))
+        x = seen.column("x").combine_chunks().flatten().to_numpy().reshape(seen.num_rows, 2, len(marks)).astype(float)
+        if not step:
+            whole, whole_bias = separate(marks, x[:, 1], y, np.ones(len(y)))
+        sentence, sentence_bias = separate(marks, x[:, 0], y, np.ones(len(y)))
+        alpha, bias = sentence + 1j * whole, sentence_bias + 1j * whole_bias
+    margins = np.stack([seen.column(c).to_numpy() for c in ("margin", "whole")], axis=1)
+    return Model(marks, len(found), alpha, bias, *logistic(margins, y))
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
@@ -529,9 +544,10 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
     texts = doc_text(docs).withColumn("held_out", crc_bucket(F.col("doc_id"), folds) == 0)
     model = train(texts, labels)
     if model.landmarks:
-        rows = texts.mapInArrow(_margins(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, margin double")
+        rows = texts.mapInArrow(_margins(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, margin double, whole double")
     else:
-        rows = texts.select("doc_id", "held_out", F.lit(0.0).alias("margin"))
-    line = F.greatest(F.least(F.col("margin") * model.slope + model.shift, F.lit(30.0)), F.lit(-30.0))
+        rows = texts.select("doc_id", "held_out", F.lit(0.0).alias("margin"), F.lit(0.0).alias("whole"))
+    line = F.col("margin") * model.slopes[0] + F.col("whole") * model.slopes[1] + model.shift
+    line = F.greatest(F.least(line, F.lit(30.0)), F.lit(-30.0))
     rows = rows.select("doc_id", "held_out", (1 / (1 + F.exp(-line))).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -673,6 +673,8 @@ def test_toxicity_is_exact(spark, duck):
     import re
     from itertools import combinations
 
+    import numpy as np
+
     from quillspark.llm import toxicity
     from quillspark.llm.common import doc_text
 
@@ -695,16 +697,20 @@ def test_toxicity_is_exact(spark, duck):
         own = triples(mark)
         norm = math.sqrt(sum(x * x for x in own.values()))
         for key, x in own.items():
-            direction[key] = direction.get(key, 0.0) + weight * x / norm
+            direction[key] = direction.get(key, 0j) + weight * x / norm
     values: dict = {}
 
     def value(piece):
         if piece not in values:
             own = triples(piece)
-            values[piece] = sum(direction.get(k, 0.0) * x for k, x in own.items()) / math.sqrt(sum(x * x for x in own.values()))
+            values[piece] = sum(direction.get(k, 0j) * x for k, x in own.items()) / math.sqrt(sum(x * x for x in own.values()))
         return values[piece]
 
-    def margin(text):
+    def margin(tokens):
+        bag = {w for w in map(toxicity.clean_piece, tokens) if toxicity.forms(w)}
+        return model.bias + sum(value(p) for w in bag for p in toxicity.forms(w)) / math.sqrt(len(bag)) if bag else None
+
+    def margins(text):
         sentences, now = [], []
         for token in re.findall(r"[^\x20\x09-\x0d]+", text):
             now.append(token)
@@ -712,21 +718,17 @@ def test_toxicity_is_exact(spark, duck):
                 sentences.append(now)
                 now = []
         sentences += [now, *([w] for w in toxicity.spelled(text))]
-        found = [model.bias]
-        for sentence in sentences:
-            bag = {w for w in map(toxicity.clean_piece, sentence) if toxicity.forms(w)}
-            if bag:
-                found.append(model.bias + sum(value(p) for w in bag for p in toxicity.forms(w)) / math.sqrt(len(bag)))
-        return max(found[1:], default=model.bias)
+        whole = margin([t for s in sentences for t in s])
+        return max((m.real for m in map(margin, sentences) if m is not None), default=model.bias.real), (model.bias if whole is None else whole).imag
 
     more = [(-1, "an i.d.i.o.t"), (-2, ""), (-3, None), (-4, "he is an i d i o t. good m o r o n"), (-5, "x" * 5000 + "scum" * 30), (-6, "a b. c d"), (None, "scum")]
     some = docs.where("doc_id % 7 = 1 and length(text) < 3000").select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     texts = {r.doc_id: r.text for r in some.collect()}
     shared = spark.sparkContext.broadcast(model)
-    rows = doc_text(some).selectExpr("*", "false held_out").mapInArrow(toxicity._margins(shared), "doc_id long, held_out boolean, margin double").collect()
+    rows = doc_text(some).selectExpr("*", "false held_out").mapInArrow(toxicity._margins(shared), "doc_id long, held_out boolean, margin double, whole double").collect()
     assert len(rows) == len(texts)
     for r in rows:
-        assert math.isclose(r.margin, margin(texts[r.doc_id] or ""), rel_tol=1e-4, abs_tol=1e-4), r.doc_id
+        assert np.allclose((r.margin, r.whole), margins(texts[r.doc_id] or ""), rtol=1e-4, atol=1e-4), r.doc_id
 
 
 def test_kernel_matches_brute_force():
