@@ -2,8 +2,8 @@
 
 Texts become words; every run of ``GRAM`` words has a hash; every window of ``span`` words keeps the
 smallest hash inside it. Two texts that share a window share its smallest hash, so joining the kept
-hashes of documents and items misses no shared window. Only documents with common hashes are read again:
-their windows whose kept hash is common are spelled out, joined with the items' windows on the words
+hashes of documents and items misses no shared window. The documents are read again: of those with common
+hashes, the windows whose kept hash is common are spelled out, joined with the items' windows on the words
 themselves, and their union gives the hit words. Items shorter than a window are looked for as a whole,
 by the hash of all their words, in the same two passes.
 
@@ -82,7 +82,7 @@ def _found(lengths: list[int], span: int, gram: int) -> Column:
     spelled = []
     for n in lengths:
         sql = f"filter(transform({_keys(n, span, gram)}, (k, i) -> if({_is_common('k')}, struct(i as i, {n} as n, array_join(slice(w, i + 1, {n}), ' ') as phrase), null)), x -> x is not null)"
-        spelled.append(F.coalesce(F.expr(f"if(size(h) < {n}, null, {sql})"), none))
+        spelled.append(F.coalesce(F.expr(f"if(common is null or size(h) < {n}, null, {sql})"), none))
     return F.concat(*spelled) if spelled else none
 
 
@@ -92,16 +92,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     keys = windows.select("key").distinct()
     n_windows = windows.count()
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most ``span`` values
-    docs = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
-    texts = _hashed(docs, span, gram)
+    texts = _hashed(docs.select("doc_id", "text").withColumn("th", F.xxhash64("text")), span, gram)
     arrays = [_some(n, _keys(n, span, gram), "array<bigint>") for n in lengths] or [F.expr("CAST(array() AS array<bigint>)")]
     kept = texts.select("th", F.explode(F.array_distinct(arrays[0] if len(arrays) == 1 else F.concat(*arrays))).alias("key"))
     common = written(kept.join(_sized(keys, n_windows), "key").groupBy("th").agg(F.array_sort(F.collect_set("key")).alias("common")), "common")
-    common = _sized(common, common.agg(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0])
-    others = docs.join(common, "th", "left_anti").select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), _found([], span, gram).alias("found"))
-    again = _hashed(docs.join(common, "th"), span, gram)
-    again = again.select("doc_id", F.size("w").cast("long").alias("n_words"), _found(lengths, span, gram).alias("found"))
-    rows = written(others.unionByName(again).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "found"), "rows")
+    # Words and hashes are made below the join: above it they would be made anew for each window.
+    again = texts.join(_sized(common, common.agg(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0]), "th", "left")
+    rows = written(again.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("w").cast("long").alias("n_words"), _found(lengths, span, gram).alias("found")), "rows")
     spans = rows.select("row", F.explode("found").alias("f")).select("row", "f.*")
     names = F.array_sort(F.collect_set(F.col("item_id").cast("string")))
     phrases = windows.groupBy("phrase").agg(names.alias("items")).withColumn("class", F.sha2(F.to_json("items").cast("binary"), 256))
