@@ -4,8 +4,9 @@
 colour cache, and inverts the predictor, cross-colour, subtract-green and palette transforms.
 ``encode_pixels`` writes any of these. Payloads of documents are stored as pictures 16 pixels (64 bytes)
 wide and ``TILE_ROWS`` high at most, one file after the other. Each picture is stored in the form that is
-estimated to be smallest: literals; literals after the subtract-green or a predictor transform; literals,
-back-references and the colour cache; or a palette with back-references. ``encode_payloads`` and
+estimated to be smallest: literals; literals after the subtract-green or a predictor transform (tried where
+copies and the cache save less than a fiftieth); literals, back-references and the colour cache; or a palette with
+back-references. ``encode_payloads`` and
 ``decode_payloads`` handle all pictures of a batch in step, a token of every picture at a time; pictures with
 grouped or very long codes, which only other writers make, are read one by one.
 
@@ -610,6 +611,8 @@ LITERALS, GREENED, BY_LEFT, BY_TOP, MATCHED, COLOURED = range(6)
 #: Estimated bits of a code's description for each of its symbols, and of the rest of a file.
 SYMBOL_BITS, FILE_BITS, COLOUR_BITS = 5, 240, 40
 SHORTEST, LONGEST_MATCH = 3, 4096
+#: Transforms are tried where copies and the cache leave more than this share of the literals' bits.
+SAVED = 0.98
 _NEAR = np.array(NEARBY)
 
 
@@ -771,6 +774,25 @@ def stream_bits(t: Tokens, tiles: int) -> np.ndarray:
     return bits_of(green) + bits_of(rest) + 2 * SYMBOL_BITS * (rest > 0).sum(axis=1) + bits_of(distance) + np.bincount(t.tile, t.extra_bits + t.far_bits, tiles)
 
 
+def literal_bits(parts: np.ndarray, tile: np.ndarray, tiles: int) -> np.ndarray:
+    """Estimated bits of a picture of literals."""
+    rest = histogram(np.repeat(tile, 3), parts[:, [0, 2, 3]].reshape(-1).astype(np.int64), tiles, 256)
+    return bits_of(histogram(tile, parts[:, 1].astype(np.int64), tiles, 256)) + bits_of(rest) + 2 * SYMBOL_BITS * (rest > 0).sum(axis=1)
+
+
+def transformed(parts: np.ndarray, place: np.ndarray) -> dict[int, np.ndarray]:
+    """Red, green, blue, alpha of whole tiles after each transform; ``place``: of a pixel in its tile."""
+    before, above = np.zeros_like(parts), np.zeros_like(parts)
+    before[1:], above[WIDTH:] = parts[:-1], parts[:-WIDTH]
+    black = np.array([0, 0, 0, 255], np.uint8)
+    origin, left_edge, top = ((x)[:, None] for x in (place == 0, place % WIDTH == 0, place < WIDTH))
+    return {
+        GREENED: parts - parts[:, [1]] * np.array([1, 0, 1, 0], np.uint8),
+        BY_LEFT: parts - np.where(origin, black, np.where(left_edge, above, before)),
+        BY_TOP: parts - np.where(origin, black, np.where(top, before, above)),
+    }
+
+
 def tile_tokens(tiles: list[bytes]) -> tuple[Tokens, np.ndarray, dict[int, np.ndarray], np.ndarray]:
     """The tokens of all tiles in order, each tile's form, the colours of those with a palette, and stored widths."""
     n, lens = len(tiles), np.array([len(t) // 4 for t in tiles])
@@ -782,16 +804,6 @@ def tile_tokens(tiles: list[bytes]) -> tuple[Tokens, np.ndarray, dict[int, np.nd
     last[first + lens - 1] = True
     values = np.ascontiguousarray(parts).view("<u4")[:, 0].astype(np.int64)
 
-    before, above = np.zeros_like(parts), np.zeros_like(parts)
-    before[1:], above[WIDTH:] = parts[:-1], parts[:-WIDTH]
-    black = np.array([0, 0, 0, 255], np.uint8)
-    origin = (place == 0)[:, None]
-    forms = {
-        LITERALS: parts,
-        GREENED: parts - parts[:, [1]] * np.array([1, 0, 1, 0], np.uint8),
-        BY_LEFT: parts - np.where(origin, black, np.where((column == 0)[:, None], above, before)),
-        BY_TOP: parts - np.where(origin, black, np.where((row == 0)[:, None], before, above)),
-    }
     argb = parts[:, 3].astype(np.int64) << 24 | parts[:, 0].astype(np.int64) << 16 | parts[:, 1].astype(np.int64) << 8 | parts[:, 2]
     slot = (CACHE_FACTOR * argb & 0xFFFFFFFF) >> (32 - CACHE_BITS)
     order = np.argsort(tile * (1 << CACHE_BITS) + slot, kind="stable")
@@ -802,10 +814,15 @@ def tile_tokens(tiles: list[bytes]) -> tuple[Tokens, np.ndarray, dict[int, np.nd
     copies = matches(values, tile, last)
     matched = tokens_of(parts, tile, np.full(len(copies[0]), WIDTH), copies, cached)
     cost = np.full((6, n), np.inf)
-    for form, p in forms.items():
-        counts = histogram(np.repeat(tile, 3), p[:, [0, 2, 3]].reshape(-1).astype(np.int64), n, 256)
-        cost[form] = bits_of(histogram(tile, p[:, 1].astype(np.int64), n, 256)) + bits_of(counts) + 2 * SYMBOL_BITS * (counts > 0).sum(axis=1) + (FILE_BITS if form in (BY_LEFT, BY_TOP) else 0)
+    cost[LITERALS] = literal_bits(parts, tile, n)
     cost[MATCHED] = stream_bits(matched, n) + CACHE_BITS
+    forms = {LITERALS: (parts, np.arange(len(parts)))}
+    tried = np.flatnonzero((cost[MATCHED] > SAVED * cost[LITERALS])[tile])
+    if len(tried):
+        for form, p in transformed(parts[tried], place[tried]).items():
+            own = np.unique(tile[tried])
+            cost[form, own] = literal_bits(p, np.searchsorted(own, tile[tried]), len(own)) + (FILE_BITS if form != GREENED else 0)
+            forms[form] = p, tried
     # Palettes: of tiles with so few colours that a palette could pay.
     order = np.argsort(tile << 32 | values, kind="stable")
     fresh = np.ones(len(order), bool)
@@ -841,7 +858,7 @@ def tile_tokens(tiles: list[bytes]) -> tuple[Tokens, np.ndarray, dict[int, np.nd
     for k in np.flatnonzero(form == COLOURED).tolist():
         p = np.unique(values[first[k] : first[k] + lens[k]]).astype("<u4").view(np.uint8).reshape(-1, 4).astype(np.uint32)
         palettes[k] = p[:, 3] << 24 | p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]
-    chosen = [tokens_of(p[own], tile[own], None, None, None) for f, p in forms.items() if (own := (form == f)[tile]).any()]
+    chosen = [tokens_of(p[own], tile[at][own], None, None, None) for f, (p, at) in forms.items() if (own := (form == f)[tile[at]]).any()]
     chosen += [Tokens(*(x[(form == f)[t.tile]] for x in t)) for f, t in ((MATCHED, matched), (COLOURED, coloured)) if t is not None]
     every = Tokens(*(np.concatenate(x) for x in zip(*chosen, strict=True)))
     order = np.argsort(every.tile, kind="stable")
