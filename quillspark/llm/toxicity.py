@@ -417,8 +417,8 @@ def worst(bags: Bags, margins: np.ndarray, n: int, bias: float) -> tuple[np.ndar
     return place, margin
 
 
-def _chosen(marks, alpha: np.ndarray, bias: complex):
-    """Each text's margins and its kernels with the landmarks: those of its worst sentence, then those of all its words."""
+def _chosen(marks, alpha: np.ndarray, bias: complex, all_words: bool):
+    """Each text's margins and its kernels with the landmarks: those of its worst sentence, then, if asked for, those of all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(Projection(marks.value, alpha))
@@ -431,7 +431,9 @@ def _chosen(marks, alpha: np.ndarray, bias: complex):
                 new[place] = np.arange(len(texts))
                 kept = new[:-1][bags.sentence] >= 0
                 # Instances: a row's sentence has an even number, all its words the next one.
-                token, instance = np.concatenate([bags.token[kept], bags.whole_token]), np.concatenate([2 * new[bags.sentence[kept]], 2 * bags.whole_row + 1])
+                token, instance = bags.token[kept], 2 * new[bags.sentence[kept]]
+                if all_words:
+                    token, instance = np.concatenate([token, bags.whole_token]), np.concatenate([instance, 2 * bags.whole_row + 1])
                 words, word = np.unique(token, return_inverse=True)
                 cut = [forms(clean_piece(t)) for t in reader.tokens.strings.take(pa.array(words)).to_pylist()]
                 own = np.repeat(np.arange(len(cut)), list(map(len, cut)))
@@ -526,7 +528,7 @@ def train(texts: DataFrame, labels: DataFrame) -> Model:
     shared = sc.broadcast(marks)
     alpha, bias = np.where(np.arange(len(marks)) < len(found), 1.0, -1.0).astype(complex), 0j  # chooses the first sentences
     for step in range(ROUNDS + 1):
-        seen = texts.mapInArrow(_chosen(shared, alpha, bias), "doc_id long, margin double, whole double, x array<float>").toArrow()  # a row for each document of the sample
+        seen = texts.mapInArrow(_chosen(shared, alpha, bias, not step), "doc_id long, margin double, whole double, x array<float>").toArrow()  # a row for each document of the sample
         y = np.array([chosen[i] for i in seen.column("doc_id").to_pylist()], float)
         if step == ROUNDS:
             break
