@@ -47,6 +47,8 @@ ORDER, DECAY, WIDTH = 3, 0.6, 24
 SPAN, ROUNDS = 32, 3
 OTHERS = 3000
 OCCURRENCES = 1 << 18
+#: Numbers in a table of rows by subsequences, whatever the rows; additions to it at once.
+PROFILE, ADDED = 1 << 22, 1 << 20
 #: Tokens that a task remembers, and bytes of their strings.
 CACHED, CACHED_BYTES = 600_000, 12_000_000
 #: Letters of the landmarks up to which a weighted sum of landmarks is a table of all triples of letters.
@@ -92,7 +94,8 @@ class Subsequences:
     """The landmarks' subsequences as a tree, and how much of each one every landmark has.
 
     A kernel is a sum over the subsequences that two strings share, so a string's walk through this tree
-    gives its kernel with all landmarks at once, or with any weighted sum of them.
+    gives its kernel with all landmarks at once, or with any weighted sum of them. ``leaf``, ``mark`` and
+    ``value`` list what the landmarks have, landmark by landmark.
     """
 
     def __init__(self, landmarks: np.ndarray) -> None:
@@ -120,9 +123,10 @@ class Subsequences:
         for node, row in enumerate(rows):
             for letter, after in row.items():
                 self.table[node * self.size + letter] = after
-        self.values = np.zeros((n_leaves + 1, len(landmarks)))
-        for (leaf, t), value in leaves.items():
-            self.values[leaf, t] = value
+        self.leaves, self.marks = n_leaves + 1, len(landmarks)
+        self.leaf, self.mark = np.array(list(leaves), np.int64).reshape(-1, 2).T
+        self.value = np.array(list(leaves.values()), float)
+        self.norms = np.sqrt(np.maximum(np.bincount(self.mark, self.value**2, self.marks), 1e-12))
 
     def found(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, subsequence and weight of every occurrence in the rows of one of the subsequences."""
@@ -150,12 +154,60 @@ class Subsequences:
         rows, leaf, weight = (np.concatenate(x) for x in zip(*out, strict=True))
         return rows, leaf, weight
 
+    def summed(self, strings: list[str], entry: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """Sums of normalised kernels with the landmarks, for ``n`` rows; entries say which string is in which row.
+
+        Subsequences are summed by row before the landmarks come in, so no string has a row of kernels of its own;
+        memory is that of PROFILE numbers and the sums.
+        """
+        out = np.zeros((n, self.marks), np.float32)
+        order = np.argsort(row, kind="stable")
+        entry, row = entry[order], row[order]
+        edge = np.searchsorted(self.mark, np.arange(self.marks + 1))
+        step = max(1, PROFILE // self.leaves)
+        for start in range(0, n, step):
+            a, b = np.searchsorted(row, [start, start + step])
+            if a == b:
+                continue
+            used, own = np.unique(entry[a:b], return_inverse=True)
+            profile = self.profile([strings[i] for i in used.tolist()], own, row[a:b] - start, min(step, n - start))
+            for t in range(self.marks):
+                mine = slice(edge[t], edge[t + 1])
+                out[start : start + step, t] = (self.value[mine] / self.norms[t]) @ profile[self.leaf[mine]]
+        return out
+
+    def profile(self, strings: list[str], entry: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """How much of each subsequence, by normalised strings, each of ``n`` rows has; subsequences by rows."""
+        total = np.zeros(self.leaves * n)
+        holders = row[np.argsort(entry, kind="stable")]
+        many = np.bincount(entry, minlength=len(strings))
+        first = np.cumsum(many) - many
+        for places, rows in chunks(strings):
+            at, leaf, weight = self.found(rows)
+            if not len(at):
+                continue
+            near = np.unique(at)
+            own = np.ones(len(rows))
+            own[near] = own_norm(rows[near])
+            weight, place = weight / own[at], places[at]
+            ends = np.cumsum(many[place])
+            # Every occurrence goes to all rows that hold its string.
+            cuts = np.searchsorted(ends, np.arange(0, ends[-1], ADDED), side="left").tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(place)], strict=True):
+                times = many[place[a:b]]
+                which = np.repeat(np.arange(a, b), times)
+                holder = holders[np.arange(len(which)) + np.repeat(first[place[a:b]] - np.cumsum(times) + times, times)]
+                np.add.at(total, leaf[which].astype(np.int64) * n + holder, weight[which])
+        return total.reshape(self.leaves, n)
+
 
 def raw_kernel(strings: np.ndarray, landmark: np.ndarray) -> np.ndarray:
     """Gap-weighted subsequence kernel of every row with one landmark, all rows at once."""
     tree = Subsequences(landmark[None])
     rows, leaf, weight = tree.found(strings)
-    return np.bincount(rows, weight * tree.values[leaf, 0], len(strings))
+    value = np.zeros(tree.leaves)
+    value[tree.leaf] = tree.value
+    return np.bincount(rows, weight * value[leaf], len(strings))
 
 
 def self_kernel(strings: np.ndarray) -> np.ndarray:
@@ -202,21 +254,8 @@ def own_norm(rows: np.ndarray) -> np.ndarray:
 
 def kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel, rows by landmarks."""
-    tree = Subsequences(codes(landmarks))
-    values = tree.values / np.sqrt(np.maximum((tree.values**2).sum(axis=0), 1e-12))
-    out = np.zeros((len(strings), len(landmarks)), np.float32)
-    for places, rows in chunks(strings):
-        row, leaf, weight = tree.found(rows)
-        if not len(row):
-            continue
-        order = np.argsort(row, kind="stable")
-        row, leaf, weight = row[order], leaf[order], weight[order]
-        first = np.flatnonzero(np.diff(row, prepend=-1))
-        near = row[first]
-        own = own_norm(rows[near])
-        for a in range(0, len(landmarks), 32):
-            out[places[near], a : a + 32] = np.add.reduceat(values[leaf, a : a + 32] * weight[:, None], first) / own[:, None]
-    return out
+    every = np.arange(len(strings))
+    return Subsequences(codes(landmarks)).summed(strings, every, every, len(strings))
 
 
 class Projection:
@@ -227,8 +266,8 @@ class Projection:
 
     def __init__(self, landmarks: list[str], weights: np.ndarray) -> None:
         self.tree = Subsequences(codes(landmarks))
-        values = self.tree.values
-        self.leaf = values @ (weights / np.sqrt(np.maximum((values**2).sum(axis=0), 1e-12))).astype(complex)
+        tree, shares = self.tree, (weights / self.tree.norms).astype(complex)[self.tree.mark] * self.tree.value
+        self.leaf = np.bincount(tree.leaf, shares.real, tree.leaves) + 1j * np.bincount(tree.leaf, shares.imag, tree.leaves)
         size, self.table = self.tree.size, None
         if size <= TABLED:
             # The tree's two upper levels unfolded: the leaf of every triple of letters.
@@ -417,8 +456,8 @@ def worst(bags: Bags, margins: np.ndarray, n: int, bias: float) -> tuple[np.ndar
     return place, margin
 
 
-def _chosen(marks, alpha: np.ndarray, bias: complex, all_words: bool):
-    """Each text's margins and its kernels with the landmarks: those of its worst sentence, then, if asked for, those of all its words."""
+def _chosen(marks, alpha: np.ndarray, bias: complex, kinds: int):
+    """Each text's margins and its kernels with the landmarks of ``kinds`` bags: of its worst sentence, then of all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(Projection(marks.value, alpha))
@@ -427,23 +466,24 @@ def _chosen(marks, alpha: np.ndarray, bias: complex, all_words: bool):
                 texts = part.column("text")
                 bags, margins, whole = reader.margins(texts, bias)
                 place, margin = worst(bags, margins, len(texts), bias.real)
-                new = np.full(len(bags.row) + 1, -1)
-                new[place] = np.arange(len(texts))
-                kept = new[:-1][bags.sentence] >= 0
-                # Instances: a row's sentence has an even number, all its words the next one.
-                token, instance = bags.token[kept], 2 * new[bags.sentence[kept]]
-                if all_words:
-                    token, instance = np.concatenate([token, bags.whole_token]), np.concatenate([instance, 2 * bags.whole_row + 1])
-                words, word = np.unique(token, return_inverse=True)
-                cut = [forms(clean_piece(t)) for t in reader.tokens.strings.take(pa.array(words)).to_pylist()]
-                own = np.repeat(np.arange(len(cut)), list(map(len, cut)))
-                near = np.zeros((len(cut), len(marks.value)))
-                np.add.at(near, own, kernel([p for ps in cut for p in ps], marks.value))
-                order = np.argsort(instance, kind="stable")
-                x, (used, first) = np.zeros((2 * len(texts), len(marks.value))), np.unique(instance[order], return_index=True)
-                for i, a, b in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-                    x[i] = near[word[order[a:b]]].sum(axis=0) / (b - a) ** 0.5
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.float32)), 2 * x.shape[1]).cast(pa.list_(pa.float32()))
+                x = np.zeros((0, len(marks.value)), np.float32)
+                if kinds:
+                    new = np.full(len(bags.row) + 1, -1)
+                    new[place] = np.arange(len(texts))
+                    kept = new[:-1][bags.sentence] >= 0
+                    # A row has ``kinds`` instances: its sentence, then all its words.
+                    token, instance = bags.token[kept], kinds * new[bags.sentence[kept]]
+                    if kinds > 1:
+                        token, instance = np.concatenate([token, bags.whole_token]), np.concatenate([instance, kinds * bags.whole_row + 1])
+                    words, word = np.unique(token, return_inverse=True)
+                    cut = [forms(clean_piece(t)) for t in reader.tokens.strings.take(pa.array(words)).to_pylist()]
+                    many = np.fromiter(map(len, cut), np.int64, len(cut))
+                    times = many[word]
+                    entry = np.arange(times.sum()) + np.repeat((np.cumsum(many) - many)[word] - np.cumsum(times) + times, times)
+                    x = reader.value_of.tree.summed([p for ps in cut for p in ps], entry, np.repeat(instance, times), kinds * len(texts))
+                    x /= np.sqrt(np.maximum(np.bincount(instance, minlength=len(x)), 1))[:, None].astype(np.float32)
+                edge = np.arange(len(texts) + 1, dtype=np.int32) * (kinds * x.shape[1])
+                flat = pa.ListArray.from_arrays(pa.array(edge), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(margin), pa.array(whole), flat], ["doc_id", "margin", "whole", "x"])
 
     return run
@@ -528,15 +568,17 @@ def train(texts: DataFrame, labels: DataFrame) -> Model:
     shared = sc.broadcast(marks)
     alpha, bias = np.where(np.arange(len(marks)) < len(found), 1.0, -1.0).astype(complex), 0j  # chooses the first sentences
     for step in range(ROUNDS + 1):
-        seen = texts.mapInArrow(_chosen(shared, alpha, bias, not step), "doc_id long, margin double, whole double, x array<float>").toArrow()  # a row for each document of the sample
-        y = np.array([chosen[i] for i in seen.column("doc_id").to_pylist()], float)
-        if step == ROUNDS:
+        kinds = 2 if not step else int(step < ROUNDS)  # the last round takes margins alone
+        seen = texts.mapInArrow(_chosen(shared, alpha, bias, kinds), "doc_id long, margin double, whole double, x array<float>").toArrow()  # a row for each document of the sample
+        if not kinds:
             break
-        x = seen.column("x").combine_chunks().flatten().to_numpy().reshape(seen.num_rows, 2, len(marks)).astype(float)
+        y = np.array([chosen[i] for i in seen.column("doc_id").to_pylist()], float)
+        x = seen.column("x").combine_chunks().flatten().to_numpy().reshape(seen.num_rows, kinds, len(marks))
         if not step:
-            whole, whole_bias = separate(marks, x[:, 1], y, np.ones(len(y)))
-        sentence, sentence_bias = separate(marks, x[:, 0], y, np.ones(len(y)))
+            whole, whole_bias = separate(marks, x[:, 1].astype(float), y, np.ones(len(y)))
+        sentence, sentence_bias = separate(marks, x[:, 0].astype(float), y, np.ones(len(y)))
         alpha, bias = sentence + 1j * whole, sentence_bias + 1j * whole_bias
+    y = np.array([chosen[i] for i in seen.column("doc_id").to_pylist()], float)
     margins = np.stack([seen.column(c).to_numpy() for c in ("margin", "whole")], axis=1)
     return Model(marks, len(found), alpha, bias, *logistic(margins, y))
 

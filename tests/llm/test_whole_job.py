@@ -45,3 +45,49 @@ def test_witnesses_come_from_whole_words():
     batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["ab" * (WIDTH // 2) + late]})
     counted = list(_witness_counts(SimpleNamespace(value={1: 1}))(iter([batch])))
     assert late in {p for b in counted for p in b.column("piece").to_pylist()}
+
+
+def test_toxicity_training_holds_no_row_of_kernels_for_each_word():
+    """Texts of sixty thousand different words, compared with two hundred landmarks."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quillspark.llm import toxicity
+
+    rng = random.Random(4)
+    marks = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(200)]
+    words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(60_000)]
+
+    class Shared:
+        value = marks
+
+    batch = pa.record_batch({"doc_id": pa.array([1, 2]), "text": [" ".join(words[:30_000]), " ".join(words[30_000:])]})
+    tracemalloc.start()
+    found = list(toxicity._chosen(Shared, np.ones(200, complex), 0j, 2)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # rows of kernels for the words took 341 MB
+    whole = sorted(set(words[:30_000]))
+    x = np.array(found[0].column("x")[0].as_py()).reshape(2, 200)[1]
+    assert np.allclose(x, toxicity.kernel(whole, marks).sum(axis=0, dtype=float) / len(whole) ** 0.5, rtol=1e-4)
+
+
+def test_toxicity_kernel_sums_by_blocks(monkeypatch):
+    """Sums of kernels don't depend on how many rows or additions are handled at once."""
+    import numpy as np
+
+    from quillspark.llm import toxicity
+
+    strings, marks = ["idiot", "idioot", "edition", "table", "stupid", "stud"], ["idiot", "stupid"]
+    entry, row = np.array([0, 1, 1, 2, 5, 4, 3, 0]), np.array([0, 0, 4, 2, 2, 2, 1, 4])
+    each = np.stack([toxicity.raw_kernel(toxicity.codes(strings), m) for m in toxicity.codes(marks)], axis=1)
+    each /= np.sqrt(toxicity.self_kernel(toxicity.codes(strings)))[:, None] * np.sqrt(toxicity.self_kernel(toxicity.codes(marks)))
+    wanted = np.zeros((5, 2))
+    np.add.at(wanted, row, each[entry])
+    for profile, added in ((1 << 22, 1 << 20), (1, 1), (200, 3)):
+        monkeypatch.setattr(toxicity, "PROFILE", profile)
+        monkeypatch.setattr(toxicity, "ADDED", added)
+        assert np.allclose(toxicity.Subsequences(toxicity.codes(marks)).summed(strings, entry, row, 5), wanted, rtol=1e-4)
