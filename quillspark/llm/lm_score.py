@@ -9,8 +9,7 @@ has the class's probability times its share of it at the root. Scoring follows t
 is a state.
 
 Beyond that, contexts of DEEP whole words are states by absolute counts: all those that recur in the training
-texts, whose hash is divisible by ELIGIBLE (the same choice at every size), and whose divergence from the
-near-root distribution outweighs its cost. They and their next words are a table that grows with the corpus.
+texts and whose divergence from the near-root distribution outweighs its cost; none is left out by its hash. They and their next words are a table that grows with the corpus.
 It is never in one place: every part of the documents sends its distinct contexts with next words, counted,
 to the shard of the context's hash; a shard puts the counts of all parts together, tests the contexts, and
 answers each part with the gain of its pairs. Pairs with a count of one have no share of their own. What a deep
@@ -43,8 +42,8 @@ from quillspark.llm.common import StringTable, crc_bucket, doc_text, pieces, spl
 FOLDS, HELD_OUT, DEPTH = 7, 2, 3
 SYMBOLS, CONTEXTS, EXPLICIT = 1 << 14, 1 << 16, 1 << 20
 DISCOUNT = 0.75
-#: Words of a deep context, and what its hash is divisible by.
-DEEP, ELIGIBLE = 6, 4
+#: Words of a deep context, and what its hash is divisible by: by one, so every context is counted.
+DEEP, ELIGIBLE = 6, 1
 #: Deep pairs in a shard, about; steps of a near-root probability's logarithm, as it is sent along.
 SHARD, STEPS = 1 << 20, 1024
 #: Bits of a symbol in a packed context.
@@ -52,6 +51,8 @@ SHIFT = 15
 #: Distinct words or pairs that a task holds before it passes its partial counts on.
 HELD = 1 << 19
 PART_BYTES = 8_000_000
+#: The same where all deep contexts of a part are in memory.
+DEEP_BYTES = 2_000_000
 
 
 class Level(NamedTuple):
@@ -247,7 +248,7 @@ def mixed(z: np.ndarray) -> np.ndarray:
 
 
 def deep_pairs(s: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places whose context is eligible, the contexts' hashes, and those of what follows."""
+    """Places that have a deep context, the contexts' hashes, and those of what follows."""
     from xxhash import xxh64_intdigest
 
     own = np.fromiter((xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in s.words.to_pylist()), np.uint64, len(s.words))
@@ -258,7 +259,7 @@ def deep_pairs(s: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     context = np.zeros(n, np.uint64)
     for k in range(DEEP):
         context = mixed(context * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n])
-    at = np.flatnonzero((s.place[DEEP:] > DEEP) & (context % np.uint64(ELIGIBLE) == 0))
+    at = np.flatnonzero(s.place[DEEP:] > DEEP)
     context = context[at]
     return at + DEEP, context, (mixed(context + hashes[at + DEEP]) >> np.uint64(32)).astype(np.uint32)
 
@@ -281,7 +282,7 @@ def _scores(shared, shards: int):
 
         first = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in pieces(batch, limit=PART_BYTES):
+            for part in pieces(batch, limit=DEEP_BYTES):
                 yield from _score_part(part, shared.value, first, shards)
                 first += part.num_rows
 
@@ -436,7 +437,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, depth:
     texts = doc_text(docs).withColumn("held_out", crc_bucket(F.col("doc_id"), folds) == held_out)
     vocabulary, model = train(texts.where(~F.col("held_out")), depth)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    shards = 1 << max(0, math.ceil(math.log2(max(1, model.total / ELIGIBLE / SHARD))))
+    shards = 1 << max(0, math.ceil(math.log2(max(1, model.total / SHARD))))
     every = written(texts.mapInArrow(_scores(shared, shards), ", ".join(NEAR + SENT)), "scored")
     rows = every.where("row is not null").select(*(c.split()[0] for c in NEAR))
     sent = every.where("part is not null")

@@ -91,3 +91,17 @@ def test_toxicity_kernel_sums_by_blocks(monkeypatch):
         monkeypatch.setattr(toxicity, "PROFILE", profile)
         monkeypatch.setattr(toxicity, "ADDED", added)
         assert np.allclose(toxicity.Subsequences(toxicity.codes(marks)).summed(strings, entry, row, 5), wanted, rtol=1e-4)
+
+
+def test_lm_deep_contexts_are_all_counted(spark):
+    """Every run of six words that recurs in training texts raises the next word's probability, not a share of them."""
+    import random
+
+    from quillspark.llm import lm_score
+
+    r = random.Random(8)
+    phrases = [" ".join(r.choices("abcdef", k=7)) for _ in range(200)]
+    trained = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2][:600]
+    docs = spark.createDataFrame([(d, phrases[k % 200]) for k, d in enumerate(trained)], "doc_id long, text string")
+    found = lm_score.score(docs).collect()
+    assert len(found) == 600 and sum(x.score > x.near_score + 1e-6 for x in found) > 590
