@@ -45,14 +45,14 @@ DISCOUNT = 0.75
 #: Words of a deep context, and what its hash is divisible by: by one, so every context is counted.
 DEEP, ELIGIBLE = 6, 1
 #: Deep pairs in a shard, about; steps of a near-root probability's logarithm, as it is sent along.
-SHARD, STEPS = 1 << 20, 1024
+SHARD, STEPS = 1 << 21, 1024
 #: Bits of a symbol in a packed context.
 SHIFT = 15
 #: Distinct words or pairs that a task holds before it passes its partial counts on.
 HELD = 1 << 19
 PART_BYTES = 8_000_000
 #: The same where all deep contexts of a part are in memory.
-DEEP_BYTES = 2_000_000
+DEEP_BYTES = 4_000_000
 
 
 class Level(NamedTuple):
