@@ -193,7 +193,7 @@ def grow(model: Model, pairs: np.ndarray, counts: np.ndarray, contexts: np.ndarr
     pairs, counts, at = pairs[known], counts[known], at[known]
     parent = probabilities(model, pairs >> SHIFT, pairs & ((1 << SHIFT) - 1), depth - 1)
     n = len(contexts)
-    add = lambda x: np.bincount(at, weights=x, minlength=n)
+    add = lambda x: np.bincount(at, weights=x, minlength=n).astype(float)  # of nothing: integers
     rest, rest_parent = np.maximum(totals - add(counts), 0), np.maximum(1 - add(parent), 1e-12)
     gain = add(counts * np.log(counts / totals[at] / parent))
     gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-12) / totals / rest_parent), 0)

@@ -105,3 +105,12 @@ def test_lm_deep_contexts_are_all_counted(spark):
     docs = spark.createDataFrame([(d, phrases[k % 200]) for k, d in enumerate(trained)], "doc_id long, text string")
     found = lm_score.score(docs).collect()
     assert len(found) == 600 and sum(x.score > x.near_score + 1e-6 for x in found) > 590
+
+
+def test_lm_level_without_recurring_pairs(spark):
+    """Contexts that occur twice, each time before another word, make no state and don't stop the query."""
+    from quillspark.llm import lm_score
+
+    trained = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    docs = spark.createDataFrame([(i, f"a b {w}1 {w}2") for i, w in zip(trained, "xy", strict=True)], "doc_id long, text string")
+    assert lm_score.score(docs).count() == 2
