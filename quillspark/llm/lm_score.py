@@ -10,9 +10,12 @@ is a state.
 
 Beyond that, contexts of DEEP whole words are states by absolute counts: all those that recur in the training
 texts and whose divergence from the near-root distribution outweighs its cost; none is left out by its hash. They and their next words are a table that grows with the corpus.
-It is never in one place: every part of the documents sends its distinct contexts with next words, counted,
-to the shard of the context's hash; a shard puts the counts of all parts together, tests the contexts, and
-answers each part with the gain of its pairs. Pairs with a count of one have no share of their own. What a deep
+It is never in one place. Documents are stored once more, in numbered parts. Every part first sends a short key of each
+distinct context, the hash's upper bits, to the key's shard, and learns which keys training texts hold twice; a context
+whose key they don't can't be a state. Keys are just long enough that few contexts share one by chance; such contexts
+are only sent in vain. Then every part sends its distinct recurring contexts with next words, counted, to the shard of
+the context's whole hash; a shard puts the counts of all parts together, tests the contexts, and gives each document the
+gain of its pairs. Pairs with a count of one have no share of their own. What a deep
 state adds to a rare word's share is its probability near the root with a count of zero.
 
 What is broadcast is bounded by shares of all tokens alone, however large the corpus: at most SYMBOLS symbols,
@@ -28,6 +31,7 @@ are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import StringTable, crc_bucket, doc_text, pieces, split_words, written
+from quillspark.llm.common import StringTable, crc_bucket, doc_text, durable_dir, pieces, split_words, written
 
 FOLDS, HELD_OUT, DEPTH = 7, 2, 3
 SYMBOLS, CONTEXTS, EXPLICIT = 1 << 14, 1 << 16, 1 << 20
@@ -46,6 +50,8 @@ DISCOUNT = 0.75
 DEEP, ELIGIBLE = 6, 1
 #: Deep pairs in a shard, about; steps of a near-root probability's logarithm, as it is sent along.
 SHARD, STEPS = 1 << 21, 1024
+#: Bits of a context's key beyond those that number all training tokens: one context in 32, at most, shares its key by chance.
+SPARE = 5
 #: Bits of a symbol in a packed context.
 SHIFT = 15
 #: Distinct words or pairs that a task holds before it passes its partial counts on.
@@ -247,8 +253,8 @@ def mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def deep_pairs(s: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places that have a deep context, the contexts' hashes, and those of what follows."""
+def deep_contexts(s: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that have a deep context, the contexts' hashes, and the hash of the word at each place of all."""
     from xxhash import xxh64_intdigest
 
     own = np.fromiter((xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in s.words.to_pylist()), np.uint64, len(s.words))
@@ -260,31 +266,100 @@ def deep_pairs(s: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in range(DEEP):
         context = mixed(context * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n])
     at = np.flatnonzero(s.place[DEEP:] > DEEP)
-    context = context[at]
-    return at + DEEP, context, (mixed(context + hashes[at + DEEP]) >> np.uint64(32)).astype(np.uint32)
+    return at + DEEP, context[at], hashes
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte: all lowest bytes, then all second ones; what is mostly zero compresses well."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    """Numbers byte by byte, compressed: all lowest bytes, then all second ones; what is mostly zero takes little. The raw size comes first."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def unplaned(data: bytes, kind: str) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+    raw = pa.Codec("zstd", 1).decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"))
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
-def _scores(shared, shards: int):
-    """Rows of two kinds: a document's near-root score, and a part's deep pairs for a shard."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in a row as one row: the number of the first, and all of them as a compressed stream."""
+    from pyspark import TaskContext
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    first = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        for part in pieces(batch, limit=DEEP_BYTES):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+                stream.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "docs"])
+            first += part.num_rows
+
+
+def _docs(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def _trained(part: pa.RecordBatch) -> np.ndarray:
+    return ~part.column("held_out").to_numpy(zero_copy_only=False)
 
-        first = TaskContext.get().partitionId() << 33
+
+def _keys(bits: int, shards: int):
+    """A part's distinct keys for a shard, and how often training texts of the part have each: never, once, more often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = Model(pa.array([], pa.string()), np.zeros(0), 0, 0, 0, 0, np.zeros(0), [])
         for batch in batches:
-            for part in pieces(batch, limit=DEEP_BYTES):
-                yield from _score_part(part, shared.value, first, shards)
-                first += part.num_rows
+            for number, data in zip(batch.column("part").to_pylist(), batch.column("docs"), strict=True):
+                part = _docs(data.as_buffer())
+                s = sequences(part.column("text"), nothing)
+                place, context, _ = deep_contexts(s)
+                if not len(place):
+                    continue
+                marked = np.sort((context >> np.uint64(64 - bits) << np.uint64(1)) | _trained(part)[s.doc[place]].astype(np.uint64))
+                key = marked >> np.uint64(1)
+                head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                count = np.minimum(np.add.reduceat(marked & np.uint64(1), head), 2).astype(np.uint8)
+                key = key[head]
+                shard = (key >> np.uint64(bits - (shards.bit_length() - 1))).astype(np.int64)
+                edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])).tolist()
+                spans = list(zip(edge[:-1], edge[1:], strict=True))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([number] * len(spans)), pa.array(shard[edge[:-1]], pa.int32()),
+                    pa.array([planes(np.diff(key[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()), pa.array([planes(count[a:b]) for a, b in spans], pa.binary()),
+                ], ["part", "shard", "key", "count"])
+
+    return run
+
+
+def _recurring(table: pa.Table) -> pa.Table:
+    """For each part, whether training texts of all parts have each of its keys twice."""
+    keys = [np.cumsum(unplaned(x, "<u8"), dtype=np.uint64) for x in table.column("key").to_pylist()]
+    every, count = np.concatenate(keys), np.concatenate([unplaned(x, "u1") for x in table.column("count").to_pylist()])
+    order = np.argsort(every)
+    every = every[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]])
+    twice = np.empty(len(every), bool)
+    twice[order] = (np.add.reduceat(count[order].astype(np.int64), np.flatnonzero(new)) >= 2)[np.cumsum(new) - 1]
+    edge = np.cumsum([0, *map(len, keys)])
+    return pa.table({"part": table.column("part"), "shard": table.column("shard"), "twice": pa.array([planes(np.packbits(twice[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), "n": pa.array([len(k) for k in keys], pa.int32())})
+
+
+def recurs(context: np.ndarray, bits: int, twice: np.ndarray) -> np.ndarray:
+    """Whether each context's key is one of those, among the sorted distinct keys of all, that ``twice`` marks."""
+    key = context >> np.uint64(64 - bits)
+    every = np.sort(key)
+    every = every[np.concatenate([[True], every[1:] != every[:-1]])]
+    return _member(key, every[twice])[0]
+
+
+def _scores(shared, bits: int, shards: int):
+    """Rows of two kinds: a document's near-root score, and a part's recurring deep pairs for a shard."""
+
+    def run(stored: pa.Table, answers: pa.Table) -> pa.Table:
+        given = answers.sort_by("shard")
+        twice = [np.unpackbits(unplaned(x, "u1"), count=n).astype(bool) for x, n in zip(given.column("twice").to_pylist(), given.column("n").to_pylist(), strict=True)]
+        part = _docs(stored.column("docs")[0].as_buffer())
+        return pa.Table.from_batches(_score_part(part, shared.value, stored.column("part")[0].as_py(), bits, np.concatenate([np.zeros(0, bool), *twice]), shards))
 
     return run
 
@@ -305,7 +380,7 @@ def _record(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(n, ARROW[kind])) for name, kind in fields], [name for name, _ in fields])
 
 
-def _score_part(part: pa.RecordBatch, model: Model, first: int, shards: int) -> Iterator[pa.RecordBatch]:
+def _score_part(part: pa.RecordBatch, model: Model, first: int, bits: int, twice: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
     s, n = sequences(part.column("text"), model), part.num_rows
     base = np.log10((np.append(model.counts, model.n_docs) + 1.0) / (model.total + model.distinct + 1))
     word_doc = np.repeat(np.arange(n), s.size - 1)
@@ -331,14 +406,17 @@ def _score_part(part: pa.RecordBatch, model: Model, first: int, shards: int) ->
         "row": pa.array(first + np.arange(n)), "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": pa.array(s.size), "rare": rare,
         "n_known": pa.array(np.bincount(word_doc[frequent], minlength=n) + (model.n_docs > 0)), "base": pa.array(summed(frequent) + base[-1]), "tree": pa.array(np.bincount(s.doc, logs, n) + summed(other)),
     })
-    yield from _sent(part, s, model, p, first, shards)
+    yield from _sent(part, s, model, p, first, bits, twice, shards)
 
 
-def _sent(part: pa.RecordBatch, s: Sequences, model: Model, p: np.ndarray, first: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """The part's distinct deep pairs by shard: counts in training texts, near-root probabilities, and the rows they stand in."""
-    place, context, follows = deep_pairs(s)
-    if not len(place):
+def _sent(part: pa.RecordBatch, s: Sequences, model: Model, p: np.ndarray, first: int, bits: int, twice: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """The part's distinct recurring deep pairs by shard: counts in training texts, near-root probabilities, and the rows they stand in."""
+    if not twice.any():
         return
+    place, context, hashes = deep_contexts(s)
+    often = recurs(context, bits, twice)
+    place, context = place[often], context[often]
+    follows = (mixed(context + hashes[place]) >> np.uint64(32)).astype(np.uint32)
     # The near-root probability of the word itself; of a rare one, as of a word that never occurs.
     word = np.full(len(s.place), -1)
     word[(s.place > 0) & (s.place < s.size[s.doc])] = s.at[s.code]
@@ -350,12 +428,12 @@ def _sent(part: pa.RecordBatch, s: Sequences, model: Model, p: np.ndarray, first
     order = np.lexsort((follows, context))
     context, follows, level = context[order], follows[order], level[order]
     doc = s.doc[place[order]]
-    trained = ~part.column("held_out").to_numpy(zero_copy_only=False)[doc]
+    trained = _trained(part)[doc]
     head = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (follows[1:] != follows[:-1])]))
     counts = np.add.reduceat(trained.astype(np.int64), head).astype(np.uint32)
     owners = np.diff(np.append(head, len(context))).astype(np.uint32)
-    bits = shards.bit_length() - 1
-    shard = (context[head] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(head), np.int64)
+    upper = shards.bit_length() - 1
+    shard = (context[head] >> np.uint64(64 - upper)).astype(np.int64) if upper else np.zeros(len(head), np.int64)
     edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
     rows_edge = np.append(head, len(context))
     columns = {k: [] for k in ("part", "shard", "context", "next", "count", "level", "owners", "rows", "rare_at", "tails")}
@@ -401,31 +479,48 @@ def deep_gains(context: np.ndarray, follows: np.ndarray, count: np.ndarray, leve
 
 
 def _shard(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("part", "ascending")])
+    """Each row's gain from the shard; and rare words that a deep state knows, for which counts have to be taken back."""
     read = {k: [unplaned(x, kind) for x in table.column(k).to_pylist()] for k, kind in (("context", "<u8"), ("next", "<u4"), ("count", "<u4"), ("level", "<u2"))}
-    sizes = [len(x) for x in read["next"]]
+    edge = np.cumsum([0, *map(len, read["next"])])
     gains = deep_gains(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in read["context"]]), *(np.concatenate(read[k]) for k in ("next", "count", "level")))
-    edge = np.cumsum([0, *sizes])
-    return pa.table({"part": table.column("part"), "shard": table.column("shard"), "gains": pa.array([planes(gains[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
-
-
-def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's gain from each shard; and rare words that a deep state knows, for which counts have to be taken back."""
-    for batch in batches:
-        rows, gains, tail_rows, tails = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], []
-        for part, given, owners, own, at, words in zip(*(batch.column(k).to_pylist() for k in ("part", "gains", "owners", "rows", "rare_at", "tails")), strict=True):
-            gain, many, doc, rare = unplaned(given, "<f4"), unplaned(owners, "<u4"), unplaned(own, "<u4"), unplaned(at, "<u4")
-            total = np.bincount(doc, np.repeat(gain, many))
-            some = np.flatnonzero(total)
-            rows.append(part + some)
-            gains.append(total[some])
-            ends = np.cumsum(many)
-            for k in np.flatnonzero(gain[rare] > 0).tolist():
-                i = rare[k]
-                tail_rows.append(part + doc[ends[i] - many[i] : ends[i]].astype(np.int64))
-                tails += [words[k]] * int(many[i])
-        rows, tail_rows = np.concatenate(rows), np.concatenate(tail_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rows, tail_rows])), pa.array(np.concatenate([np.concatenate(gains), np.zeros(len(tail_rows))])), pa.array([None] * len(rows) + tails, pa.string())], ["row", "deep", "word"])
+    rows, sums, tail_rows, tails = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], []
+    for a, b, part, owners, own, at, words in zip(edge[:-1], edge[1:], *(table.column(k).to_pylist() for k in ("part", "owners", "rows", "rare_at", "tails")), strict=True):
+        gain, many, doc, rare = gains[a:b], unplaned(owners, "<u4"), unplaned(own, "<u4"), unplaned(at, "<u4")
+        total = np.bincount(doc, np.repeat(gain, many))
+        some = np.flatnonzero(total)
+        rows.append(part + some)
+        sums.append(total[some])
+        ends = np.cumsum(many)
+        for k in np.flatnonzero(gain[rare] > 0).tolist():
+            i = rare[k]
+            tail_rows.append(part + doc[ends[i] - many[i] : ends[i]].astype(np.int64))
+            tails += [words[k]] * int(many[i])
+    rows, tail_rows = np.concatenate(rows), np.concatenate(tail_rows)
+    return pa.table({"row": np.concatenate([rows, tail_rows]), "deep": np.concatenate([*sums, np.zeros(len(tail_rows))]), "word": pa.array([None] * len(rows) + tails, pa.string())})
+
+
+def _scored(texts: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``_scores``. Parts are stored in buckets, so that the answers go to the parts, not both to each other."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    shards = 1 << max(0, math.ceil(math.log2(max(1, model.total / SHARD))))
+    bits = model.total.bit_length() + SPARE
+    name = f"quillspark_parts_{uuid.uuid4().hex}"
+    path = f"{durable_dir(spark)}/{name}"
+    table = f"spark_catalog.default.{name}"
+    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * shards))
+    stored = texts.mapInArrow(_parts, "part long, docs binary")
+    try:
+        stored.write.bucketBy(buckets, "part").option("path", path).option("compression", "none").saveAsTable(table)
+        parts = spark.table(table)
+        keys = parts.mapInArrow(_keys(bits, shards), "part long, shard int, key binary, count binary")
+        answers = keys.groupBy("shard").applyInArrow(_recurring, "part long, shard int, twice binary, n int")
+        scored = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_scores(shared, bits, shards), ", ".join(NEAR + SENT))
+        return written(scored, "scored")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, depth: int = DEPTH) -> DataFrame:
@@ -436,14 +531,10 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, depth:
     """
     texts = doc_text(docs).withColumn("held_out", crc_bucket(F.col("doc_id"), folds) == held_out)
     vocabulary, model = train(texts.where(~F.col("held_out")), depth)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    shards = 1 << max(0, math.ceil(math.log2(max(1, model.total / SHARD))))
-    every = written(texts.mapInArrow(_scores(shared, shards), ", ".join(NEAR + SENT)), "scored")
+    every = _scored(texts, model)
     rows = every.where("row is not null").select(*(c.split()[0] for c in NEAR))
-    sent = every.where("part is not null")
-    answers = sent.select("part", "shard", "context", "next", "count", "level").groupBy("shard").applyInArrow(_shard, "part long, shard int, gains binary")
-    given = sent.select("part", "shard", "owners", "rows", "rare_at", "tails").join(answers, ["part", "shard"])
-    given = written(given.mapInArrow(_given, "row long, deep double, word string"), "given")
+    sent = every.where("part is not null").select(*(c.split()[0] for c in SENT))
+    given = written(sent.groupBy("shard").applyInArrow(_shard, "row long, deep double, word string"), "given")
     back = given.where("word is not null").groupBy("row", "word").count().join(vocabulary, "word").select("row", (-F.col("count") * F.log10(F.col("c") + 1.0)).alias("deep"))
     deep = given.where("word is null").select("row", "deep").unionByName(back).groupBy("row").agg(F.sum("deep").alias("deep"))
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(vocabulary, "word", "left")

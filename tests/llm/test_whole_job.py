@@ -114,3 +114,43 @@ def test_lm_level_without_recurring_pairs(spark):
     trained = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
     docs = spark.createDataFrame([(i, f"a b {w}1 {w}2") for i, w in zip(trained, "xy", strict=True)], "doc_id long, text string")
     assert lm_score.score(docs).count() == 2
+
+
+def test_lm_sends_only_contexts_that_recur(spark, monkeypatch):
+    """Runs of six words that training texts hold once take no room between the parts; those that recur are all sent."""
+    import random
+
+    from quillspark.llm import lm_score
+
+    r, tables = random.Random(5), {}
+    written = lm_score.written
+    monkeypatch.setattr(lm_score, "written", lambda df, name, **options: tables.setdefault(name, written(df, name, **options)))
+    rows = [(i, " ".join(str(r.randrange(5000)) for _ in range(300))) for i in range(200)]
+    assert lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).count() == 200
+    sent = sum(len(lm_score.unplaned(x.next, "<u4")) for x in tables.pop("scored").where("part is not null").select("next").collect())
+    assert sent < 200 * 294 / 32  # chance alone
+    copies = rows + [(1000 + i, t) for i, t in rows]
+    tables.clear()
+    lm_score.score(spark.createDataFrame(copies, "doc_id long, text string")).count()
+    trained = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    owners = sum(int(lm_score.unplaned(x.owners, "<u4").sum()) for x in tables["scored"].where("part is not null").select("owners").collect())
+    assert owners >= sum(2 * 295 for i, _ in rows if trained(i) and trained(1000 + i))
+
+
+def test_lm_keys_shared_by_chance(spark, monkeypatch):
+    """Scores don't depend on the keys' length: contexts that share a key are told apart by their whole hashes."""
+    import random
+
+    from quillspark.llm import lm_score
+
+    r = random.Random(6)
+    phrases = [" ".join(r.choices("abcdefghij", k=9)) for _ in range(60)]
+    rows = [(i, " ".join(r.choices(phrases, k=3))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id: x.score for x in lm_score.score(docs).collect()}
+    monkeypatch.setattr(lm_score, "SHARD", 1 << 10)
+    for spare in (20, -8):
+        monkeypatch.setattr(lm_score, "SPARE", spare)
+        for x in lm_score.score(docs).collect():
+            assert abs(x.score - found[x.doc_id]) < 1e-9, spare
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quillspark_parts")]
