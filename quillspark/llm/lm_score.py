@@ -139,31 +139,88 @@ def packed(sequence: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _member(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each key is in the sorted array ``wanted``, and its place there."""
+def _slot(keys: np.ndarray, size: int) -> np.ndarray:
+    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    h >>= np.uint64(65 - size.bit_length())
+    return h.astype(np.int64)
+
+
+def hashed(wanted: np.ndarray) -> np.ndarray:
+    """Places of distinct keys in an open hash table, at most half full; -1: nothing."""
+    table = np.full(2 << len(wanted).bit_length(), -1, np.int32)
+    left = np.arange(len(wanted), dtype=np.int32)
+    slot = _slot(wanted, len(table))
+    while len(left):
+        free = table[slot] < 0
+        table[slot[free]] = left[free]
+        lost = table[slot] != left
+        left, slot = left[lost], (slot[lost] + 1) & (len(table) - 1)
+    return table
+
+
+#: Tables of a worker's last arrays, by the arrays' identity; the arrays are held, so no other has it.
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _member(keys: np.ndarray, wanted: np.ndarray, again: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in the array ``wanted``, of distinct ones, and its place there; ``again``: it will be asked for more."""
     if not len(wanted):
         return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-    return wanted[at] == keys, at
+    if id(wanted) in _tables:
+        table = _tables[id(wanted)][1]
+    else:
+        table = hashed(wanted)
+        if again:
+            if len(_tables) >= 8:
+                _tables.clear()
+            _tables[id(wanted)] = wanted, table
+    slot = _slot(keys, len(table))
+    at = table[slot]
+    found = (wanted[at] == keys) & (at >= 0)
+    open_ = np.flatnonzero((at >= 0) & ~found)
+    while len(open_):
+        slot[open_] = (slot[open_] + 1) & (len(table) - 1)
+        at[open_] = table[slot[open_]]
+        hit = (wanted[at[open_]] == keys[open_]) & (at[open_] >= 0)
+        found[open_] = hit
+        open_ = open_[~hit & (at[open_] >= 0)]
+    return found, np.where(found, at, 0).astype(np.int64)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of each one's counts (nothing: one each)."""
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[head], np.diff(np.append(head, len(keys))) if counts is None else np.add.reduceat(counts, head) if len(head) else counts
 
 
 def _pair_counts(shared, candidates, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, counts = [], []
         for batch in batches:
             for part in pieces(batch, limit=PART_BYTES):
                 s = sequences(part.column("text"), shared.value)
                 new = packed(s.symbols, depth + 1)[s.place[depth:] >= depth]
                 if depth > 1:
                     new = new[_member(new >> SHIFT, candidates.value)[0]]
-                got, n = np.unique(new, return_counts=True)
-                both, place = np.unique(np.concatenate([keys, got]), return_inverse=True)
-                counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
-                keys = both
-                if len(keys) > 4 * HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "c"])
-                    keys, counts = keys[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "c"])
+                got, n = _summed(new, None)
+                keys.append(got)
+                counts.append(n)
+                if sum(map(len, keys)) > 4 * HELD:
+                    got, n = _summed(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts = [got], [n]
+                    if len(got) > 2 * HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(n)], ["key", "c"])
+                        keys, counts = [], []
+        if keys:
+            got, n = _summed(np.concatenate(keys), np.concatenate(counts))
+            yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(n)], ["key", "c"])
 
     return run
 
@@ -195,7 +252,7 @@ def grow(model: Model, pairs: np.ndarray, counts: np.ndarray, contexts: np.ndarr
     depth = len(model.levels) + 1
     order = np.argsort(pairs)
     pairs, counts = pairs[order], counts[order].astype(float)
-    known, at = _member(pairs >> SHIFT, contexts)
+    known, at = _member(pairs >> SHIFT, contexts, again=False)
     pairs, counts, at = pairs[known], counts[known], at[known]
     parent = probabilities(model, pairs >> SHIFT, pairs & ((1 << SHIFT) - 1), depth - 1)
     n = len(contexts)
@@ -248,25 +305,49 @@ def train(docs: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, Model]:
 
 def mixed(z: np.ndarray) -> np.ndarray:
     """Each number's bits well mixed (the finaliser of SplitMix64)."""
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    z = z ^ (z >> np.uint64(30))
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return z
+
+
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64 bits for each string: its length, then its UTF-8 bytes by eights, the last ones filled with zeros."""
+    words = words.cast(pa.large_string())
+    _, edges, data = words.buffers()
+    edge = np.frombuffer(edges, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    raw = np.zeros(int(edge[-1] - edge[0]) + 8, np.uint8)
+    raw[:-8] = np.frombuffer(data, np.uint8)[edge[0] : edge[-1]] if len(raw) > 8 else 0
+    eights = np.ndarray(len(raw) - 7, "<u8", raw.tobytes(), strides=(1,))
+    at, left = edge[:-1] - edge[0], np.diff(edge)
+    out = mixed(left.astype(np.uint64) + ODD)
+    rows = np.flatnonzero(left > 0)
+    while len(rows):
+        lane = eights[at[rows]] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * np.minimum(left[rows], 8).astype(np.uint64)))
+        out[rows] = mixed(out[rows] * ODD + lane)
+        at[rows] += 8
+        left[rows] -= 8
+        rows = rows[left[rows] > 0]
+    return out
 
 
 def deep_contexts(s: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places that have a deep context, the contexts' hashes, and the hash of the word at each place of all."""
-    from xxhash import xxh64_intdigest
-
-    own = np.fromiter((xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in s.words.to_pylist()), np.uint64, len(s.words))
     inner = (s.place > 0) & (s.place < s.size[s.doc])
     hashes = np.ones(len(s.place), np.uint64)  # a start's or an end's; no word's hash is looked for under it
-    hashes[inner] = own[s.code]
+    hashes[inner] = word_hashes(s.words)[s.code]
     n = max(0, len(hashes) - DEEP)
     context = np.zeros(n, np.uint64)
     for k in range(DEEP):
-        context = mixed(context * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n])
+        context *= ODD
+        context += hashes[k : k + n]
     at = np.flatnonzero(s.place[DEEP:] > DEEP)
-    return at + DEEP, context[at], hashes
+    return at + DEEP, mixed(context[at]), hashes
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -349,7 +430,7 @@ def recurs(context: np.ndarray, bits: int, twice: np.ndarray) -> np.ndarray:
     key = context >> np.uint64(64 - bits)
     every = np.sort(key)
     every = every[np.concatenate([[True], every[1:] != every[:-1]])]
-    return _member(key, every[twice])[0]
+    return _member(key, every[twice], again=False)[0]
 
 
 def _scores(shared, bits: int, shards: int):

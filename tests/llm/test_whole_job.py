@@ -154,3 +154,28 @@ def test_lm_keys_shared_by_chance(spark, monkeypatch):
         for x in lm_score.score(docs).collect():
             assert abs(x.score - found[x.doc_id]) < 1e-9, spare
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("quillspark_parts")]
+
+
+def test_lm_lookups_and_hashes_match_brute_force():
+    """Hash tables find exactly the keys that are there; words get their hash from all their bytes and their length; counts are summed by key."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quillspark.llm import lm_score
+
+    r = np.random.default_rng(2)
+    for n in (0, 1, 7, 50_000):
+        wanted = np.unique(r.integers(0, 1 << 45, n))
+        keys = np.concatenate([r.permutation(wanted), r.integers(-9, 1 << 45, 5000)])
+        for again in (True, False):
+            found, at = lm_score._member(keys, wanted, again)
+            assert (found == np.isin(keys, wanted)).all() and (not n or (wanted[at[found]] == keys[found]).all())
+    words = ["", "\0", "a", "a\0", "ab", "ba", "é", "abcdefgh", "abcdefgh\0", "abcdefghi", "iabcdefgh", "x" * 999, "x" * 1000, *map(str, range(100_000))]
+    hashes = lm_score.word_hashes(pa.array(words))
+    assert len(set(hashes.tolist())) == len(words)
+    assert (lm_score.word_hashes(pa.array(["y", *words, "z"]).slice(1, len(words))) == hashes).all() and (lm_score.word_hashes(pa.array([""])) == hashes[:1]).all()
+    keys, counts = r.integers(0, 90, 4000), r.integers(1, 9, 4000)
+    every = np.unique(keys)
+    for given, weights in ((None, np.ones(4000, int)), (counts, counts)):
+        got, n = lm_score._summed(keys, given)
+        assert (got == every).all() and (n == [weights[keys == k].sum() for k in every]).all()
