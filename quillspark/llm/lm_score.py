@@ -618,7 +618,8 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, depth:
     given = written(sent.groupBy("shard").applyInArrow(_shard, "row long, deep double, word string"), "given")
     back = given.where("word is not null").groupBy("row", "word").count().join(vocabulary, "word").select("row", (-F.col("count") * F.log10(F.col("c") + 1.0)).alias("deep"))
     deep = given.where("word is null").select("row", "deep").unionByName(back).groupBy("row").agg(F.sum("deep").alias("deep"))
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(vocabulary, "word", "left")
+    # A partition of distinct words is small, so it is hashed; the documents' words, many more, aren't sorted.
+    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(vocabulary.hint("shuffle_hash"), "word", "left")
     one = F.log10((F.coalesce("c", F.lit(0)) + 1.0) / float(model.total + model.distinct + 1))
     rare = rare.groupBy("row").agg(F.sum(F.col("n") * one).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("known"))
     out = rows.drop("rare").join(rare, "row", "left").join(deep, "row", "left")
