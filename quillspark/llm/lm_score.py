@@ -56,7 +56,7 @@ SPARE = 5
 SHIFT = 15
 #: Distinct words or pairs that a task holds before it passes its partial counts on.
 HELD = 1 << 19
-PART_BYTES = 8_000_000
+PART_BYTES = 4_000_000
 #: The same where all deep contexts of a part are in memory.
 DEEP_BYTES = 2_000_000
 
