@@ -13,12 +13,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.kernels import convert as kernel
 from quillspark.kernels import csv_doc, json_doc, xml_doc
-from quillspark.kernels.core import DocError, Options
+from quillspark.kernels.core import DocError, Options, Places, kind_of
 from quillspark.kernels.core import format_number as kernel_format_number
 
 PLACE = "STRUCT<offset: BIGINT, line: INT, col: INT>"
@@ -30,6 +32,22 @@ _place = pa.struct([("offset", pa.int64()), ("line", pa.int32()), ("col", pa.int
 _error = pa.struct([("kind", pa.string()), ("message", pa.string()), ("start", _place), ("end", _place), ("max", pa.int64()), ("key", pa.string()), ("expected", pa.string()), ("found", pa.string())])
 
 
+#: Bytes of documents that a worker holds as Python values at once, and bytes and rows of a batch that it sends.
+PIECE_BYTES, MOST_ROWS = 4 << 20, 10_000
+
+
+def _pieces(content: pa.Array) -> Iterator[tuple[int, int]]:
+    """Start and length of consecutive slices of about ``PIECE_BYTES`` each, one document at least."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(content).to_pylist()):
+        if i > start and size + (n or 0) > PIECE_BYTES:
+            yield start, i - start
+            start, size = i, 0
+        size += n or 0
+    if start < len(content):
+        yield start, len(content) - start
+
+
 def _result(field: str, values: list, errors: list) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(values, pa.string()), pa.array(errors, _error)], [field, "error"])
 
@@ -162,106 +180,181 @@ TOKENS = f"seq INT, kind STRING, value STRING, start {PLACE}, end {PLACE}"
 CELLS = "row INT, pos INT, key STRING, kind STRING, num DOUBLE, str STRING, bool BOOLEAN"
 
 
-class DocNodes:
-    """``doc_nodes(content, format)``: the node table of one document; none if it is invalid."""
+Rows = Iterator[tuple]
 
-    def eval(self, content: str, fmt: str) -> Iterator[tuple]:
-        if content is None:
-            return
-        try:
-            found = kernel.nodes(kernel.parse(content, fmt))
-            for node in found:
-                yield tuple(node.values())
-        except DocError:
-            return
 
+def node_rows(content: str, fmt: str, wanted: frozenset[str] | None = None) -> Rows:
+    try:
+        for node in kernel.nodes(kernel.parse(content, fmt)):
+            yield tuple(node.values())
+    except DocError:
+        return
 
-class XmlNodes:
-    """``xml_nodes(content)``: elements, attributes and text in document order."""
 
-    def eval(self, content: str) -> Iterator[tuple]:
-        if content is None:
-            return
-        try:
-            root = xml_doc.parse(content)
-        except DocError:
-            return
-        for node in kernel.xml_nodes(root):
-            yield tuple(node.values())
+def xml_node_rows(content: str, wanted: frozenset[str] | None = None) -> Rows:
+    try:
+        root = xml_doc.parse(content)
+    except DocError:
+        return
+    for node in kernel.xml_nodes(root):
+        yield tuple(node.values())
 
 
 def _value_text(value) -> str | None:
     return None if value is None else json_doc.emit(value)
 
 
+def event_rows(content: str, fmt: str, wanted: frozenset[str] | None = None) -> Rows:
+    n, texts = 0, wanted is None or "value" in wanted
+    try:
+        for name, path, value in kernel.events(content, fmt):
+            text = None if not texts else value if name == "Key" else json_doc.emit(value) if name in ("Value", "KeyValue") else None
+            yield n, name, path, text
+            n += 1
+    except DocError as e:
+        yield n, "Error", None, str(e.located(content))
+
+
+def token_rows(content: str, fmt: str, wanted: frozenset[str] | None = None) -> Rows:
+    n, texts = 0, wanted is None or "value" in wanted
+    place = Places(content).of if wanted is None or not wanted.isdisjoint(("start", "end")) else lambda _: None
+    try:
+        for t in kernel.tokens(content, fmt):
+            text = None if not texts else t.value if isinstance(t.value, str) else _value_text(t.value)
+            yield n, t.kind, text, place(t.start), place(t.end)
+            n += 1
+    except DocError as e:
+        e.located(content)
+        start, end = e.span or (None, None)
+        yield n, "Error", e.message, start and tuple(start), end and tuple(end)
+
+
+def cell_rows(content: str, delimiter: str, wanted: frozenset[str] | None = None) -> Rows:
+    try:
+        rows = csv_doc.parse(content, Options(delimiter=delimiter or ","))
+    except DocError:
+        return
+    for i, row in enumerate(rows):
+        for j, (key, v) in enumerate(row.items()):
+            kind = kind_of(v)
+            yield i, j, key, kind, v if kind == "number" else None, v if kind == "string" else None, v if kind == "bool" else None
+
+
+class DocNodes:
+    """``doc_nodes(content, format)``: the node table of one document; none if it is invalid."""
+
+    def eval(self, content: str, fmt: str) -> Rows:
+        if content is not None:
+            yield from node_rows(content, fmt)
+
+
+class XmlNodes:
+    """``xml_nodes(content)``: elements, attributes and text in document order."""
+
+    def eval(self, content: str) -> Rows:
+        if content is not None:
+            yield from xml_node_rows(content)
+
+
 class DocEvents:
     """``doc_events(content, format)``: pull events; an invalid document ends in an ``Error`` event."""
 
-    def eval(self, content: str, fmt: str) -> Iterator[tuple]:
-        if content is None:
-            return
-        n = 0
-        try:
-            for name, path, value in kernel.events(content, fmt):
-                text = value if name == "Key" else json_doc.emit(value) if name in ("Value", "KeyValue") else None
-                yield n, name, path, text
-                n += 1
-        except DocError as e:
-            yield n, "Error", None, str(e.located(content))
+    def eval(self, content: str, fmt: str) -> Rows:
+        if content is not None:
+            yield from event_rows(content, fmt)
 
 
 class DocTokens:
     """``doc_tokens(content, format)``: tokens with their places; an invalid document ends in an ``Error`` token."""
 
-    def eval(self, content: str, fmt: str) -> Iterator[tuple]:
-        if content is None:
-            return
-        from quillspark.kernels.core import place
-
-        n = 0
-        try:
-            for t in kernel.tokens(content, fmt):
-                text = t.value if isinstance(t.value, str) else _value_text(t.value)
-                yield n, t.kind, text, tuple(place(content, t.start)), tuple(place(content, t.end))
-                n += 1
-        except DocError as e:
-            e.located(content)
-            start, end = e.span or (None, None)
-            yield n, "Error", e.message, start and tuple(start), end and tuple(end)
+    def eval(self, content: str, fmt: str) -> Rows:
+        if content is not None:
+            yield from token_rows(content, fmt)
 
 
 class CsvCells:
     """``csv_rows(content, delimiter)``: a row for each cell with its record, place, name and typed content."""
 
-    def eval(self, content: str, delimiter: str) -> Iterator[tuple]:
-        if content is None:
-            return
-        try:
-            rows = csv_doc.parse(content, Options(delimiter=delimiter or ","))
-        except DocError:
-            return
-        from quillspark.kernels.core import kind_of
-
-        for i, row in enumerate(rows):
-            for j, (key, v) in enumerate(row.items()):
-                kind = kind_of(v)
-                yield i, j, key, kind, v if kind == "number" else None, v if kind == "string" else None, v if kind == "bool" else None
+    def eval(self, content: str, delimiter: str) -> Rows:
+        if content is not None:
+            yield from cell_rows(content, delimiter)
 
 
 TABLE_FUNCTIONS = {"doc_nodes": (DocNodes, NODES), "xml_nodes": (XmlNodes, NODES), "doc_events": (DocEvents, EVENTS), "doc_tokens": (DocTokens, TOKENS), "csv_rows": (CsvCells, CELLS)}
 
 
-def exploded(df: DataFrame, function: str, keep: list[str], *arguments: Column) -> DataFrame:
-    """Rows of a table function for each row of ``df``, beside the ``keep`` columns."""
-    cls, schema = TABLE_FUNCTIONS[function]
-    names = [f"_a{i}" for i in range(len(arguments))]
-    source = df.select(*keep, *(a.alias(n) for a, n in zip(arguments, names, strict=True)))
-    call = F.udtf(cls, returnType=schema, useArrow=True)
-    return source.lateralJoin(call(*(F.col(n).outer() for n in names))).drop(*names)
+#: What ``exploded`` calls for each document, the rows' schema and their Arrow types.
+_text, _int = pa.string(), pa.int32()
+_NODE_TYPES = [_int, _int, _text, _int, _int, _text, _text, pa.float64(), _text, pa.bool_()]
+ROWS_OF = {
+    "doc_nodes": (node_rows, NODES, _NODE_TYPES),
+    "xml_nodes": (xml_node_rows, NODES, _NODE_TYPES),
+    "doc_events": (event_rows, EVENTS, [_int, _text, pa.list_(_text), _text]),
+    "doc_tokens": (token_rows, TOKENS, [_int, _text, _text, _place, _place]),
+    "csv_rows": (cell_rows, CELLS, [_int, _int, _text, _text, pa.float64(), _text, pa.bool_()]),
+}
+
+
+def _row_bytes(columns: list[pa.Array], n: int) -> list[int]:
+    """Bytes of each of ``n`` rows; nested columns count by their mean."""
+    sizes = [0] * n
+    for c in columns:
+        plain = pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type)
+        own = pc.fill_null(pc.binary_length(c), 0).to_pylist() if plain else [c.nbytes // max(1, n) + 1] * n
+        sizes = [a + b for a, b in zip(sizes, own, strict=True)]
+    return sizes
+
+
+def _exploded_batch(batch: pa.RecordBatch, n_keep: int, function: str, picked: list[int], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The function's rows beside the first ``n_keep`` columns, in batches bounded in rows and bytes."""
+    rows_of, _, types = ROWS_OF[function]
+    kept, given = batch.columns[:n_keep], batch.columns[n_keep:]
+    fields = [*(batch.schema.field(i) for i in range(n_keep)), *(pa.field(n, types[j]) for n, j in zip(names, picked, strict=True))]
+    schema, wanted, texts = pa.schema(fields), frozenset(names), [j for j in picked if types[j] == _text]
+    beside = _row_bytes(kept, batch.num_rows)
+    at, rows, size = [], [], 0
+
+    def made() -> pa.RecordBatch:
+        cells, places = list(zip(*rows, strict=True)), pa.array(at, _int)
+        return pa.RecordBatch.from_arrays([*(c.take(places) for c in kept), *(pa.array(cells[j], types[j]) for j in picked)], schema=schema)
+
+    for start, n in _pieces(given[0]):
+        for i, (content, *more) in enumerate(zip(*(g.slice(start, n).to_pylist() for g in given), strict=True), start):
+            if content is None:
+                continue
+            for row in rows_of(content, *more, wanted):
+                at.append(i)
+                rows.append(row)
+                size += beside[i]
+                for j in texts:
+                    size += len(row[j] or "")
+                if len(rows) >= MOST_ROWS or size >= PIECE_BYTES:
+                    yield made()
+                    at, rows, size = [], [], 0
+    if rows:
+        yield made()
+
+
+def exploded(df: DataFrame, function: str, keep: list[str], *arguments: Column, columns: list[str] | None = None) -> DataFrame:
+    """Rows of a table function for each row of ``df``, beside the ``keep`` columns, in one Arrow pass.
+
+    A call of the function costs a batch of its own in a lateral join; here many documents share one. ``columns``
+    names those of the function's columns that are read; the others aren't made.
+    """
+    every = T.StructType.fromDDL(ROWS_OF[function][1])
+    picked = [every.names.index(c) for c in columns or every.names]
+    names, n_keep = [every.names[j] for j in picked], len(keep)
+    source = df.select(*keep, *(a.alias(f"_a{i}") for i, a in enumerate(arguments)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _exploded_batch(batch, n_keep, function, picked, names)
+
+    return source.mapInArrow(work, T.StructType(source.schema.fields[:n_keep] + [every.fields[j] for j in picked]))
 
 
-def nodes(df: DataFrame, fmt: str | Column, keep: list[str], content: str = "content") -> DataFrame:
-    return exploded(df, "doc_nodes", keep, F.col(content), _format_column(fmt))
+def nodes(df: DataFrame, fmt: str | Column, keep: list[str], content: str = "content", columns: list[str] | None = None) -> DataFrame:
+    return exploded(df, "doc_nodes", keep, F.col(content), _format_column(fmt), columns=columns)
 
 
 def register(spark: SparkSession) -> None:

@@ -39,6 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by their key: a table of short rows may be one file of few row groups, read by few tasks."""
+    return df.repartition(F.xxhash64(key))
+
+
 def literal(rows_: list[tuple], names: list[str]) -> str:
     """SQL for a few rows of texts, numbers, booleans and nulls."""
 
@@ -496,7 +501,7 @@ for (_source, _target), _sql in MATRIX.items():
 
 
 def _counted(spark: SparkSession, sf_dir: str, function: str, fmt: str, column: str) -> DataFrame:
-    found = docs.exploded(customers(spark, sf_dir, fmt), function, ["c_custkey"], F.col("content"), F.lit(fmt))
+    found = docs.exploded(spread(customers(spark, sf_dir, fmt), "c_custkey"), function, ["c_custkey"], F.col("content"), F.lit(fmt), columns=[column])
     return found.groupBy(F.col(column).alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("documents"))
 
 

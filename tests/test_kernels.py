@@ -243,3 +243,12 @@ def test_depth_without_a_limit(depth):
     for i in range(depth):
         value = value[f"k{i}"]
     assert value is None
+
+
+@pytest.mark.parametrize("text", ["", "ab\n\ncd\r\n", "é\nüx\n\U0001f600y", "no end"])
+def test_places_from_left_to_right(text):
+    from quillspark.kernels.core import Places, place
+
+    asked = [*range(len(text) + 1), *range(0, len(text) + 1, 3), len(text), 0]
+    found = Places(text)
+    assert [found.of(a) for a in asked] == [place(text, a) for a in asked]

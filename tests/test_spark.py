@@ -196,3 +196,47 @@ def test_data_sources_list_patterns_and_folders(spark, tmp_path):
     jsonc = tmp_path / "x.jsonc"
     jsonc.write_text("[1,]")
     assert [r.json for r in spark.read.format("jsonc").load(str(jsonc)).collect()] == ["[1]"]
+
+
+ODD = ['{"a":[1,{"é":"ü\\n"}],"b":null}', "[1", "", None, "é", '"x"', '[[],"\\u00e9",2.5,true]\n', '{"k": 76}']
+
+
+@pytest.mark.parametrize("function", ["doc_nodes", "doc_events", "doc_tokens"])
+@pytest.mark.parametrize("fmt", ["json", "toml", "yaml"])
+def test_table_functions_share_batches(spark, function, fmt, monkeypatch):
+    """Many documents share a batch, large ones are cut into several, and the rows are those of the functions in SQL."""
+    docs.register(spark)
+    texts = [*ODD, 'a = 1\n[b]\n"é" = "ü" # c\nd = [1, 2]\n', "a: é\nb:\n  - 'x'\n", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, content string")
+    found = docs.exploded(df, function, ["id"], F.col("content"), F.lit(fmt))
+    plan = found._jdf.queryExecution().toString()
+    assert "EvalPythonUDTF" not in plan and "MapInArrow" in plan
+    df.createOrReplaceTempView("odd_documents")
+    want = spark.sql(f"SELECT t.id, n.* FROM odd_documents AS t, LATERAL {function}(t.content, '{fmt}') AS n")
+    assert found.schema == want.schema and sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+    first = {"doc_nodes": ["kind", "depth"], "doc_events": ["event", "seq"], "doc_tokens": ["end", "kind"]}[function]
+    some = docs.exploded(df, function, ["id"], F.col("content"), F.lit(fmt), columns=first)
+    assert some.columns == ["id", *first] and sorted(map(repr, some.collect())) == sorted(map(repr, want.select("id", *first).collect()))
+
+
+def test_exploded_batches_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(docs, "MOST_ROWS", 5)
+    batch = pa.RecordBatch.from_pydict({"k": ["x" * 9, "y", None], "_a0": ["[1,2,3,4,5,6,7]", None, "[8]"], "_a1": ["json"] * 3})
+    made = list(docs._exploded_batch(batch, 1, "doc_nodes", [0, 7], ["node_id", "num"]))
+    assert [b.num_rows for b in made] == [5, 5]
+    assert pa.Table.from_batches(made).column("num").to_pylist() == [None, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, None, 8.0]
+    monkeypatch.setattr(docs, "PIECE_BYTES", 20)
+    made = list(docs._exploded_batch(batch, 1, "doc_nodes", [0, 6], ["node_id", "kind"]))
+    assert sum(b.num_rows for b in made) == 10 and max(b.num_rows for b in made) <= 3
+
+
+@pytest.mark.parametrize("name", ["toml_token_counts", "toml_event_counts", "yaml_event_counts"])
+def test_documents_of_short_rows_are_dealt_out(spark, sf_dir, name):
+    """A file of one row group doesn't put all documents into one task, and a document isn't a batch."""
+    from quillspark.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "EvalPythonUDTF" not in plan
+    assert "RepartitionByExpression [xxhash64" in plan
