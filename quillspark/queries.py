@@ -300,8 +300,8 @@ def xml_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, CAST(6 AS BIGINT) AS n_nodes, CAST(2 AS BIGINT) AS n_texts, c_name || '!' AS mixed FROM customer")
 def xml_node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.format_string("<c id=\"%d\">%s<b x='1'/>!</c>", "c_custkey", "c_name")
-    source = table(spark, sf_dir, "customer").select("c_custkey", text.alias("content"))
-    found = docs.exploded(source, "xml_nodes", ["c_custkey"], F.col("content"))
+    source = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select("c_custkey", text.alias("content"))
+    found = docs.exploded(source, "xml_nodes", ["c_custkey"], F.col("content"), columns=["node_id", "kind", "str"])
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("node_id", "str")))), lambda r: r["str"]), "")
     return found.groupBy("c_custkey").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("kind") == "text").alias("n_texts"), texts.alias("mixed"))
 
