@@ -351,7 +351,8 @@ def event_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT kind, n FROM (SELECT count(*) AS n FROM events), (VALUES ('LeftBrace'), ('String'), ('Colon'), ('Number'), ('RightBrace'), ('Eof')) t(kind)")
 def json_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs.exploded(props(spark, sf_dir), "doc_tokens", [], F.col("content"), F.lit("json")).groupBy("kind").agg(F.count("*").alias("n"))
+    found = docs.exploded(spread(props(spark, sf_dir), "event_id"), "doc_tokens", [], F.col("content"), F.lit("json"), columns=["kind"])
+    return found.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 TOML_EVENTS = [(0, "KeyValue", "a", "1"), (1, "TableStart", "t.u", None), (2, "KeyValue", "b.c", "[true,\"x\"]"), (3, "ArrayTableStart", "p", None), (4, "KeyValue", "n", "2.5")]
