@@ -340,7 +340,7 @@ for _target in ("csv", "toml", "yaml", "xml"):
 
 @query("SELECT event_type, CAST(2 * count(*) AS BIGINT) AS n_nodes, CAST(1 AS INTEGER) AS max_depth, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type")
 def nodes_depth_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = docs.nodes(props(spark, sf_dir), "json", ["event_type"])
+    found = docs.nodes(spread(props(spark, sf_dir), "event_id"), "json", ["event_type"], columns=["depth", "num"])
     return found.groupBy("event_type").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("max_depth"), F.sum("num").cast("bigint").alias("total"))
 
 
