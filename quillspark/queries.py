@@ -346,7 +346,8 @@ def nodes_depth_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event, n FROM (SELECT count(*) AS n FROM events), (VALUES ('ObjectStart'), ('Key'), ('Value'), ('ObjectEnd')) t(event)")
 def event_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs.exploded(props(spark, sf_dir), "doc_events", [], F.col("content"), F.lit("json")).groupBy("event").agg(F.count("*").alias("n"))
+    found = docs.exploded(spread(props(spark, sf_dir), "event_id"), "doc_events", [], F.col("content"), F.lit("json"), columns=["event"])
+    return found.groupBy("event").agg(F.count("*").alias("n"))
 
 
 @query("SELECT kind, n FROM (SELECT count(*) AS n FROM events), (VALUES ('LeftBrace'), ('String'), ('Colon'), ('Number'), ('RightBrace'), ('Eof')) t(kind)")

@@ -232,7 +232,7 @@ def test_exploded_batches_are_bounded(monkeypatch):
     assert sum(b.num_rows for b in made) == 10 and max(b.num_rows for b in made) <= 3
 
 
-@pytest.mark.parametrize("name", ["toml_token_counts", "toml_event_counts", "yaml_event_counts", "xml_node_table", "json_token_counts", "nodes_depth_stats"])
+@pytest.mark.parametrize("name", ["toml_token_counts", "toml_event_counts", "yaml_event_counts", "xml_node_table", "json_token_counts", "nodes_depth_stats", "event_stream_counts"])
 def test_documents_of_short_rows_are_dealt_out(spark, sf_dir, name):
     """A file of one row group doesn't put all documents into one task, and a document isn't a batch."""
     from quillspark.queries import QUERIES
