@@ -39,7 +39,7 @@ PIECE_BYTES, MOST_ROWS = 4 << 20, 10_000
 def _pieces(content: pa.Array) -> Iterator[tuple[int, int]]:
     """Start and length of consecutive slices of about ``PIECE_BYTES`` each, one document at least."""
     start = size = 0
-    for i, n in enumerate(pc.binary_length(content).to_pylist()):
+    for i, n in enumerate([] if pa.types.is_null(content.type) else pc.binary_length(content).to_pylist()):
         if i > start and size + (n or 0) > PIECE_BYTES:
             yield start, i - start
             start, size = i, 0
@@ -53,18 +53,21 @@ def _result(field: str, values: list, errors: list) -> pa.Array:
 
 
 def _each(content: pa.Array, formats: list[pa.Array], work, field: str) -> pa.Array:
-    values, errors = [], []
-    names = [f.to_pylist() for f in formats]
-    for i, text in enumerate(content.to_pylist()):
-        value = error = None
-        if text is not None:
-            try:
-                value = work(kernel.text_of(text), *(n[i] for n in names))
-            except DocError as e:
-                error = e.record()
-        values.append(value)
-        errors.append(error)
-    return _result(field, values, errors)
+    """The struct of each document; those of a piece alone are Python values at a time."""
+    parts = []
+    for start, n in _pieces(content):
+        values, errors = [], []
+        for text, *names in zip(*(c.slice(start, n).to_pylist() for c in (content, *formats)), strict=True):
+            value = error = None
+            if text is not None:
+                try:
+                    value = work(kernel.text_of(text), *names)
+                except DocError as e:
+                    error = e.record()
+            values.append(value)
+            errors.append(error)
+        parts.append(_result(field, values, errors))
+    return pa.concat_arrays(parts) if parts else _result(field, [], [])
 
 
 @lru_cache(maxsize=256)
@@ -129,6 +132,24 @@ def convert_doc(content: Column, source: str | Column, target: str | Column, opt
     return F.when(over, F.struct(F.lit(None).cast("string").alias("content"), error.alias("error"))).otherwise(convert(kept, _format_column(source), _format_column(target)))
 
 
+def convert_through(content: Column, formats: list[str], options: Options = Options()) -> Column:
+    """STRUCT<content, error> of each document after conversion from each of the formats to the next, all by one worker:
+    a kernel for each step would hold its own batch in a worker of its own. The first error ends a document's way."""
+    steps = list(zip(formats, formats[1:], strict=False))
+
+    def through(text: str) -> str:
+        for source, target in steps:
+            text = kernel.convert(text, source, target, options)
+        return text
+
+    @F.arrow_udf(CONVERTED)
+    def convert(text: pa.Array) -> pa.Array:
+        return _each(text, [], through, "content")
+
+    kept, over, error = _within_size(content, F.lit(formats[0]), options)
+    return F.when(over, F.struct(F.lit(None).cast("string").alias("content"), error.alias("error"))).otherwise(convert(kept))
+
+
 def validate_doc(content: Column, fmt: str | Column, options: Options = Options()) -> Column:
     """The error struct of each document, null if it is valid."""
 

@@ -320,11 +320,10 @@ def xml_refuses_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _round_trip(through: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         source = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('{"t":'), scalars.quote_string(F.coalesce("text", F.lit(""))), F.lit("}")).alias("content"))
-        there = docs.convert_doc(F.col("content"), "json", through)["content"]
-        back = docs.convert_doc(F.col("there"), through, "json")["content"]
+        back = docs.convert_through(F.col("content"), ["json", through, "json"])["content"]
         value = F.try_parse_json("back")
         path = {"csv": "$[0].t", "xml": "$.root.t['#text']"}.get(through, "$.t")
-        out = source.withColumn("there", there).withColumn("back", back)
+        out = source.withColumn("back", back)
         return out.select("doc_id", F.coalesce(F.try_variant_get(value, path, "string"), F.lit("")).alias("text"))
 
     run.__name__ = f"roundtrip_json_{through}"

@@ -240,3 +240,30 @@ def test_documents_of_short_rows_are_dealt_out(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
     assert "EvalPythonUDTF" not in plan
     assert "RepartitionByExpression [xxhash64" in plan
+
+
+def test_conversions_in_a_row_share_a_worker(spark):
+    """One kernel for all steps, with the results of a kernel each; a step's error ends the way."""
+    df = spark.createDataFrame([('{"t":"é<&\\n"}',), ("[1]",), ("{",), (None,), ('{"a b":1}',)], "content string")
+    for through in ("csv", "toml", "yaml", "xml", "json"):
+        found = df.select("content", docs.convert_through(F.col("content"), ["json", through, "json"])["content"].alias("back"))
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        there = docs.convert_doc(F.col("content"), "json", through)["content"]
+        want = df.withColumn("there", there).select("content", docs.convert_doc(F.col("there"), through, "json")["content"].alias("back"))
+        if through != "json":
+            assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    errors = df.select(docs.convert_through(F.col("content"), ["json", "toml", "json"])["error"]["kind"]).collect()
+    assert [r[0] for r in errors] == [None, "InvalidToken", "Expected", None, None]
+
+
+def test_documents_become_values_piece_by_piece(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(docs, "PIECE_BYTES", 8)
+    texts, held = ["[1]", None, "[22222222222]", "[", "[4]", "[5]"], []
+    real = docs._result
+    monkeypatch.setattr(docs, "_result", lambda field, values, errors: held.append(len(values)) or real(field, values, errors))
+    found = docs._each(pa.array(texts), [pa.array(["json"] * 6)], lambda t, n: docs.kernel.convert(t, n, "yaml"), "content").to_pylist()
+    assert [r["content"] for r in found] == ["- 1", None, "- 22222222222", None, "- 4", "- 5"] and found[3]["error"]["kind"] == "Expected"
+    assert len(held) > 1 and sum(held) == 6 and max(held) < 6
+    assert docs._each(pa.nulls(2), [], str, "content").to_pylist() == [{"content": None, "error": None}] * 2
